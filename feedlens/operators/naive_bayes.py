@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import text as T
 from feedlens.operators.tokens import MAX_LEARNED, top_vocabulary
+from feedlens.session import materialize
 
 PRIOR_TOKEN = ""          # never emitted by the tokenizer
 WEIGHT_TYPE = "decimal(18,12)"
@@ -40,7 +41,7 @@ def class_token_counts(train: DataFrame, text: str = "text", label: str = "label
         *[F.sum(F.when(F.col("_y") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(N_CLASSES)])
 
 
-def class_priors(train: DataFrame, label: str = "label", cand: Column | None = None) -> DataFrame:
+def class_priors(train: DataFrame, label: str = "label") -> DataFrame:
     """One row: the prior weights ``ln((N_k + 1) / (N + K))`` as the empty token."""
     y = F.col(label)
     agg = train.agg(F.count(F.lit(1)).alias("_N"),
@@ -82,7 +83,10 @@ def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: fl
     counts = class_token_counts(train, text, label)
     vocab = top_vocabulary(counts.select("token", "n"), min_count, vocab_size)
     w = smoothed_weights(counts, vocab, alpha).select("token", "w0", "w1", "w2")
-    return NBModel(w.unionByName(class_priors(train, label)))
+    # Fitting is an action (as in Spark ML): the weights — at most the
+    # vocabulary cap plus one row — are written once and read back, so every
+    # later scoring plan starts from a small table, not from the fit's lineage.
+    return NBModel(materialize(w.unionByName(class_priors(train, label)), "nb-weights"))
 
 
 def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
@@ -100,7 +104,7 @@ def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return materialize(out, "nb-grid")
 
 
 def nb_logits(weights: DataFrame, docs: DataFrame, key: str = "doc_id",

@@ -316,7 +316,7 @@ from (select doc_id, {tokens('text')}[1:126] as t from documents)"""
     o["build_vocab"] = w(NB_CTES, "select token, id::integer as id, n::bigint as n from vocab")
     o["encode_ids"] = w(DATASETS, """
 select ord, split, (n_real - 2)::integer as n_ids,
-       len(list_filter(seq, x -> x = 100))::integer as n_unk,
+       len(list_filter(seq, lambda x: x = 100))::integer as n_unk,
        array_to_string(seq[2:n_real - 1], ' ') as ids from ds""")
     o["pad_batches"] = w(DATASETS, """
 select ord, split, batch_id, width::integer as width, n_real::integer as n_real,

@@ -61,3 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/feedlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of
+    recomputing the whole plan) and computes ``df`` once — unlike an
+    uncached reliable checkpoint, which runs the plan twice."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
