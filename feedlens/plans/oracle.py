@@ -387,4 +387,8 @@ bpred as (select label as y, pred as p from bt)""" + metric_ctes("bpred", px="b_
     o["batch_analysis"] = w(NB_CTES + f""",
 bdocs as (select doc_id, coalesce({na_null('text')}, 'nan') as text from ({BATCH_SQL}))""" +
                             score_ctes("bdocs", "doc_id", "bs", W1), result_select("bs"))
+    o["score_udf"] = o["score_batch"]
+    o["stream_score"] = o["score_batch"]
+    o["stream_summary"] = w(BATCH_CTES, f"""
+select {name_of('pred')} as sentiment, count(*) as n from bs group by pred""")
     return o

@@ -24,7 +24,7 @@ from feedlens.operators import tokens as K
 from feedlens.operators.naive_bayes import NBModel, nb_fit
 from feedlens.plans import fixtures as X
 from feedlens.plans import jobs as J
-from feedlens.session import scratch_path
+from feedlens.session import materialize, scratch_path
 from feedlens.sources import files as FS
 from feedlens.sources import sinks as SK
 from feedlens.sources.tables import table
@@ -476,3 +476,90 @@ def q_batch_analysis(spark, sf):
     out = scratch_path(spark, "batch-out")
     J.run_batch(texts, nb_model(spark, sf).weights, "file_ord", output=out)
     return SK.read_results_csv(spark, out)
+
+
+# --------------------------------------------------------------------------
+# Spark ML flavour, the Arrow scorer, streaming
+# --------------------------------------------------------------------------
+
+def _lr(spark, sf):
+    from feedlens.operators import ml_pipeline as ML
+    sp = materialize(split_df(spark, sf), "split")
+    model = ML.lr_fit(sp.filter(F.col("split") == "train").select("text", "label"))
+    return ML, sp, model
+
+
+@query("lr_fit")
+def q_lr_fit(spark, sf):
+    """The ML pipeline fitted on train, scoring the test split (map-only)."""
+    ML, sp, model = _lr(spark, sf)
+    s = ML.lr_score(model, sp.filter(F.col("split") == "test").select("ord", "text", "label"))
+    return s.select("ord", "label", "pred", r4(F.col("confidence")).alias("confidence"))
+
+
+@query("lr_model_roundtrip")
+def q_lr_model_roundtrip(spark, sf):
+    """S7 for the ML flavour: save, load, score; equal to the fitted model."""
+    ML, sp, model = _lr(spark, sf)
+    path = scratch_path(spark, "lr-model")
+    ML.save_model(model, path)
+    s = ML.lr_score(ML.load_model(path), sp.filter(F.col("split") == "test").select("ord", "text"))
+    return s.select("ord", "pred", r4(F.col("confidence")).alias("confidence"))
+
+
+@query("train_metrics")
+def q_train_metrics(spark, sf):
+    """The training-run record of the ML fit."""
+    ML, _, model = _lr(spark, sf)
+    return ML.train_summary(spark, model)
+
+
+@query("train_job")
+def q_train_job(spark, sf):
+    """J3, ML flavour: fit on train, evaluate on test with the same metrics."""
+    ML, sp, model = _lr(spark, sf)
+    s = ML.lr_score(model, sp.filter(F.col("split") == "test").select("ord", "text", "label"))
+    return metrics_cols(E.eval_metrics(s))
+
+
+@query("score_udf")
+def q_score_udf(spark, sf):
+    """M7: the Arrow-batched scorer gives the same scores as score_batch."""
+    from feedlens.operators.udf_scoring import score_udf
+    w = nb_model(spark, sf).weights
+    return probs_cols(S.drop_failed(score_udf(X.batch_texts(spark, sf), w, "doc_id", "text")))
+
+
+def _conversation_stream_args(spark, sf):
+    schema = table(spark, sf, "conversations").schema
+    return sf.rstrip("/"), "conversations.parquet", schema
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """ST1: conversations arriving as a file stream, scored per micro-batch."""
+    from feedlens.streaming import scoring as ST
+    d, glob, schema = _conversation_stream_args(spark, sf)
+    src = ST.text_stream(spark, d, glob, schema)
+    src = src.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    sink = scratch_path(spark, "stream-scores")
+    q = ST.stream_score(src, nb_model(spark, sf).weights, sink,
+                        scratch_path(spark, "stream-scores-ckpt"))
+    ST.run_to_end(q)
+    out = spark.read.parquet(sink).withColumnRenamed("p", "p_")
+    return out.select("doc_id", "pred", r4(F.col("confidence")).alias("confidence"),
+                      *[r4(F.element_at("p_", k + 1)).alias(f"p{k}") for k in range(3)])
+
+
+@query("stream_summary")
+def q_stream_summary(spark, sf):
+    """ST2: running count per predicted class over the stream (complete mode)."""
+    from feedlens.streaming import scoring as ST
+    d, glob, schema = _conversation_stream_args(spark, sf)
+    src = ST.text_stream(spark, d, glob, schema)
+    src = src.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    sink = scratch_path(spark, "stream-summary")
+    q = ST.stream_summary(src, nb_model(spark, sf).weights, sink,
+                          scratch_path(spark, "stream-summary-ckpt"))
+    ST.run_to_end(q)
+    return spark.read.parquet(sink)
