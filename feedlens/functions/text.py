@@ -151,10 +151,19 @@ def format_pct(c: Column, decimals: int = 2) -> Column:
 # Tokenising
 # --------------------------------------------------------------------------
 
+NON_ASCII = r"[^\x{0}-\x{7f}]"
+
+
+def fold_accents(c: Column) -> Column:
+    """Accent fold by ``translate``; skipped for all-ASCII text, where it is
+    the identity (``translate`` costs a map lookup per character)."""
+    src, dst = accent_fold_table()
+    return F.when(c.rlike(NON_ASCII), F.translate(c, src, dst)).otherwise(c)
+
+
 def normalise(c: Column) -> Column:
     """Lower-case, fold accents, and set CJK ideographs apart by spaces."""
-    src, dst = accent_fold_table()
-    folded = F.translate(F.lower(c), src, dst)
+    folded = fold_accents(F.lower(c))
     return F.regexp_replace(folded, F.lit("(" + cjk_class() + ")"), F.lit(" $1 "))
 
 

@@ -23,7 +23,7 @@ from feedlens.functions import text as T
 NUM_FEATURES = 1 << 18
 
 
-def lr_pipeline(max_iter: int = 50, reg_param: float = fixed.WEIGHT_DECAY,
+def lr_pipeline(max_iter: int = 20, reg_param: float = fixed.WEIGHT_DECAY,
                 num_features: int = NUM_FEATURES, text: str = "text",
                 label: str = "label") -> Pipeline:
     """``maxIter`` stands in for the epoch budget and ``regParam`` for the

@@ -34,21 +34,24 @@ def _log_weight(num: Column, den: Column) -> Column:
 
 
 def class_token_counts(train: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    """``(token, n, c0, c1, c2)`` over every token occurrence of the train rows."""
-    ex = train.select(F.col(label).alias("_y"), F.explode(T.tokens(F.col(text))).alias("token"))
+    """``(token, n, c0, c1, c2)`` over every token occurrence of the train rows.
+
+    Each document also contributes one occurrence of the empty token, so that
+    row holds the number of train documents per class (the prior counts) —
+    one pass over the training data yields everything the fit needs."""
+    toks = F.concat(F.array(F.lit(PRIOR_TOKEN)), T.tokens(F.col(text)))
+    ex = train.select(F.col(label).alias("_y"), F.explode(toks).alias("token"))
     return ex.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.when(F.col("_y") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(N_CLASSES)])
 
 
-def class_priors(train: DataFrame, label: str = "label") -> DataFrame:
+def class_priors(counts: DataFrame) -> DataFrame:
     """One row: the prior weights ``ln((N_k + 1) / (N + K))`` as the empty token."""
-    y = F.col(label)
-    agg = train.agg(F.count(F.lit(1)).alias("_N"),
-                    *[F.sum(F.when(y == k, 1).otherwise(0)).alias(f"_N{k}") for k in range(N_CLASSES)])
-    return agg.select(
-        F.lit(PRIOR_TOKEN).alias("token"),
-        *[_log_weight(F.col(f"_N{k}") + 1.0, F.col("_N") + float(N_CLASSES)).alias(f"w{k}")
+    pri = counts.filter(F.col("token") == PRIOR_TOKEN)
+    return pri.select(
+        "token",
+        *[_log_weight(F.col(f"c{k}") + 1.0, F.col("n") + float(N_CLASSES)).alias(f"w{k}")
           for k in range(N_CLASSES)])
 
 
@@ -78,15 +81,23 @@ def smoothed_weights(counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) ->
     return vc.select(*cols)
 
 
+def fit_counts(train: DataFrame, text: str = "text", label: str = "label",
+               min_count: int = 2, vocab_size: int = MAX_LEARNED):
+    """The one pass over the training data: counts (written once to the
+    shared folder — one row per distinct token) and the capped vocabulary."""
+    counts = materialize(class_token_counts(train, text, label), "nb-counts")
+    words = counts.filter(F.col("token") != PRIOR_TOKEN).select("token", "n")
+    return counts, top_vocabulary(words, min_count, vocab_size)
+
+
 def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: float = 1.0,
            min_count: int = 2, vocab_size: int = MAX_LEARNED) -> NBModel:
-    counts = class_token_counts(train, text, label)
-    vocab = top_vocabulary(counts.select("token", "n"), min_count, vocab_size)
+    counts, vocab = fit_counts(train, text, label, min_count, vocab_size)
     w = smoothed_weights(counts, vocab, alpha).select("token", "w0", "w1", "w2")
     # Fitting is an action (as in Spark ML): the weights — at most the
     # vocabulary cap plus one row — are written once and read back, so every
     # later scoring plan starts from a small table, not from the fit's lineage.
-    return NBModel(materialize(w.unionByName(class_priors(train, label)), "nb-weights"))
+    return NBModel(materialize(w.unionByName(class_priors(counts)), "nb-weights"))
 
 
 def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
@@ -94,9 +105,8 @@ def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
                 vocab_size: int = MAX_LEARNED) -> DataFrame:
     """Weights for several smoothing values at once: ``(cand, token, w0..w2)``.
     Counts and vocabulary are computed once and shared."""
-    counts = class_token_counts(train, text, label)
-    vocab = top_vocabulary(counts.select("token", "n"), min_count, vocab_size)
-    priors = class_priors(train, label)
+    counts, vocab = fit_counts(train, text, label, min_count, vocab_size)
+    priors = class_priors(counts)
     parts = []
     for i, a in enumerate(alphas):
         w = smoothed_weights(counts, vocab, a).select("token", "w0", "w1", "w2")
