@@ -19,7 +19,6 @@ from feedlens.operators.scoring import (class_share, drop_failed, result_table,
                                         score_docs, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
 from feedlens.functions.text import tokens as tokens_expr
-from feedlens.session import materialize
 from feedlens.sources.sinks import write_metrics_json, write_results_csv
 
 
@@ -87,9 +86,8 @@ def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> Tr
     macro-F1 (O4, ties to the earlier candidate), evaluate on test, and
     optionally persist weights and test metrics.  The choice stays inside
     the plan (a semi-join to the one best row), so nothing is collected.
-    The split is read three times (train, validation, test), so it is
-    written once to the shared folder first."""
-    split = materialize(split, "split")
+    ``split`` should be a written table (it is read three times: train,
+    validation, test); see ``materialize``."""
     grid = nb_fit_grid(split.filter(F.col("split") == "train"), list(alphas))
     cands = candidate_metrics(split, grid, alphas)
     best = best_by(cands, "f1_macro", "cand")

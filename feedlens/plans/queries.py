@@ -58,7 +58,10 @@ def cleaned_raw(spark, sf):
 
 
 def split_df(spark, sf):
-    return J.split_job(X.fb_clean(spark, sf))
+    """The seeded 80/10/10 split of the prepared feedback, written once to the
+    shared folder: fit, validation and test all read it, so the dedupe and
+    the rank run once per job, and a lost executor re-reads a table."""
+    return materialize(J.split_job(X.fb_clean(spark, sf)), "split")
 
 
 def nb_model(spark, sf) -> NBModel:
@@ -484,7 +487,7 @@ def q_batch_analysis(spark, sf):
 
 def _lr(spark, sf):
     from feedlens.operators import ml_pipeline as ML
-    sp = materialize(split_df(spark, sf), "split")
+    sp = split_df(spark, sf)
     model = ML.lr_fit(sp.filter(F.col("split") == "train").select("text", "label"))
     return ML, sp, model
 
