@@ -41,18 +41,30 @@ def top_vocabulary(counts: DataFrame, min_count: int = 2,
     """``(token, id, n)``: tokens with ``n >= min_count``, the ``size`` most
     frequent (ties by token), ids from ``first_id`` in that order.
 
-    The cap is the feature (a fixed vocabulary size); it is a bounded top-k
-    (each partition keeps at most ``size`` rows), and the id window then runs
-    over at most ``size`` rows."""
-    top = (counts.filter(F.col("n") >= min_count)
-                 .orderBy(F.desc("n"), F.asc("token")).limit(size))
+    The cap is the feature (a fixed vocabulary size).  A histogram of the
+    count values (one row per distinct count — a small table) gives the exact
+    count at which the top ``size`` tokens end; only tokens at or above it
+    reach the bounded top-k, so its final merge holds about ``size`` rows
+    whatever the number of partitions.  The id window then runs over at most
+    ``size`` rows."""
+    kept = counts.filter(F.col("n") >= min_count)
+    hist = kept.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (hist.select("n", F.sum("_k").over(above).alias("_cum"))
+               .filter(F.col("_cum") >= size)
+               .agg(F.coalesce(F.max("n"), F.lit(min_count)).alias("_cut")))
+    top = (kept.filter(F.col("n") >= cut.scalar())
+               .orderBy(F.desc("n"), F.asc("token")).limit(size))
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.select("token", (F.row_number().over(w) - 1 + first_id).alias("id"), "n")
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 2,
                 size: int = MAX_LEARNED) -> DataFrame:
-    return top_vocabulary(token_counts(df, tokens), min_count, size)
+    """Vocabulary from one counting pass: the counts (one row per distinct
+    token) are written once, and the threshold and the top-k both read them."""
+    from feedlens.session import materialize
+    return top_vocabulary(materialize(token_counts(df, tokens), "token-counts"), min_count, size)
 
 
 def encode_padded(df: DataFrame, vocab: DataFrame, key: str = "ord",
