@@ -32,13 +32,19 @@ def with_scores(df: DataFrame, z: str = "z") -> DataFrame:
 
 
 def score_docs(weights: DataFrame, docs: DataFrame, key: str = "doc_id",
-               text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+               text: str = "text", keep: tuple[str, ...] = (),
+               text_as: F.Column | None = None) -> DataFrame:
     """M5: every input row, scored; a row that cannot be scored keeps null
-    scores (see ``drop_failed``)."""
+    scores (see ``drop_failed``).
+
+    The per-document sums are joined back to the documents.  ``text_as``
+    replaces the carried text by an expression of it (e.g. its display
+    form), so the join moves a few bytes per row instead of the whole text."""
     s = nb_logits(weights, docs, key, text)
     z = F.array(*[F.col(f"z{k}").cast("double") for k in range(N_CLASSES)])
     s = s.select(key, F.when(F.col("z0").isNotNull(), z).alias("z"))
-    return with_scores(docs.select(key, text, *keep).join(s, key, "left"))
+    carried = F.col(text) if text_as is None else text_as.alias(text)
+    return with_scores(docs.select(key, carried, *keep).join(s, key, "left"))
 
 
 def drop_failed(scored: DataFrame) -> DataFrame:
@@ -52,11 +58,13 @@ def score_records(scored: DataFrame, text: str = "text") -> DataFrame:
     return scored.select("*", P.score_record(F.col(text), F.col("p")).alias("record"))
 
 
-def result_table(scored: DataFrame, text: str = "text") -> DataFrame:
-    """M8: display form — six string columns, text cut to 100 characters."""
+def result_table(scored: DataFrame, text: str = "text", precut: bool = False) -> DataFrame:
+    """M8: display form — six string columns, text cut to 100 characters
+    (``precut=True`` when ``text`` already holds the display form)."""
     p = F.col("p")
+    shown = F.col(text) if precut else display_text(F.col(text))
     return scored.select(
-        display_text(F.col(text)).alias("Text"),
+        shown.alias("Text"),
         F.col("predicted_class").alias("Sentiment"),
         format_pct(F.col("confidence")).alias("Confidence"),
         *[format_pct(F.element_at(p, k + 1)).alias(name)

@@ -18,7 +18,7 @@ from feedlens.operators.ordering import best_by, seeded_split
 from feedlens.operators.scoring import (class_share, drop_failed, result_table,
                                         score_docs, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
-from feedlens.functions.text import tokens as tokens_expr
+from feedlens.functions.text import display_text, tokens as tokens_expr
 from feedlens.sources.sinks import write_metrics_json, write_results_csv
 
 
@@ -119,8 +119,10 @@ def run_batch(texts: DataFrame, weights: DataFrame, key: str = "ord",
     """Score every text, drop failures, build the result table, the
     zero-filled summary and the share of present classes; write the table as
     CSV when ``output`` is given."""
-    scored = drop_failed(score_docs(weights, texts, key, "text"))
-    table = result_table(scored)
+    # only the display form of the text travels to the result table
+    scored = drop_failed(score_docs(weights, texts, key, "text",
+                                    text_as=display_text(F.col("text"))))
+    table = result_table(scored, precut=True)
     if output:
         write_results_csv(table, output)
     return BatchResult(scored, table, sentiment_summary(scored, "predicted_class"),
