@@ -19,8 +19,16 @@ _K = len(fixed.CLASS_NAMES)
 
 def confusion_counts(preds: DataFrame, y: str = "label", p: str = "pred",
                      group: tuple[str, ...] = ()) -> DataFrame:
-    return (preds.groupBy(*group, F.col(y).alias("y"), F.col(p).alias("p"))
-                 .agg(F.count(F.lit(1)).alias("n")))
+    """``(*group, y, p, n)`` — the one pass over the predictions.
+
+    Written to the shared folder (at most nine rows per group): every metric,
+    report row and matrix cell reads this small table, so the predictions —
+    and the scoring behind them — are computed once, not once per branch of
+    the report."""
+    from feedlens.session import materialize
+    cm = (preds.groupBy(*group, F.col(y).alias("y"), F.col(p).alias("p"))
+               .agg(F.count(F.lit(1)).alias("n")))
+    return materialize(cm, "confusion")
 
 
 def per_class(cm: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:

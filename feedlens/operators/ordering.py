@@ -35,7 +35,9 @@ def seeded_rank(df: DataFrame, key: str = "text", seed: int = fixed.SEED,
     65,536 rows at the default) become running offsets and are broadcast —
     their size is bounded by the bucket count, not by the data.  The rank
     inside a bucket is a window partitioned by bucket, so each task holds
-    about n / 16**bucket_chars rows."""
+    about n / 16**bucket_chars rows.  ``key`` must be unique (it is, after
+    the keep-first dedupe).  The input is read twice (counts, then rank), so
+    pass a written table rather than a long lineage."""
     d = (df.withColumn("_h", shuffle_key(key, seed))
            .withColumn("_b", F.substring("_h", 1, bucket_chars)))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -163,11 +165,47 @@ def early_stop_point(df: DataFrame, run: str = "run", order=("ts", "event_id"),
                      chunks: int | None = None) -> DataFrame:
     """Per run: ``n_steps``, ``best_step`` (first step reaching the maximum),
     ``best_metric`` and ``stop_step`` — the first step after which ``patience``
-    evaluations in a row brought no strict improvement (null: never)."""
-    h = history_steps(df, run, order, metric, chunks)
-    return (h.groupBy(run)
-             .agg(F.max("step").alias("n_steps"),
-                  F.max("li").alias("best_step"),
-                  F.max(metric).alias("best_metric"),
-                  F.min(F.when(F.col("step") - F.col("li") >= patience, F.col("step")))
-                   .alias("stop_step")))
+    evaluations in a row brought no strict improvement (null: never).
+
+    The rows are range-partitioned into slices (so a run holding most rows
+    is spread over many tasks) and written once.  Each slice is scanned once
+    and summarised; a small per-run pass over the slice summaries resolves
+    what depends on earlier slices.  Inside a slice, a row after the slice's
+    first improvement has its own last improvement; a row before it has the
+    last improvement ``L`` of the earlier slices, so its first stop is simply
+    ``max(slice_start, L + patience)`` if that comes before the improvement."""
+    from feedlens.session import materialize
+    order = list(order)
+    spark = df.sparkSession
+    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = materialize(_chunked(df.select(run, *order, metric), run, order, chunks), "history-slices")
+
+    prev = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cs = r.groupBy(run, "_c").agg(F.count(F.lit(1)).alias("_n"), F.max(metric).alias("_mx"))
+    cs = cs.select(run, "_c", F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_off"),
+                   F.max("_mx").over(prev).alias("_pmax"))
+
+    w = Window.partitionBy(run, "_c").orderBy(*order)
+    step = F.col("_off") + F.row_number().over(w)
+    x = (r.join(cs, [run, "_c"])
+          .withColumn("step", step)
+          .withColumn("_pb", F.greatest(F.col("_pmax"),
+                                        F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+          .withColumn("_imp", F.col("_pb").isNull() | (F.col(metric) > F.col("_pb")))
+          .withColumn("_li", F.max(F.when(F.col("_imp"), F.col("step")))
+                               .over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    imp_step = F.when(F.col("_imp"), F.col("step"))
+    sl = x.groupBy(run, "_c").agg(
+        F.min("step").alias("_start"), F.max("step").alias("_end"),
+        F.min(imp_step).alias("_first_imp"), F.max(imp_step).alias("_last_imp"),
+        F.min(F.when(F.col("_li").isNotNull() & (F.col("step") - F.col("_li") >= patience),
+                     F.col("step"))).alias("_a_stop"),
+        F.max(metric).alias("_mx"))
+    last_before = F.max("_last_imp").over(prev)
+    cand = F.greatest(F.col("_start"), last_before + patience)
+    before_end = F.coalesce(F.col("_first_imp") - 1, F.col("_end"))
+    b_stop = F.when(last_before.isNotNull() & (cand <= before_end), cand)
+    sl = sl.withColumn("_stop", F.coalesce(b_stop, F.col("_a_stop")))
+    return sl.groupBy(run).agg(
+        F.max("_end").alias("n_steps"), F.max("_last_imp").alias("best_step"),
+        F.max("_mx").alias("best_metric"), F.min("_stop").alias("stop_step"))

@@ -19,6 +19,7 @@ from feedlens.operators.scoring import (class_share, drop_failed, result_table,
                                         score_docs, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
 from feedlens.functions.text import display_text, tokens as tokens_expr
+from feedlens.session import materialize
 from feedlens.sources.sinks import write_metrics_json, write_results_csv
 
 
@@ -89,7 +90,7 @@ def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> Tr
     ``split`` should be a written table (it is read three times: train,
     validation, test); see ``materialize``."""
     grid = nb_fit_grid(split.filter(F.col("split") == "train"), list(alphas))
-    cands = candidate_metrics(split, grid, alphas)
+    cands = materialize(candidate_metrics(split, grid, alphas), "candidates")  # a few rows
     best = best_by(cands, "f1_macro", "cand")
     weights = grid.join(best.select("cand"), "cand", "left_semi").drop("cand")
     model = NBModel(weights)

@@ -83,3 +83,30 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, split_bytes: int = 128 << 20,
+                 max_partitions: int = 200_000) -> dict[str, str]:
+    """Spark settings for a large run, sized from the input.
+
+    * scan splits of ``split_bytes`` (128 MB of text is ~50k documents: one
+      task tokenises it in tens of seconds and fits executor memory);
+    * the initial shuffle width covers the largest exchange — the keep-first
+      dedupe moves every distinct text once — at about one split per
+      partition, capped for the map-status size; AQE then coalesces each
+      exchange to the advisory size and splits skewed join partitions;
+    * ``parallelismFirst`` off, so a busy cluster gets right-sized tasks
+      rather than many tiny ones.
+    Every broadcast the library makes is bounded by a constant (vocabulary cap,
+    class dimension, rank offsets), so the automatic threshold stays at its
+    default and only AQE's measured sizes can add more."""
+    parts = max(200, min(max_partitions, -(-input_bytes // split_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+    }

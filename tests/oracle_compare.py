@@ -77,11 +77,19 @@ def compare(spark, key, sf_dir, fn, sql, con):
 
 
 def main(argv):
+    vanilla = "--vanilla" in argv
+    argv = [a for a in argv if a != "--vanilla"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
     import __spark_entry__ as E
-    from feedlens.session import build_session
-    spark = build_session("local[8]", 8)
+    if vanilla:   # a plain session, as an outside caller would build it
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        from feedlens.session import build_session
+        spark = build_session("local[8]", 8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0

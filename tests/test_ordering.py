@@ -72,6 +72,25 @@ def test_patience_rule_with_a_hot_run(spark):
         assert got[run] == (len(mine), li, stop), run
 
 
+def test_patience_rule_any_slicing(spark):
+    """Stops that fall on slice boundaries: many short runs, tied metrics."""
+    rnd = random.Random(11)
+    rows, eid = [], 0
+    for run in range(40):
+        for i in range(rnd.randint(1, 60)):
+            rows.append((run, i, eid, float(rnd.randint(0, 4))))
+            eid += 1
+    df = spark.createDataFrame(rows, "run long, ts long, event_id long, metric double")
+    want = {}
+    for run in range(40):
+        mine = [x[3] for x in rows if x[0] == run]
+        want[run] = (len(mine), *_patience_py(mine)) if mine else None
+    for chunks in (1, 3, 16, 64):
+        got = {r.run: (r.n_steps, r.best_step, r.stop_step)
+               for r in early_stop_point(df, chunks=chunks).collect()}
+        assert got == {k: v for k, v in want.items() if v}, chunks
+
+
 def test_best_by_ties_to_first(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 0.7), (2, 0.7)], "cand int, f1_macro double")
     assert best_by(df, "f1_macro", "cand").first().cand == 1
