@@ -46,9 +46,15 @@ def top_vocabulary(counts: DataFrame, min_count: int = 2,
     count at which the top ``size`` tokens end; only tokens at or above it
     reach the bounded top-k, so its final merge holds about ``size`` rows
     whatever the number of partitions.  The id window then runs over at most
-    ``size`` rows."""
+    ``size`` rows.
+
+    The histogram grows with the data (about the square root of the token
+    count), but every row holds at least one token, so the cut lies within
+    its ``size`` largest count values: a bounded top-k keeps exactly those
+    before the running-sum window."""
     kept = counts.filter(F.col("n") >= min_count)
-    hist = kept.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
+    hist = (kept.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
+                .orderBy(F.desc("n")).limit(size))
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     cut = (hist.select("n", F.sum("_k").over(above).alias("_cum"))
                .filter(F.col("_cum") >= size)

@@ -35,3 +35,19 @@ def test_padding_per_batch(spark):
     assert got[1].attention_mask == [1, 1, 1, 0, 0]
     assert got[2].input_ids == [101, 102] and got[2].width == 2
     assert got[0].n_unk == 1
+
+
+def test_vocab_cut_matches_full_sort(spark):
+    """The histogram cut and bounded top-k equal a plain full sort, for caps
+    that fall inside a tie group and for caps larger than the histogram."""
+    from feedlens.operators.tokens import token_counts, top_vocabulary
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = token_counts(docs.select(tokens(F.col("text")).alias("tokens")))
+    pdf = counts.toPandas()
+    ranked = (pdf[pdf.n >= 2].sort_values(["n", "token"], ascending=[False, True])
+                             .reset_index(drop=True))
+    for size in (1, 37, 500, 3000, len(ranked) + 10):
+        got = top_vocabulary(counts, 2, size).toPandas().sort_values("id")
+        want = ranked.head(size)
+        assert list(got.token) == list(want.token), size
+        assert list(got.id) == list(range(FIRST_TOKEN_ID, FIRST_TOKEN_ID + len(want)))
