@@ -43,11 +43,15 @@ def _scorer(bc, carry: list[str]):
             tokens, w = bc.value
             index = pd.Index(tokens)
             prior_at = index.get_indexer([PRIOR_TOKEN])[0]
-            cache["m"] = (index, w, w[prior_at] if prior_at >= 0 else np.zeros(3, np.int64))
+            prior = w[prior_at] if prior_at >= 0 else np.zeros(3, np.int64)
+            # Rows up to this many tokens cannot overflow an int64 sum.
+            top = int(np.abs(w).max()) if len(w) else 1
+            safe = (2 ** 62 - int(np.abs(prior).max())) // max(1, top)
+            cache["m"] = (index, w, prior, safe)
         return cache["m"]
 
     def score(batches):
-        index, w, prior = model()
+        index, w, prior, safe = model()
         for pdf in batches:
             toks = pdf["tokens"]
             ok = toks.notna().to_numpy()
@@ -57,10 +61,14 @@ def _scorer(bc, carry: list[str]):
             rows = np.repeat(np.arange(len(pdf)), lens)
             at = index.get_indexer(flat) if len(flat) else np.array([], dtype=np.int64)
             hit = at >= 0
-            sums = np.zeros((len(pdf), 3), dtype=np.int64)
-            np.add.at(sums, rows[hit], w[at[hit]])
-            sums += prior
-            z = sums.astype(np.float64) / float(10 ** SCALE)
+            # Exact sums: int64, or Python ints for a batch holding a text
+            # long enough to overflow int64 (whole texts are scored).
+            wide = len(lens) and int(lens.max()) > safe
+            sums = np.zeros((len(pdf), 3), dtype=object if wide else np.int64)
+            np.add.at(sums, rows[hit], w[at[hit]].astype(object) if wide else w[at[hit]])
+            sums += prior.astype(object) if wide else prior
+            z = (np.array([[v / 10 ** SCALE for v in r] for r in sums], dtype=np.float64)
+                 if wide else sums.astype(np.float64) / float(10 ** SCALE))
             out = pdf[carry].copy()
             for k in range(3):
                 out[f"z{k}"] = np.where(ok, z[:, k], np.nan)

@@ -95,3 +95,21 @@ def test_confidence_bands(spark):
     df = spark.createDataFrame([(0.3,), (0.5,), (0.74,), (0.75,), (0.95,)], "confidence double")
     got = {r.band: (r.n, r.n_above_threshold) for r in confidence_bands(df).collect()}
     assert got == {"0-50": (1, 0), "50-75": (2, 0), "75-100": (2, 1)}
+
+
+def test_arrow_scorer_long_text_exact(spark):
+    """Weights near the DECIMAL(18,12) limit: a few tokens already pass the
+    int64 range, so the Arrow scorer switches to exact wide sums and still
+    equals the Spark decimal sums."""
+    w = spark.createDataFrame(
+        [("", "-1.0", "-2.0", "-3.0"), ("big", "-999999.123456789012", "-999998.5", "-3.25"),
+         ("b", "0.5", "-0.25", "0.125")],
+        "token string, w0 string, w1 string, w2 string")
+    w = w.select("token", *[F.col(f"w{k}").cast("decimal(18,12)").alias(f"w{k}") for k in range(3)])
+    docs = spark.createDataFrame([(1, " ".join(["big"] * 40 + ["b"] * 3)), (2, "b"), (3, None)],
+                                 "doc_id long, text string")
+    want = {r.doc_id: r.z for r in score_docs(w, docs, "doc_id", "text").collect()}
+    got = {r.doc_id: r.z for r in score_udf(docs, w).collect()}
+    assert set(got) == {1, 2, 3} and got[3] is None
+    for k in (1, 2):
+        assert got[k] == pytest.approx(want[k], rel=1e-15), k
