@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import text as T
 from feedlens.operators.tokens import MAX_LEARNED, top_vocabulary
-from feedlens.session import materialize
+from feedlens.session import checked_broadcast, materialize
 
 PRIOR_TOKEN = ""          # never emitted by the tokenizer
 WEIGHT_TYPE = "decimal(18,12)"
 N_CLASSES = len(fixed.CLASS_NAMES)
+# Weight rows a scoring join broadcasts: the vocabulary cap plus the prior
+# row, for up to this many smoothing candidates at once.
+MAX_CANDIDATES = 16
+MAX_BROADCAST_ROWS = (MAX_LEARNED + 1) * MAX_CANDIDATES
 
 
 def _log_weight(num: Column, den: Column) -> Column:
@@ -122,11 +126,12 @@ def nb_logits(weights: DataFrame, docs: DataFrame, key: str = "doc_id",
     """``(*group, key, z0, z1, z2)`` exact decimal sums of weights per document.
 
     Only ``(key, token)`` is exploded (never the text).  The weight table is
-    broadcast: its size is bounded by the vocabulary cap times the number of
-    candidates.  The per-document sums are combined map-side (a document's
+    broadcast after its rows are counted: a fitted table is bounded by the
+    vocabulary cap times the number of candidates; a larger one (e.g. loaded
+    from elsewhere) is joined by shuffle instead.  The per-document sums are combined map-side (a document's
     token rows are contiguous), so the shuffle carries about one row per
     document.  A null text yields no row (a failed score)."""
     toks = F.concat(F.array(F.lit(PRIOR_TOKEN)), T.tokens(F.col(text)))
     e = docs.select(key, F.explode(toks).alias("token"))
-    j = e.join(F.broadcast(weights), "token")
+    j = e.join(checked_broadcast(weights, MAX_BROADCAST_ROWS), "token")
     return j.groupBy(*group, key).agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(N_CLASSES)])

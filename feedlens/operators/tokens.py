@@ -75,17 +75,19 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 2,
 
 def encode_padded(df: DataFrame, vocab: DataFrame, key: str = "ord",
                   tokens: str = "tokens", batch: tuple[str, ...] = ("split", "batch_id"),
-                  keep: tuple[str, ...] = ()) -> DataFrame:
+                  keep: tuple[str, ...] = (), broadcast: bool = True) -> DataFrame:
     """Token ids, ``[CLS] ids [SEP]``, padded to the longest in each batch.
 
     One shuffle serves both steps: rows are hash-partitioned by the batch key
     first, which already satisfies the per-document regroup (document keys
-    nest inside batches) and the per-batch width window.  The vocabulary is a
-    broadcast of a capped table."""
+    nest inside batches) and the per-batch width window.  The vocabulary is
+    broadcast when it is the capped table (``broadcast=True``); otherwise it
+    is joined by shuffle."""
     cols = [key, *batch, *keep]
     d = df.select(*cols, tokens).repartition(*[F.col(b) for b in batch])
     ex = d.select(*cols, F.posexplode_outer(tokens).alias("p", "token"))
-    ids = (ex.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    v = vocab.select("token", "id")
+    ids = (ex.join(F.broadcast(v) if broadcast else v, "token", "left")
              .withColumn("id", F.when(F.col("p").isNotNull(),
                                       F.coalesce(F.col("id"), F.lit(fixed.UNK_ID)))))
     per_doc = (ids.groupBy(*cols)

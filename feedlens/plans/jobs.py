@@ -49,7 +49,11 @@ def make_datasets(split: DataFrame, max_length: int = fixed.MAX_LENGTH,
     if vocab is None:
         vocab = build_vocab(split.filter(F.col("split") == "train")
                                  .select(tokens_expr(F.col("text")).alias("tokens")))
-    enc = encode_padded(toks, vocab, "ord", "tokens", ("split", "batch_id"), keep=("label",))
+        bounded = True                      # top-k of at most MAX_LEARNED rows
+    else:
+        bounded = vocab.count() <= MAX_LEARNED
+    enc = encode_padded(toks, vocab, "ord", "tokens", ("split", "batch_id"), keep=("label",),
+                        broadcast=bounded)
     return enc.select("split", "ord", "batch_id", "input_ids", "attention_mask",
                       F.col("label").alias("labels"), "width", "n_real", "n_unk")
 

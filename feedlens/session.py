@@ -110,3 +110,13 @@ def cluster_conf(input_bytes: int, split_bytes: int = 128 << 20,
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(parts),
     }
+
+
+def checked_broadcast(df, max_rows: int):
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
+
+    The rows are counted first (for a written table this reads only the
+    Parquet footers).  Beyond the bound no hint is given: the join stays a
+    shuffle join, and AQE may still broadcast after measuring the side."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df

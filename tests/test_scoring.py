@@ -113,3 +113,25 @@ def test_arrow_scorer_long_text_exact(spark):
     assert set(got) == {1, 2, 3} and got[3] is None
     for k in (1, 2):
         assert got[k] == pytest.approx(want[k], rel=1e-15), k
+
+
+def test_weights_over_bound_join_by_shuffle(spark, sf_small, monkeypatch):
+    """A weight table over the broadcast bound is joined by shuffle, with
+    the same scores."""
+    import feedlens.operators.naive_bayes as NB
+    from feedlens.plans import fixtures as X
+    from feedlens.plans.queries import nb_model
+    w = nb_model(spark, sf_small).weights
+    docs = X.batch_texts(spark, sf_small)
+    want = {r.doc_id: r.z for r in score_docs(w, docs).collect()}
+    monkeypatch.setattr(NB, "MAX_BROADCAST_ROWS", 0)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = score_docs(w, docs)
+        got = {r.doc_id: r.z for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "BroadcastHashJoin" not in plan
+    assert got == want and len(got) > 0
