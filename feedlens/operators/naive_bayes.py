@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import text as T
 from feedlens.operators.tokens import MAX_LEARNED, top_vocabulary
-from feedlens.session import checked_broadcast, materialize
+from feedlens.session import checked_broadcast, mark_bounded, materialize
 
 PRIOR_TOKEN = ""          # never emitted by the tokenizer
 WEIGHT_TYPE = "decimal(18,12)"
@@ -101,7 +101,8 @@ def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: fl
     # Fitting is an action (as in Spark ML): the weights — at most the
     # vocabulary cap plus one row — are written once and read back, so every
     # later scoring plan starts from a small table, not from the fit's lineage.
-    return NBModel(materialize(w.unionByName(class_priors(counts)), "nb-weights"))
+    # At most the vocabulary cap plus the prior row: bounded by construction.
+    return NBModel(mark_bounded(materialize(w.unionByName(class_priors(counts)), "nb-weights")))
 
 
 def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
@@ -118,7 +119,8 @@ def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(out, "nb-grid")
+    out = materialize(out, "nb-grid")
+    return mark_bounded(out) if len(alphas) <= MAX_CANDIDATES else out
 
 
 def nb_logits(weights: DataFrame, docs: DataFrame, key: str = "doc_id",

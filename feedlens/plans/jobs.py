@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.operators import evaluation as E
 from feedlens.operators.cleaning import prepare
-from feedlens.operators.naive_bayes import NBModel, nb_fit_grid, nb_logits
+from feedlens.operators.naive_bayes import MAX_CANDIDATES, NBModel, nb_fit_grid, nb_logits
 from feedlens.operators.ordering import best_by, seeded_split
 from feedlens.operators.scoring import (class_share, drop_failed, result_table,
                                         score_docs, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
 from feedlens.functions.text import display_text, tokens as tokens_expr
-from feedlens.session import materialize
+from feedlens.session import mark_bounded, materialize
 from feedlens.sources.sinks import write_metrics_json, write_results_csv
 
 
@@ -97,6 +97,8 @@ def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> Tr
     cands = materialize(candidate_metrics(split, grid, alphas), "candidates")  # a few rows
     best = best_by(cands, "f1_macro", "cand")
     weights = grid.join(best.select("cand"), "cand", "left_semi").drop("cand")
+    if len(alphas) <= MAX_CANDIDATES:
+        weights = mark_bounded(weights)          # one candidate of a bounded grid
     model = NBModel(weights)
     test = split.filter(F.col("split") == "test")
     preds = score_docs(model.weights, test, "ord", "text", keep=("label",))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -112,11 +113,24 @@ def cluster_conf(input_bytes: int, split_bytes: int = 128 << 20,
     }
 
 
+_BOUNDED = weakref.WeakSet()
+
+
+def mark_bounded(df):
+    """Record that ``df`` is bounded by how it was built (e.g. a fitted,
+    capped weight table), so ``checked_broadcast`` needs no count."""
+    _BOUNDED.add(df)
+    return df
+
+
 def checked_broadcast(df, max_rows: int):
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
 
-    The rows are counted first (for a written table this reads only the
-    Parquet footers).  Beyond the bound no hint is given: the join stays a
-    shuffle join, and AQE may still broadcast after measuring the side."""
+    A table marked by ``mark_bounded`` is bounded by construction.  Any other
+    table is counted first (for a written table this reads only the Parquet
+    footers).  Beyond the bound no hint is given: the join stays a shuffle
+    join, and AQE may still broadcast after measuring the side."""
     from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
+    if df in _BOUNDED or df.count() <= max_rows:
+        return F.broadcast(df)
+    return df
