@@ -187,12 +187,12 @@ def has_letter(text: str | None) -> bool:
 def predict(docs: DataFrame, model: LangModel | None, columns: list[str]) -> DataFrame:
     """``columns`` of every row with ``lang_pred``, ``score`` and ``rejected``."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)      # buckets x languages integers: bounded
+    shared = sc.broadcast(vars(model) if model else None)      # buckets x languages integers: bounded
     src = docs.select(*[F.col(f"`{c}`") for c in columns],
                       F.col("text").cast("string").alias("__text"))
 
     def run(batches):
-        m = shared.value
+        m = LangModel(**shared.value) if shared.value else None
         for part in tn.chunks(batches, "__text", 1 << 20):
             raw = part.column("__text")
             letter = np.array([has_letter(t) for t in raw.to_pylist()], bool)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import langid, line_dedup, simhash
+from feedlens.llm import decontam, langid, line_dedup, packing, simhash
 from feedlens.llm.common import fold, read
 
 REGISTRY = {}
@@ -68,3 +68,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, shingle=3, max_bits=3).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- 5: best-fit packing ----------------------------------------------------
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# --- 6: benchmark decontamination -------------------------------------------
+
+DECONTAM_SQL = """
+with it as (select item_id::varchar as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+            from benchmark where item_id is not null),
+iw as (select id, least(len(w), 10) as k, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from it where len(w) > 0),
+win as (select distinct id, k, array_to_string(w[p:p + k - 1], ' ') as s from iw),
+d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+pos as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from win)),
+found as (select pos.doc_id, pos.p, pos.k, win.id from pos join win
+          on win.k = pos.k and win.s = array_to_string(pos.w[pos.p:pos.p + pos.k - 1], ' ')),
+hit as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + k)) as q from found) group by doc_id),
+ids as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as s from (select distinct doc_id, id from found) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(hit.n, 0) as n_hit, coalesce(ids.n, 0) as n_items,
+       sha256(coalesce(ids.s, '')) as items_sha256, hit.n is not null as contaminated
+from d left join hit using (doc_id) left join ids using (doc_id)
+"""
+
+
+@query("op6_decontamination", DECONTAM_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
