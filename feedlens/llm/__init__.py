@@ -8,4 +8,7 @@ import sys
 
 from pyspark import cloudpickle
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from feedlens import session
+
+for _module in (sys.modules[__name__], session):
+    cloudpickle.register_pickle_by_value(_module)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import decontam, langid, line_dedup, packing, simhash
+from feedlens.llm import decontam, langid, line_dedup, lm_interp, packing, simhash, substring_dedup
 from feedlens.llm.common import fold, read
 
 REGISTRY = {}
@@ -106,3 +106,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
                         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+# --- 4: substring dedup -----------------------------------------------------
+
+SUBSTRING_SQL = """
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 33)) as p, w from d where len(w) >= 35),
+k as (select doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) as key from p),
+again as (select key from k group by key having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(p, p + 35)) as q from k semi join again using (key)),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from d),
+y as (select x.doc_id, x.word, x.q, gone.q is not null as g from x left join gone on x.doc_id = gone.doc_id and x.q = gone.q),
+z as (select doc_id, count(*) filter (g) as n, string_agg(word, ' ' order by q) filter (not g) as t from y group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(z.n, 0) as n_removed, sha256(coalesce(z.t, '')) as kept_sha256
+from d left join z using (doc_id)
+"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=35).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# --- 7: LM scoring ----------------------------------------------------------
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, model = lm_interp.fit(read(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return lm_interp.score(counted, model).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
