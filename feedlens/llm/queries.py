@@ -9,7 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import decontam, langid, line_dedup, lm_interp, packing, simhash, substring_dedup
+import corpus_pipeline
+from feedlens.llm import (
+    ann_imi,
+    decontam,
+    langid,
+    line_dedup,
+    lm_interp,
+    packing,
+    simhash,
+    substring_dedup,
+    toxicity,
+    url_gbt,
+)
 from feedlens.llm.common import fold, read
 
 REGISTRY = {}
@@ -137,3 +149,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted, model = lm_interp.fit(read(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
     return lm_interp.score(counted, model).select(
         "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 1: nearest neighbours --------------------------------------------------
+
+@query("op1_inverted_multi_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_imi.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
+# --- 2: URL filter ----------------------------------------------------------
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_gbt.train(url_gbt.rule_labels(pages, URL_RULES))
+    return url_gbt.filter_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+# --- 8: toxicity ------------------------------------------------------------
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, fold("doc_id", 3) != 1)
+    return model.score(docs, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# --- the pipeline -----------------------------------------------------------
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
