@@ -47,7 +47,7 @@ _MAP[128:] = np.arange(128, 256)
 def pieces(texts: list[bytes], buckets: int):
     """``(bucket, doc)`` index arrays of all subwords, one pair per length."""
     text, at = tn.joined(texts)
-    b = _MAP[np.frombuffer(text, np.uint8)]
+    b = _MAP[np.frombuffer(b"\n" + text, np.uint8)]     # text d's pieces start at at[d], its border, or later
     edge = b == BORDER
     w = b.astype(np.uint32)
     three = w[:-2] | (w[1:-1] << np.uint32(8)) | (w[2:] << np.uint32(16))
