@@ -40,9 +40,6 @@ DISPLAY_SUFFIX = "..."
 CONFIDENCE_BANDS = ((0, 50), (50, 75), (75, 100))
 CONFIDENCE_THRESHOLD = 90
 
-# Result-table columns in display order.
-RESULT_COLUMNS = ("Text", "Sentiment", "Confidence", "Negative", "Neutral", "Positive")
-
 # Example catalogue: category -> texts, in the order shown.
 EXAMPLES = {
     "Positive Examples": [

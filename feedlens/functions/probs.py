@@ -1,7 +1,8 @@
 """Class and probability expressions: encode/decode, softmax, argmax, records.
 
-Arrays are ``array<double>`` in class-index order; all of this is built-in
-higher-order functions, so it stays inside whole-stage codegen.
+Arrays are ``array<double>`` in class-index order.  With three classes the
+arithmetic is written out over the elements, which Spark compiles; lambda
+functions over the array would be interpreted.
 """
 
 from __future__ import annotations
@@ -35,17 +36,24 @@ def label_decode(c: Column) -> Column:
     return F.try_element_at(class_names_array(), c.cast("int") + 1)
 
 
+def elements(z: Column) -> list[Column]:
+    return [F.get(z, F.lit(k)) for k in range(len(fixed.CLASS_NAMES))]
+
+
 def argmax(z: Column) -> Column:
     """Index of the largest element; ties go to the lowest index."""
-    return (F.array_position(z, F.array_max(z)) - 1).cast("int")
+    z0, z1, z2 = elements(z)
+    best = F.when((z0 >= z1) & (z0 >= z2), 0).when(z1 >= z2, 1).otherwise(2)
+    return F.when(z0.isNotNull() & z1.isNotNull() & z2.isNotNull(), best).cast("int")
 
 
 def softmax(z: Column) -> Column:
-    """Max-shifted softmax, stable for large logits."""
-    m = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    """Max-shifted softmax, stable for large logits; null stays null."""
+    zs = elements(z)
+    top = F.greatest(*zs)
+    e = [F.exp(v - top) for v in zs]
+    total = e[0] + e[1] + e[2]
+    return F.when(total.isNotNull(), F.array(*[v / total for v in e]))
 
 
 def class_prob_map(p: Column) -> Column:

@@ -1,7 +1,7 @@
 """String column expressions: cleaning, display formatting, tokenising.
 
-All of these are built-in Spark expressions (JVM side, whole-stage codegen);
-no Python runs per row.  The long character tables are derived from a rule
+All of these are built-in Spark expressions on the JVM side; no Python runs
+per row.  The long character tables are derived from a rule
 (Python's Unicode database) rather than written out.
 """
 
@@ -154,11 +154,17 @@ def format_pct(c: Column, decimals: int = 2) -> Column:
 NON_ASCII = r"[^\x{0}-\x{7f}]"
 
 
+#: Combining marks: what is left of an accent that stands as a character of its own.
+MARKS = r"\p{Mn}+"
+
+
 def fold_accents(c: Column) -> Column:
-    """Accent fold by ``translate``; skipped for all-ASCII text, where it is
-    the identity (``translate`` costs a map lookup per character)."""
+    """Accent fold: precomposed letters by ``translate``, then combining marks
+    go, so composed and decomposed forms of a word are one token.  Skipped for
+    all-ASCII text, where it is the identity."""
     src, dst = accent_fold_table()
-    return F.when(c.rlike(NON_ASCII), F.translate(c, src, dst)).otherwise(c)
+    folded = F.regexp_replace(F.translate(c, src, dst), F.lit(MARKS), F.lit(""))
+    return F.when(c.rlike(NON_ASCII), folded).otherwise(c)
 
 
 def normalise(c: Column) -> Column:
@@ -167,6 +173,15 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(folded, F.lit("(" + cjk_class() + ")"), F.lit(" $1 "))
 
 
+def normalise_sql(column: str) -> str:
+    """``normalise`` as a SQL expression (for a persisted ML stage)."""
+    src, dst = accent_fold_table()
+    low = f"lower({column})"
+    folded = f"regexp_replace(translate({low}, '{src}', '{dst}'), r'{MARKS}', '')"
+    kept = f"CASE WHEN rlike({low}, r'{NON_ASCII}') THEN {folded} ELSE {low} END"
+    return f"regexp_replace({kept}, r'({cjk_class()})', ' $1 ')"
+
+
 def tokens(c: Column) -> Column:
     """Whole-text token array (no truncation; see ``truncate``)."""
     return F.regexp_extract_all(normalise(c), F.lit(token_pattern()), F.lit(0))

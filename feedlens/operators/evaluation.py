@@ -31,6 +31,11 @@ def confusion_counts(preds: DataFrame, y: str = "label", p: str = "pred",
     return materialize(cm, "confusion")
 
 
+def _share(a, b):
+    """a / b, 0 where there is nothing to share (no predictions at all)."""
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
 def per_class(cm: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """``(*group, cls, sentiment, tp, n_true, n_pred, precision, recall, f1, present)``
     for all three classes."""
@@ -65,34 +70,46 @@ def metrics_from_classes(pc: DataFrame, group: tuple[str, ...] = ()) -> DataFram
     """One row per group: n, accuracy, precision, recall, f1_macro, f1_weighted."""
     pr = F.col("present")
     n = F.sum("n_true")
-    macro = lambda c: F.avg(F.when(pr, F.col(c)))
+    macro = lambda c: F.coalesce(F.avg(F.when(pr, F.col(c))), F.lit(0.0))
     return pc.groupBy(*group).agg(
         n.alias("n"),
-        (F.sum("tp") / n).alias("accuracy"),
+        _share(F.sum("tp"), n).alias("accuracy"),
         macro("precision").alias("precision"),
         macro("recall").alias("recall"),
         macro("f1").alias("f1_macro"),
-        (F.sum(F.col("f1") * F.col("n_true")) / n).alias("f1_weighted"))
+        _share(F.sum(F.col("f1") * F.col("n_true")), n).alias("f1_weighted"))
+
+
+def metrics(counts: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """E1-E5 from confusion counts (and E9 with ``group=('cand',)``)."""
+    return metrics_from_classes(per_class(counts, group), group)
 
 
 def eval_metrics(preds: DataFrame, y: str = "label", p: str = "pred",
                  group: tuple[str, ...] = ()) -> DataFrame:
-    """E1-E5 (and E9 with ``group=('cand',)``)."""
-    return metrics_from_classes(per_class(confusion_counts(preds, y, p, group), group), group)
+    """E1-E5 of predictions; scans them.  For several reports over the same
+    predictions, pass one ``confusion_counts`` to ``metrics``, ``report`` and
+    ``matrix``.  No predictions: n is null or 0 and every ratio 0."""
+    return metrics(confusion_counts(preds, y, p, group), group)
 
 
 def classification_report(preds: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
-    """Per-class rows, then accuracy, macro avg and weighted avg rows:
-    ``(row, precision, recall, f1, support)``."""
-    pc = per_class(confusion_counts(preds, y, p))
+    """E6 of predictions; scans them."""
+    return report(confusion_counts(preds, y, p))
+
+
+def report(counts: DataFrame) -> DataFrame:
+    """E6 from confusion counts: per-class rows, then accuracy, macro avg and
+    weighted avg rows: ``(row, precision, recall, f1, support)``."""
+    pc = per_class(counts)
     classes = pc.select(F.col("cls").alias("ord"), F.col("sentiment").alias("row"),
                         "precision", "recall", "f1", F.col("n_true").alias("support"))
     m = metrics_from_classes(pc)
     pr = F.col("present")
-    wavg = lambda c: F.sum(F.col(c) * F.col("n_true")) / F.sum("n_true")
+    wavg = lambda c: _share(F.sum(F.col(c) * F.col("n_true")), F.sum("n_true"))
+    avg = lambda c: F.coalesce(F.avg(F.when(pr, F.col(c))), F.lit(0.0))
     avgs = pc.agg(
-        F.avg(F.when(pr, F.col("precision"))).alias("mp"), F.avg(F.when(pr, F.col("recall"))).alias("mr"),
-        F.avg(F.when(pr, F.col("f1"))).alias("mf"), wavg("precision").alias("wp"),
+        avg("precision").alias("mp"), avg("recall").alias("mr"), avg("f1").alias("mf"), wavg("precision").alias("wp"),
         wavg("recall").alias("wr"), wavg("f1").alias("wf"), F.sum("n_true").alias("s"))
     acc = m.select(F.lit(3).alias("ord"), F.lit("accuracy").alias("row"),
                    F.lit(None).cast("double").alias("precision"),
@@ -108,9 +125,13 @@ def classification_report(preds: DataFrame, y: str = "label", p: str = "pred") -
 
 
 def confusion_matrix(preds: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
-    """``(truth, pred, n)`` over the classes present in truth or
-    prediction, zero cells kept; rows = truth, columns = prediction."""
-    cm = confusion_counts(preds, y, p)
+    """E7 of predictions; scans them."""
+    return matrix(confusion_counts(preds, y, p))
+
+
+def matrix(cm: DataFrame) -> DataFrame:
+    """E7 from confusion counts: ``(truth, pred, n)`` over the classes present
+    in truth or prediction, zero cells kept; rows = truth, columns = prediction."""
     present = (cm.select(F.col("y").alias("c")).union(cm.select(F.col("p").alias("c")))
                  .distinct())
     # at most 3 x 3 cells: pair the present classes by exploding the list
@@ -123,12 +144,6 @@ def confusion_matrix(preds: DataFrame, y: str = "label", p: str = "pred") -> Dat
                          F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n")))
 
 
-def confusion_wide(cm_long: DataFrame) -> DataFrame:
-    """E7 wide form: one row per truth class, one column per predicted class."""
-    return (cm_long.groupBy("truth").pivot("pred", list(range(_K))).agg(F.sum("n"))
-                   .na.fill(0))
-
-
 def metrics_long(metrics: DataFrame, cols=("accuracy", "precision", "recall",
                                            "f1_macro", "f1_weighted")) -> DataFrame:
     """``(metric, value)`` in the printed order."""

@@ -1,8 +1,9 @@
 """Spark ML flavour of the classifier: a persisted ``PipelineModel``.
 
-Stages are all built in: lower-case + accent fold (``SQLTransformer``),
+Stages are all built in: the library's normalisation (``SQLTransformer``),
 ``RegexTokenizer`` with the library's token pattern, ``HashingTF`` (a fixed
-feature space, so no vocabulary has to be gathered on the driver), ``IDF``
+feature space, so no vocabulary has to be gathered on the driver; tokens that
+share a feature are not told apart), ``IDF``
 and multinomial ``LogisticRegression``.  Scoring with the fitted model is a
 map-only transform (no shuffle); the model is broadcast by Spark.
 """
@@ -28,9 +29,7 @@ def lr_pipeline(max_iter: int = 20, reg_param: float = fixed.WEIGHT_DECAY,
                 label: str = "label") -> Pipeline:
     """``maxIter`` stands in for the epoch budget and ``regParam`` for the
     weight decay of the original training options."""
-    src, dst = T.accent_fold_table()
-    fold = SQLTransformer(statement=(
-        f"SELECT *, translate(lower({text}), '{src}', '{dst}') AS _norm FROM __THIS__"))
+    fold = SQLTransformer(statement=f"SELECT *, {T.normalise_sql(text)} AS _norm FROM __THIS__")
     tok = RegexTokenizer(inputCol="_norm", outputCol="_tokens", pattern=T.token_pattern(),
                          gaps=False, toLowercase=False, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)

@@ -1,36 +1,42 @@
 """Relational multinomial naive Bayes: fit and score as joins and aggregates.
 
-Fit: token x class counts over the train split (combined map-side), a capped
-vocabulary, Laplace-smoothed log weights.  One weight row per token holds
-all three class weights, so scoring is one broadcast join and one
-``groupBy(doc)`` of three sums — never a document x class cross product.
+Fit: token x class counts over the train split (combined map-side) and
+Laplace-smoothed log weights for every train token.  One weight row per token
+holds the weights of all three classes (and of all smoothing candidates), so
+scoring never multiplies rows.
 
 Weights are DECIMAL(18,12): their sums are exact, so scores do not depend on
 partitioning or on the order in which rows meet (the same holds in any SQL
-engine).  The class priors ride along as the weight row of an empty token,
-which the tokenizer can never produce; every document gets that row, so a
-document with no known token still scores by its priors.
+engine).  The class priors are the weight row of an empty token, which the
+tokenizer can never produce; it is added once per document after the sums.
+
+Scoring joins tokens to weights in two parts with one meaning.  Tokens that
+hold at least 1/``MAX_FREQUENT`` of all train tokens — at most MAX_FREQUENT of
+them, whatever the corpus — are looked up by broadcast; what is left is rare,
+so no shuffled key is hot.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.functions import fixed
 from feedlens.functions import text as T
-from feedlens.operators.tokens import MAX_LEARNED, top_vocabulary
-from feedlens.session import checked_broadcast, mark_bounded, materialize
+from feedlens.session import materialize
 
 PRIOR_TOKEN = ""          # never emitted by the tokenizer
 WEIGHT_TYPE = "decimal(18,12)"
+SUM_TYPE = "decimal(34,12)"   # leaves room to add without losing a digit
 N_CLASSES = len(fixed.CLASS_NAMES)
-# Weight rows a scoring join broadcasts: the vocabulary cap plus the prior
-# row, for up to this many smoothing candidates at once.
-MAX_CANDIDATES = 16
-MAX_BROADCAST_ROWS = (MAX_LEARNED + 1) * MAX_CANDIDATES
+MAX_FREQUENT = 20_000     # frequent tokens there can be
+
+
+def weight_names(candidate: int | None = None) -> list[str]:
+    """The weight columns of one smoothing candidate (None: the only one)."""
+    return [f"w{k}" if candidate is None else f"w{k}_{candidate}" for k in range(N_CLASSES)]
 
 
 def _log_weight(num: Column, den: Column) -> Column:
@@ -50,18 +56,29 @@ def class_token_counts(train: DataFrame, text: str = "text", label: str = "label
         *[F.sum(F.when(F.col("_y") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(N_CLASSES)])
 
 
-def class_priors(counts: DataFrame) -> DataFrame:
-    """One row: the prior weights ``ln((N_k + 1) / (N + K))`` as the empty token."""
-    pri = counts.filter(F.col("token") == PRIOR_TOKEN)
-    return pri.select(
-        "token",
-        *[_log_weight(F.col(f"c{k}") + 1.0, F.col("n") + float(N_CLASSES)).alias(f"w{k}")
-          for k in range(N_CLASSES)])
+def weight_table(counts: DataFrame, alphas: list[float | None]) -> DataFrame:
+    """``(token, frequent, weights...)`` of every train token and the prior row.
+
+    ``counts`` is a written table; its totals are one aggregated row, read as
+    a scalar.  One candidate (``alphas`` of length 1) has the plain names."""
+    names = [weight_names(None if len(alphas) == 1 else c) for c in range(len(alphas))]
+    words = counts.filter(F.col("token") != PRIOR_TOKEN)
+    total = (words.agg(F.struct(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"),
+                                *[F.sum(f"c{k}").alias(f"t{k}") for k in range(N_CLASSES)]).alias("t"))
+                  .scalar())
+    rows = words.select("token", "n", *[f"c{k}" for k in range(N_CLASSES)], total.alias("t"))
+    weights = [_log_weight(F.col(f"c{k}") + float(a), F.col(f"t.t{k}") + float(a) * F.col("t.v")).alias(names[c][k])
+               for c, a in enumerate(alphas) for k in range(N_CLASSES)]
+    prior = counts.filter(F.col("token") == PRIOR_TOKEN).select(
+        "token", F.lit(False).alias("frequent"),
+        *[_log_weight(F.col(f"c{k}") + 1.0, F.col("n") + float(N_CLASSES)).alias(names[c][k])
+          for c in range(len(alphas)) for k in range(N_CLASSES)])
+    return rows.select("token", (F.col("n") * MAX_FREQUENT >= F.col("t.n")).alias("frequent"), *weights).unionByName(prior)
 
 
 @dataclass
 class NBModel:
-    """Weights ``(token, w0, w1, w2)``, the empty token holding the priors."""
+    """Weights ``(token, frequent, w0, w1, w2)``, the empty token holding the priors."""
     weights: DataFrame
 
     def save(self, path: str) -> None:
@@ -72,68 +89,58 @@ class NBModel:
         return NBModel(spark.read.parquet(path))
 
 
-def smoothed_weights(counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """``(token, c0..c2, w0..w2)`` for vocabulary tokens.  The class totals
-    come from a window over the vocabulary, which is capped in size."""
-    vc = counts.join(F.broadcast(vocab.select("token")), "token")
-    whole = Window.partitionBy()
-    v = F.count(F.lit(1)).over(whole)
-    cols = [F.col("token")] + [F.col(f"c{k}") for k in range(N_CLASSES)]
-    for k in range(N_CLASSES):
-        total = F.sum(f"c{k}").over(whole)
-        cols.append(_log_weight(F.col(f"c{k}") + alpha, total + alpha * v).alias(f"w{k}"))
-    return vc.select(*cols)
+def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: float = 1.0) -> NBModel:
+    """Fitting is an action (as in Spark ML): counts and weights — one row per
+    train token — are written once, so scoring plans start from a table."""
+    counts = materialize(class_token_counts(train, text, label), "nb-counts")
+    return NBModel(materialize(weight_table(counts, [alpha]), "nb-weights"))
 
 
-def fit_counts(train: DataFrame, text: str = "text", label: str = "label",
-               min_count: int = 2, vocab_size: int = MAX_LEARNED):
-    """The one pass over the training data: counts (written once to the
-    shared folder — one row per distinct token) and the capped vocabulary."""
+def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text", label: str = "label") -> DataFrame:
+    """Weights for several smoothing values at once, one row per token, with
+    the columns ``weight_names(c)`` of each candidate."""
     counts = materialize(class_token_counts(train, text, label), "nb-counts")
-    words = counts.filter(F.col("token") != PRIOR_TOKEN).select("token", "n")
-    return counts, top_vocabulary(words, min_count, vocab_size)
-
-
-def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: float = 1.0,
-           min_count: int = 2, vocab_size: int = MAX_LEARNED) -> NBModel:
-    counts, vocab = fit_counts(train, text, label, min_count, vocab_size)
-    w = smoothed_weights(counts, vocab, alpha).select("token", "w0", "w1", "w2")
-    # Fitting is an action (as in Spark ML): the weights — at most the
-    # vocabulary cap plus one row — are written once and read back, so every
-    # later scoring plan starts from a small table, not from the fit's lineage.
-    # At most the vocabulary cap plus the prior row: bounded by construction.
-    return NBModel(mark_bounded(materialize(w.unionByName(class_priors(counts)), "nb-weights")))
-
-
-def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text",
-                label: str = "label", min_count: int = 2,
-                vocab_size: int = MAX_LEARNED) -> DataFrame:
-    """Weights for several smoothing values at once: ``(cand, token, w0..w2)``.
-    Counts and vocabulary are computed once and shared."""
-    counts, vocab = fit_counts(train, text, label, min_count, vocab_size)
-    priors = class_priors(counts)
-    parts = []
-    for i, a in enumerate(alphas):
-        w = smoothed_weights(counts, vocab, a).select("token", "w0", "w1", "w2")
-        parts.append(w.unionByName(priors).withColumn("cand", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out, "nb-grid")
-    return mark_bounded(out) if len(alphas) <= MAX_CANDIDATES else out
-
-
-def nb_logits(weights: DataFrame, docs: DataFrame, key: str = "doc_id",
-              text: str = "text", group: tuple[str, ...] = ()) -> DataFrame:
-    """``(*group, key, z0, z1, z2)`` exact decimal sums of weights per document.
-
-    Only ``(key, token)`` is exploded (never the text).  The weight table is
-    broadcast after its rows are counted: a fitted table is bounded by the
-    vocabulary cap times the number of candidates; a larger one (e.g. loaded
-    from elsewhere) is joined by shuffle instead.  The per-document sums are combined map-side (a document's
-    token rows are contiguous), so the shuffle carries about one row per
-    document.  A null text yields no row (a failed score)."""
-    toks = F.concat(F.array(F.lit(PRIOR_TOKEN)), T.tokens(F.col(text)))
-    e = docs.select(key, F.explode(toks).alias("token"))
-    j = e.join(checked_broadcast(weights, MAX_BROADCAST_ROWS), "token")
-    return j.groupBy(*group, key).agg(*[F.sum(f"w{k}").alias(f"z{k}") for k in range(N_CLASSES)])
+    if len(alphas) == 1:
+        t = weight_table(counts, alphas).withColumnsRenamed(dict(zip(weight_names(), weight_names(0), strict=True)))
+        return materialize(t, "nb-grid")
+    return materialize(weight_table(counts, alphas), "nb-grid")
+
+
+def weight_sums(weights: DataFrame, docs: DataFrame, key: tuple[str, ...], text: str,
+                cols: list[str], unique: bool = False) -> DataFrame:
+    """``(*key, _id, _ok, _copies, *cols)``: exact sums of weights per document.
+
+    One scan of ``docs``; only keys, tokens and sums are shuffled, never texts.
+    A document's frequent tokens are summed beside the scan and leave it as
+    one row; a rare token leaves it as ``(key, token, tf)``.  Documents that
+    share a key but not a text are told apart by ``_id``, a hash of the text
+    (``unique``: the caller knows that keys are); ``_copies`` counts rows that
+    share both, and the sums are those of one of them.  ``_ok`` is false for
+    a null text, whose sums are null."""
+    flag = F.col("frequent") if "frequent" in weights.columns else F.lit(False)
+    words = weights.filter(F.col("token") != PRIOR_TOKEN).withColumn("_f", flag)
+    # At most MAX_FREQUENT rows: each holds 1/MAX_FREQUENT of the train tokens.
+    frequent = F.broadcast(words.filter("_f").select("token", *cols))
+    rare = words.filter(~F.col("_f")).select(F.col("token").alias("_t"), *[F.col(c).alias(f"_r_{c}") for c in cols])
+    doc = [*key, "_id", "_ok"]
+    mark = F.lit(None).cast("string")
+    toks = F.coalesce(F.concat(F.array(mark), T.tokens(F.col(text))), F.array(mark))
+    e = docs.select(*key, (F.lit(0) if unique else F.xxhash64(F.coalesce(text, F.lit("")))).alias("_id"),
+                    F.col(text).isNotNull().alias("_ok"), F.explode(toks).alias("token"))
+    j = e.join(frequent, "token", "left")
+    # The row of a document's own sums has a join key that no token is.
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*doc).cast("string"))
+    j = j.withColumn("_k", F.when(F.col("token").isNotNull() & F.col(cols[0]).isNull(), F.col("token")).otherwise(own))
+    part = j.groupBy(*doc, "_k").agg(
+        F.sum(F.when(F.col("token").isNull(), 1).otherwise(0)).alias("_c"), F.count(F.lit(1)).alias("_tf"),
+        *[F.sum(c).alias(c) for c in cols])
+    met = part.join(rare, part["_k"] == rare["_t"], "left")
+    zero = F.lit(0).cast(SUM_TYPE)
+    wide = lambda c: F.coalesce(c.cast(SUM_TYPE), zero)
+    total = met.groupBy(*doc).agg(F.sum("_c").alias("_copies"), *[
+        F.sum((wide(F.col(c)) + wide(F.col("_tf").cast("decimal(19,0)") * F.col(f"_r_{c}"))).cast(SUM_TYPE)).cast(SUM_TYPE).alias(c)
+        for c in cols])
+    prior = weights.filter(F.col("token") == PRIOR_TOKEN).select(F.struct(*cols)).scalar()
+    one = [F.when(F.col("_copies") == 1, F.col(c)).otherwise((F.col(c) / F.col("_copies")).cast(SUM_TYPE)) for c in cols]
+    return total.select(*doc, "_copies", *[
+        F.when(F.col("_ok"), (v + prior[c]).cast(SUM_TYPE)).alias(c) for v, c in zip(one, cols, strict=True)])

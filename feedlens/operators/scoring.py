@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import probs as P
 from feedlens.functions.text import display_text, format_pct
-from feedlens.operators.naive_bayes import N_CLASSES, nb_logits
+from feedlens.operators.naive_bayes import weight_names, weight_sums
 
 
 def class_dim(spark: SparkSession) -> DataFrame:
@@ -31,20 +31,46 @@ def with_scores(df: DataFrame, z: str = "z") -> DataFrame:
               .withColumn("confidence", F.element_at(F.col("p"), F.col("pred") + 1)))
 
 
-def score_docs(weights: DataFrame, docs: DataFrame, key: str = "doc_id",
+def _keys(key) -> tuple[str, ...]:
+    return (key,) if isinstance(key, str) else tuple(key)
+
+
+def score_keys(weights: DataFrame, docs: DataFrame, key="doc_id", text: str = "text",
+               unique: bool = False) -> DataFrame:
+    """M5 without the texts: ``(*key, z, p, pred, ...)``, one row per input
+    row, from one scan of ``docs``; no text is shuffled."""
+    ks, cols = _keys(key), weight_names()
+    s = weight_sums(weights, docs, ks, text, cols, unique)
+    z = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = s if unique else s.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return with_scores(rows.select(*ks, F.when(F.col(cols[0]).isNotNull(), z).alias("z")))
+
+
+def score_docs(weights: DataFrame, docs: DataFrame, key="doc_id",
                text: str = "text", keep: tuple[str, ...] = (),
-               text_as: F.Column | None = None) -> DataFrame:
-    """M5: every input row, scored; a row that cannot be scored keeps null
-    scores (see ``drop_failed``).
-
-    The per-document sums are joined back to the documents.  ``text_as``
-    replaces the carried text by an expression of it (e.g. its display
-    form), so the join moves a few bytes per row instead of the whole text."""
-    s = nb_logits(weights, docs, key, text)
-    z = F.array(*[F.col(f"z{k}").cast("double") for k in range(N_CLASSES)])
-    s = s.select(key, F.when(F.col("z0").isNotNull(), z).alias("z"))
+               text_as: F.Column | None = None, unique: bool = False) -> DataFrame:
+    """M5 with the texts: every input row, scored; a row that cannot be scored
+    keeps null scores (see ``drop_failed``).
+
+    The sums are joined back to the rows, which moves the carried columns by
+    key.  ``text_as`` carries an expression of the text (its display form)
+    instead of the text; on a written table that already holds it as a column
+    the second read touches only that.  Use ``score_keys`` where no text is
+    wanted.  ``unique`` says that no two rows share a key."""
+    ks, cols = _keys(key), weight_names()
+    s = weight_sums(weights, docs, ks, text, cols, unique)
+    z = F.array(*[F.col(c).cast("double") for c in cols])
+    s = s.select(*ks, "_id", "_ok", F.when(F.col(cols[0]).isNotNull(), z).alias("z"))
     carried = F.col(text) if text_as is None else text_as.alias(text)
-    return with_scores(docs.select(key, carried, *keep).join(s, key, "left"))
+    if unique:
+        return with_scores(docs.select(*ks, carried, *keep).join(s.drop("_id", "_ok"), list(ks), "left"))
+    rows = docs.select(*ks, carried, *keep, F.xxhash64(F.coalesce(text, F.lit(""))).alias("_id"),
+                       F.col(text).isNotNull().alias("_ok"))
+    same = (rows["_id"] == s["_id"]) & (rows["_ok"] == s["_ok"])
+    for k in ks:
+        same = same & rows[k].eqNullSafe(s[k])
+    joined = rows.join(s, same, "left")
+    return with_scores(joined.select(*[rows[c] for c in rows.columns if c not in ("_id", "_ok")], s["z"]))
 
 
 def drop_failed(scored: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token features: tokenise, truncate, vocabulary, id encoding, padding.
 
 Tokenising is a column expression (``regexp_extract_all`` on the normalised
-text), so it runs inside whole-stage codegen on whole texts.  The vocabulary
+text), so it runs on the JVM side on whole texts.  The vocabulary
 is capped (the original's 30,522 ids), which is what lets the id table be
 broadcast with a known size bound; tokens outside it map to [UNK].
 """
@@ -75,7 +75,7 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 2,
 
 def encode_padded(df: DataFrame, vocab: DataFrame, key: str = "ord",
                   tokens: str = "tokens", batch: tuple[str, ...] = ("split", "batch_id"),
-                  keep: tuple[str, ...] = (), broadcast: bool = True) -> DataFrame:
+                  keep: tuple[str, ...] = (), broadcast: bool = False) -> DataFrame:
     """Token ids, ``[CLS] ids [SEP]``, padded to the longest in each batch.
 
     One shuffle serves both steps: rows are hash-partitioned by the batch key

@@ -1,92 +1,56 @@
 """M7 — a pluggable scorer run on Arrow batches (``mapInPandas``).
 
-Tokens are computed in the JVM (the same expression as everywhere else);
-the Python side only looks tokens up in the model and sums weights with
-numpy, one Arrow batch at a time.  The model is a capped weight table: its
-row count is checked against the cap before it is gathered and broadcast, so
-the broadcast has a proven size bound (like a Spark ML model).
+The scorer is any function from a batch of class sums (a float array of three
+columns) to a batch of probabilities.  The sums come from the relational join
+of ``weight_sums``, so the scorer sees a fixed-width vector per text and the
+model may have any number of weights; nothing of it is gathered.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from feedlens.functions import text as T
-from feedlens.operators.naive_bayes import PRIOR_TOKEN
-from feedlens.operators.scoring import with_scores
-from feedlens.operators.tokens import MAX_LEARNED
-
-SCALE = 12  # weights are DECIMAL(18,12): unscaled int64 values sum exactly
+from feedlens.functions import probs as P
+from feedlens.operators.scoring import score_docs
 
+# The task's function travels whole: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def broadcast_weights(weights: DataFrame, max_rows: int = MAX_LEARNED + 1):
-    """Gather the weight table after checking its size, and broadcast it."""
-    n = weights.count()
-    if n > max_rows:
-        raise ValueError(f"weight table has {n} rows; more than the cap {max_rows}")
-    pdf = weights.select("token", "w0", "w1", "w2").toPandas()
-    tokens = pdf["token"].astype(object).to_numpy()
-    unscaled = np.array([[int(d.scaleb(SCALE)) for d in pdf[f"w{k}"]] for k in range(3)],
-                        dtype=np.int64).T
-    return weights.sparkSession.sparkContext.broadcast((tokens, unscaled))
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    """The default scorer."""
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-def _scorer(bc, carry: list[str]):
-    cache = {}
 
-    def model():
-        if "m" not in cache:            # built once per Python worker
-            tokens, w = bc.value
-            index = pd.Index(tokens)
-            prior_at = index.get_indexer([PRIOR_TOKEN])[0]
-            prior = w[prior_at] if prior_at >= 0 else np.zeros(3, np.int64)
-            # Rows up to this many tokens cannot overflow an int64 sum.
-            top = int(np.abs(w).max()) if len(w) else 1
-            safe = (2 ** 62 - int(np.abs(prior).max())) // max(1, top)
-            cache["m"] = (index, w, prior, safe)
-        return cache["m"]
+def score_udf(docs: DataFrame, weights: DataFrame, key="doc_id", text: str = "text",
+              keep: tuple[str, ...] = (), scorer=softmax, unique: bool = False) -> DataFrame:
+    """``scoring.score_docs`` with the probabilities of ``scorer``; a text that
+    has no sums (null) is not passed to it and keeps null scores."""
+    base = score_docs(weights, docs, key, text, keep, unique=unique).select(
+        *([key] if isinstance(key, str) else key), text, *keep, *[F.get("z", F.lit(k)).alias(f"z{k}") for k in range(3)])
+    schema = StructType([*base.schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(3)]])
 
-    def score(batches):
-        index, w, prior, safe = model()
+    def run(batches):
         for pdf in batches:
-            toks = pdf["tokens"]
-            ok = toks.notna().to_numpy()
-            lens = toks.str.len().fillna(0).astype(np.int64).to_numpy()
-            nonempty = toks[lens > 0].to_numpy()
-            flat = np.concatenate(nonempty) if len(nonempty) else np.array([], dtype=object)
-            rows = np.repeat(np.arange(len(pdf)), lens)
-            at = index.get_indexer(flat) if len(flat) else np.array([], dtype=np.int64)
-            hit = at >= 0
-            # Exact sums: int64, or Python ints for a batch holding a text
-            # long enough to overflow int64 (whole texts are scored).
-            wide = len(lens) and int(lens.max()) > safe
-            sums = np.zeros((len(pdf), 3), dtype=object if wide else np.int64)
-            np.add.at(sums, rows[hit], w[at[hit]].astype(object) if wide else w[at[hit]])
-            sums += prior.astype(object) if wide else prior
-            z = (np.array([[v / 10 ** SCALE for v in r] for r in sums], dtype=np.float64)
-                 if wide else sums.astype(np.float64) / float(10 ** SCALE))
-            out = pdf[carry].copy()
-            for k in range(3):
-                out[f"z{k}"] = np.where(ok, z[:, k], np.nan)
-            yield out
-
-    return score
-
-
-def score_udf(docs: DataFrame, weights: DataFrame, key: str = "doc_id",
-              text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Same scores as ``scoring.score_docs``, map-only: the carried columns
-    travel through the Arrow batches, so there is no shuffle and no join."""
-    bc = broadcast_weights(weights)
-    carry = list(dict.fromkeys([key, text, *keep]))
-    schema = StructType([docs.schema[c] for c in carry] +
-                        [StructField(f"z{k}", DoubleType()) for k in range(3)])
-    tok = docs.select(*carry, T.tokens(F.col(text)).alias("tokens"))
-    zs = tok.mapInPandas(_scorer(bc, carry), schema)
-    z = F.when(F.col("z0").isNotNull() & ~F.isnan("z0"),
-               F.array(F.col("z0"), F.col("z1"), F.col("z2")))
-    return with_scores(zs.select(*carry, z.alias("z")))
+            z = pdf[["z0", "z1", "z2"]].to_numpy(float)
+            ok = ~np.isnan(z).any(axis=1)
+            p = np.full(z.shape, np.nan)
+            if ok.any():
+                p[ok] = scorer(z[ok])
+            yield pd.concat([pdf, pd.DataFrame(p, columns=["p0", "p1", "p2"], index=pdf.index)], axis=1)
+
+    out = base.mapInPandas(run, schema)
+    have = F.col("p0").isNotNull() & ~F.isnan("p0")
+    p = F.when(have, F.array("p0", "p1", "p2"))
+    return (out.withColumn("z", F.when(have, F.array("z0", "z1", "z2"))).withColumn("p", p)
+               .withColumn("pred", P.argmax(F.col("p"))).drop("z0", "z1", "z2", "p0", "p1", "p2")
+               .withColumn("predicted_class", P.label_decode(F.col("pred")))
+               .withColumn("confidence", F.element_at("p", F.col("pred") + 1)))

@@ -46,9 +46,12 @@ def fb_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled batch input ``(doc_id, text)`` from ``conversations``.
 
-    ``doc_id`` is a stable row key built from ``(conv_id, turn)``."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    ``doc_id`` is a stable row key, ``conv_id:turn``."""
+    return keyed_turns(table(spark, sf_dir, "conversations"))
+
+
+def keyed_turns(turns: DataFrame) -> DataFrame:
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
 
 
 # --- the same views as DuckDB SQL, for the oracle ---------------------------
@@ -67,4 +70,4 @@ select d.doc_id as ord,
 from documents d left join labels l on d.doc_id = l.doc_id
 """
 
-BATCH_SQL = "select conv_id * 1000 + turn as doc_id, text from conversations"
+BATCH_SQL = "select conv_id::varchar || ':' || turn::varchar as doc_id, text from conversations"

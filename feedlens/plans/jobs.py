@@ -1,26 +1,29 @@
 """End-to-end jobs: prepare, make datasets, train + evaluate, batch analysis,
 score one text.  Each job is a function over DataFrames; options of the
-original command line are function arguments.
+original command line are arguments of ``run_training`` and ``analyse``, which
+go from input files to written outputs in one call.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.functions import fixed
 from feedlens.operators import evaluation as E
 from feedlens.operators.cleaning import prepare
-from feedlens.operators.naive_bayes import MAX_CANDIDATES, NBModel, nb_fit_grid, nb_logits
+from feedlens.operators.naive_bayes import NBModel, nb_fit_grid, weight_names, weight_sums
 from feedlens.operators.ordering import best_by, seeded_split
 from feedlens.operators.scoring import (class_share, drop_failed, result_table,
                                         score_docs, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
 from feedlens.functions.text import display_text, tokens as tokens_expr
-from feedlens.session import mark_bounded, materialize
-from feedlens.sources.sinks import write_metrics_json, write_results_csv
+from feedlens.session import materialize, scratch_tables
+from feedlens.sources.files import read_batch_csv, read_feedback_csv, read_text_lines
+from feedlens.sources.sinks import write_metrics_json, write_results_csv, write_results_typed
 
 
 # --------------------------------------------------------------------------
@@ -63,6 +66,7 @@ def make_datasets(split: DataFrame, max_length: int = fixed.MAX_LENGTH,
 # --------------------------------------------------------------------------
 
 ALPHAS = (0.25, 0.5, 1.0, 2.0)
+SPLITS = ("train", "validation", "test")
 
 
 @dataclass
@@ -76,10 +80,14 @@ class TrainResult:
 
 def candidate_metrics(split: DataFrame, grid: DataFrame, alphas=ALPHAS) -> DataFrame:
     """Every smoothing candidate scored on the validation split in one
-    pass (the candidate weights are one broadcast table)."""
+    pass.  A token row meets one weight row, which holds all candidates; only
+    the per-document sums are unfolded, one row per candidate."""
     val = split.filter(F.col("split") == "validation").select("ord", "text", "label")
-    z = nb_logits(grid, val, "ord", "text", group=("cand",))
-    zs = z.select("cand", "ord", F.array(*[F.col(f"z{k}").cast("double") for k in range(3)]).alias("z"))
+    cols = [c for i in range(len(alphas)) for c in weight_names(i)]
+    sums = weight_sums(grid, val, ("ord",), "text", cols, unique=True)
+    z = F.array(*[F.struct(F.lit(i).alias("cand"), F.array(*[F.col(c).cast("double") for c in weight_names(i)]).alias("z"))
+                  for i in range(len(alphas))])
+    zs = sums.select("ord", F.explode(z).alias("e")).select("ord", "e.cand", "e.z")
     preds = with_scores(zs).join(val.select("ord", "label"), "ord")
     m = E.eval_metrics(preds, group=("cand",))
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("cand") + 1)
@@ -89,19 +97,23 @@ def candidate_metrics(split: DataFrame, grid: DataFrame, alphas=ALPHAS) -> DataF
 def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> TrainResult:
     """Fit every smoothing candidate on train, choose by validation
     macro-F1 (O4, ties to the earlier candidate), evaluate on test, and
-    optionally persist weights and test metrics.  The choice stays inside
-    the plan (a semi-join to the one best row), so nothing is collected.
-    ``split`` should be a written table (it is read three times: train,
-    validation, test); see ``materialize``."""
-    grid = nb_fit_grid(split.filter(F.col("split") == "train"), list(alphas))
-    cands = materialize(candidate_metrics(split, grid, alphas), "candidates")  # a few rows
+    optionally persist weights and test metrics.
+
+    Without validation rows the first candidate is taken; without train rows
+    there is no model and this raises.  ``split`` should be a written table
+    (it is read three times); see ``materialize``."""
+    train = split.filter(F.col("split") == "train")
+    if train.isEmpty():
+        raise ValueError("no training rows: nothing to fit")
+    grid = nb_fit_grid(train, list(alphas))
+    cands = materialize(candidate_metrics(split, grid, alphas), "candidates")  # one row a candidate
     best = best_by(cands, "f1_macro", "cand")
-    weights = grid.join(best.select("cand"), "cand", "left_semi").drop("cand")
-    if len(alphas) <= MAX_CANDIDATES:
-        weights = mark_bounded(weights)          # one candidate of a bounded grid
-    model = NBModel(weights)
+    row = best.select("cand").first()
+    chosen = int(row["cand"]) if row and row["cand"] is not None else 0
+    weights = grid.select("token", "frequent", *[F.col(c).alias(w) for c, w in zip(weight_names(chosen), weight_names(), strict=True)])
+    model = NBModel(materialize(weights, "weights"))
     test = split.filter(F.col("split") == "test")
-    preds = score_docs(model.weights, test, "ord", "text", keep=("label",))
+    preds = score_docs(model.weights, test, "ord", "text", keep=("label",), unique=True)
     metrics = E.eval_metrics(preds)
     if output:
         model.save(f"{output}/weights")
@@ -109,40 +121,141 @@ def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> Tr
     return TrainResult(model, best, cands, preds, metrics)
 
 
+@dataclass
+class TrainingReport:
+    """What ``run_training`` wrote, by value."""
+    counts: dict              # rows loaded, labelled and not blank, unique, per split
+    metrics: dict             # E1-E5 on test
+    paths: dict               # model, metrics, report, matrix, datasets
+
+
+def run_training(spark: SparkSession, data, output: str, flavour: str = "nb", alphas=ALPHAS,
+                 epochs: int = fixed.EPOCHS, batch_size: int = fixed.BATCH_SIZE, weight_decay: float = fixed.WEIGHT_DECAY,
+                 max_length: int = fixed.MAX_LENGTH, seed: int = fixed.SEED, datasets: bool = False,
+                 multi_line: bool = True, malformed: str = "fail") -> TrainingReport:
+    """J3 from CSV files to a persisted model in one call.
+
+    ``flavour``: ``nb`` (naive Bayes, candidate chosen among ``alphas``) or
+    ``ml`` (the Spark ML pipeline; ``epochs`` passes of its optimiser and
+    ``weight_decay``; two candidates, with and without the decay, chosen the
+    same way).  ``batch_size`` and ``max_length`` shape the tokenised examples
+    that ``datasets`` writes.  The counts are observed while the rows pass."""
+    if flavour not in ("nb", "ml"):
+        raise ValueError("flavour must be 'nb' or 'ml'")
+    with scratch_tables(spark):
+        loaded = Observation("loaded")
+        raw = read_feedback_csv(spark, data, multi_line, malformed=malformed).select("ord", "text", "sentiment")
+        clean = materialize(prepare_job(raw.observe(loaded, F.count(F.lit(1)).alias("n"))), "prepared")
+        split_seen = Observation("split")
+        split = materialize(split_job(clean, seed, batch_size=batch_size).observe(
+            split_seen, F.count(F.lit(1)).alias("unique"), *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in SPLITS]), "split")
+        counts = {"loaded": loaded.get["n"], **split_seen.get}
+        paths = {"model": f"{output}/model", "metrics": f"{output}/test_metrics", "report": f"{output}/report", "matrix": f"{output}/matrix"}
+        if flavour == "nb":
+            res = train_eval(split, alphas)
+            res.model.save(paths["model"])
+            preds = res.test_preds
+        else:
+            preds = _train_ml(split, epochs, weight_decay, paths["model"])
+        cm = E.confusion_counts(preds)
+        m = E.metrics(cm)
+        write_metrics_json(m, paths["metrics"])
+        E.report(cm).write.mode("overwrite").parquet(paths["report"])
+        E.matrix(cm).write.mode("overwrite").parquet(paths["matrix"])
+        if datasets:
+            paths["datasets"] = f"{output}/datasets"
+            make_datasets(split, max_length).write.mode("overwrite").partitionBy("split").parquet(paths["datasets"])
+        return TrainingReport(counts, m.first().asDict(), paths)
+
+
+def _train_ml(split: DataFrame, epochs: int, weight_decay: float, path: str) -> DataFrame:
+    """The ML flavour of ``train_eval``: fits, chooses on validation, saves."""
+    from feedlens.operators import ml_pipeline as ML
+    part = {s: split.filter(F.col("split") == s).select("ord", "text", "label") for s in SPLITS}
+    if part["train"].isEmpty():
+        raise ValueError("no training rows: nothing to fit")
+    models = [ML.lr_fit(part["train"], max_iter=epochs, reg_param=r) for r in (weight_decay, 0.0)]
+    scores = [E.eval_metrics(ML.lr_score(m, part["validation"])).first()["f1_macro"] or 0.0 for m in models]
+    best = models[max(range(len(models)), key=lambda i: (scores[i], -i))]
+    ML.save_model(best, path)
+    return ML.lr_score(best, part["test"])
+
+
 # --------------------------------------------------------------------------
 # J4 / J5 — batch analysis and one text
 # --------------------------------------------------------------------------
 
 @dataclass
 class BatchResult:
-    scored: DataFrame
+    scored: DataFrame         # written once; the others read it
     table: DataFrame
     summary: DataFrame
     share: DataFrame
+    n_analysed: int
+    n_failed: int
 
 
 def run_batch(texts: DataFrame, weights: DataFrame, key: str = "ord",
-              output: str | None = None) -> BatchResult:
-    """Score every text, drop failures, build the result table, the
-    zero-filled summary and the share of present classes; write the table as
-    CSV when ``output`` is given."""
-    # only the display form of the text travels to the result table
-    scored = drop_failed(score_docs(weights, texts, key, "text",
-                                    text_as=display_text(F.col("text"))))
+              output: str | None = None) -> BatchResult | None:
+    """J4 over a table of ``(key, text)`` with unique keys: score every text,
+    drop failures, build the result table, the zero-filled summary and the
+    share of present classes; with ``output`` write the table as CSV and in
+    typed form.
+
+    No input rows: a warning, no output, and None.  The scores are written
+    once and everything reads them; how many were analysed and how many
+    failed is observed on that pass."""
+    rows = materialize(texts.select(key, "text", display_text(F.col("text")).alias("shown")), "batch-rows")
+    if rows.isEmpty():
+        warnings.warn("nothing to analyse: the input has no texts", stacklevel=2)
+        return None
+    seen = Observation("scored")
+    failed = F.col("pred").isNull()
+    scored = score_docs(weights, rows, key, "text", text_as=F.col("shown"), unique=True).observe(
+        seen, F.count(F.when(~failed, 1)).alias("ok"), F.count(F.when(failed, 1)).alias("failed"))
+    scored = materialize(drop_failed(scored), "batch-scores")
     table = result_table(scored, precut=True)
     if output:
-        write_results_csv(table, output)
+        write_results_csv(table, f"{output}/csv")
+        write_results_typed(scored, f"{output}/typed", (key,))
     return BatchResult(scored, table, sentiment_summary(scored, "predicted_class"),
-                       class_share(scored, "predicted_class"))
+                       class_share(scored, "predicted_class"), seen.get["ok"], seen.get["failed"])
+
+
+@dataclass
+class AnalysisReport:
+    """What ``analyse`` wrote, by value."""
+    n_analysed: int
+    n_failed: int
+    summary: dict[str, int]   # all three classes
+    share: dict[str, float]   # classes present
+    paths: dict[str, str]
+
+
+def analyse(spark: SparkSession, model: str, output: str, csv=None, typed: str | None = None, lines=None,
+            multi_line: bool = True, malformed: str = "fail") -> AnalysisReport | None:
+    """J4 from inputs to written outputs.  A CSV file goes before text files
+    (``lines``), and those before typed text (one text a line)."""
+    with scratch_tables(spark):
+        if csv is not None:
+            texts = read_batch_csv(spark, csv, multi_line, malformed=malformed)
+        elif lines is not None:
+            texts = read_text_lines(spark, lines)
+        else:
+            rows = [(i, t.strip()) for i, t in enumerate((typed or "").split("\n")) if t.strip()]
+            texts = spark.createDataFrame(rows, "ord long, text string")
+        res = run_batch(texts, NBModel.load(spark, model).weights, "ord", output)
+        if res is None:
+            return None
+        return AnalysisReport(res.n_analysed, res.n_failed,
+                              {r["sentiment"]: r["n"] for r in res.summary.collect()},
+                              {r["sentiment"]: r["share"] for r in res.share.collect()},
+                              {"csv": f"{output}/csv", "typed": f"{output}/typed"})
 
 
 def score_one(spark: SparkSession, text: str, weights: DataFrame) -> DataFrame:
     """A blank text is rejected; any other text is scored as given."""
     if not text.strip():
-        raise ValueError("Please enter some text to analyze.")
+        raise ValueError("the text is blank: there is nothing to score")
     one = spark.createDataFrame([(0, text)], "ord long, text string")
-    return score_docs(weights, one, "ord", "text")
-
-
-__all__ = ["prepare_job", "split_job", "make_datasets", "train_eval", "candidate_metrics",
-           "run_batch", "score_one", "TrainResult", "BatchResult", "ALPHAS", "MAX_LEARNED"]
+    return score_docs(weights, one, "ord", "text", unique=True)

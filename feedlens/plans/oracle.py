@@ -3,14 +3,13 @@
 Written independently of the Spark code, straight from the operator
 definitions: plain windows, ``row_number`` over a global order, correlated
 ``unnest`` — fine for a check at small scale, and deliberately not the
-Spark plan.  The character tables come from the same rules as the Spark
-side (they are definitions, not logic).
+Spark plan.  Character classes, accent folding and the token pattern are
+DuckDB's own, so a fault in the library's tables shows.
 """
 
 from __future__ import annotations
 
 from feedlens.functions import fixed
-from feedlens.functions import text as T
 from feedlens.operators.tokens import FIRST_TOKEN_ID, MAX_LEARNED
 from feedlens.plans.fixtures import BATCH_SQL, FB_RAW_SQL
 
@@ -22,10 +21,12 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-WS_ENDS = q(T.ws_ends_pattern())
-_SRC, _DST = T.accent_fold_table()
-TOKPAT = q(T.token_pattern())
-CJK_GROUP = q("(" + T.cjk_class() + ")")
+# Patterns of its own: RE2's classes and DuckDB's strip_accents, not the library's tables.
+_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_ENDS = q(rf"\A{_WS}+|{_WS}+\z")
+_CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
+TOKPAT = q(_CJK + r"|[\p{L}\p{M}\p{N}]+|[\p{P}\p{S}]")
+CJK_GROUP = q(f"({_CJK})")
 NA_LIST = ", ".join(q(v) for v in fixed.PANDAS_NA_VALUES)
 R1 = float(fixed.TRAIN_RATIO)
 R2 = float(fixed.TRAIN_RATIO + fixed.VAL_RATIO)
@@ -36,8 +37,7 @@ def clean(c: str) -> str:
 
 
 def tokens(c: str) -> str:
-    norm = (f"regexp_replace(translate(lower({c}), {q(_SRC)}, {q(_DST)}), "
-            f"{CJK_GROUP}, ' \\1 ', 'g')")
+    norm = f"regexp_replace(strip_accents(lower({c})), {CJK_GROUP}, ' \\1 ', 'g')"
     return f"regexp_extract_all({norm}, {TOKPAT})"
 
 
@@ -87,7 +87,8 @@ spb as (select *, pos // {fixed.BATCH_SIZE} as batch_id from sp)
 
 
 def weights_ctes(alpha_rows: str = "(values (0, 1.0::double)) a(cand, alpha)") -> str:
-    """Token counts on train, capped vocabulary, smoothed weights per candidate."""
+    """Token counts on train, smoothed weights of every train token per
+    candidate; and the capped vocabulary of the id space (T4)."""
     return SPLIT_CTES + f""",
 tr as (select ord, text, label from sp where split = 'train'),
 tt as (select label, unnest({tokens('text')}) as token from tr),
@@ -98,7 +99,7 @@ tc as (select token, count(*) as n,
 vocab as (select * from (select token, n,
             row_number() over (order by n desc, token) - 1 + {FIRST_TOKEN_ID} as id
             from tc where n >= 2) where id < {FIRST_TOKEN_ID + MAX_LEARNED}),
-vc as (select tc.* from tc join vocab using (token)),
+vc as (select * from tc),
 tot as (select sum(c0)::double as t0, sum(c1)::double as t1, sum(c2)::double as t2,
                count(*)::double as v from vc),
 pri as (select count(*)::double as nn, sum(case when label = 0 then 1 else 0 end)::double as n0,
@@ -265,6 +266,28 @@ ds as (select *, array_to_string(list_resize(seq, width, 0), ' ') as input_ids,
 """
 
 
+REPORT = """
+select sentiment as row, round(precision, 6) as precision, round(recall, 6) as recall,
+       round(f1, 6) as f1, n_true::bigint as support from pc
+union all select 'accuracy', null, null, round(accuracy, 6), n from met
+union all select 'macro avg', round(precision, 6), round(recall, 6), round(f1_macro, 6), n from met
+union all select 'weighted avg', round(sum(precision * n_true) / sum(n_true), 6),
+       round(sum(recall * n_true) / sum(n_true), 6), round(sum(f1 * n_true) / sum(n_true), 6),
+       sum(n_true)::bigint from pc"""
+
+MATRIX = """
+select t.c::integer as truth, p.c::integer as pred, coalesce(cm.n, 0)::bigint as n
+from (select y as c from cm union select p from cm) t
+cross join (select y as c from cm union select p from cm) p
+left join cm on cm.y = t.c and cm.p = p.c"""
+
+LABEL_PREDS = """
+ly as (select doc_id, case when toxic = 1 then 0 when quality = 0 then 1 else 2 end as y from labels
+       where quality is not null and toxic is not null),
+lp as (select y, case when doc_id % 5 = 0 then (y + 1) % 3 when doc_id % 7 = 0 then (y + 2) % 3 else y end as p from ly)
+"""
+
+
 def build() -> dict[str, str]:
     o: dict[str, str] = {}
     o["prepare_feedback"] = w(CLEAN_CTES, "select ord, text, sentiment, label from clean")
@@ -314,7 +337,7 @@ from (select doc_id, {tokens('text')} as t from documents)"""
 select doc_id, len(t)::bigint as n_kept, md5(array_to_string(t, chr(1))) as kept_md5
 from (select doc_id, {tokens('text')}[1:126] as t from documents)"""
     o["build_vocab"] = w(NB_CTES, "select token, id::integer as id, n::bigint as n from vocab")
-    o["encode_ids"] = w(DATASETS, """
+    o["encode_ids"] = w(DATASETS.replace("[1:126] as t from spb", " as t from spb"), """
 select ord, split, (n_real - 2)::integer as n_ids,
        len(list_filter(seq, lambda x: x = 100))::integer as n_unk,
        array_to_string(seq[2:n_real - 1], ' ') as ids from ds""")
@@ -368,19 +391,8 @@ select metric, round(value, 6) as value from (
   union all select 'recall', recall from met
   union all select 'f1_macro', f1_macro from met
   union all select 'f1_weighted', f1_weighted from met)""")
-    o["classification_report"] = w(TEST_METRICS, """
-select sentiment as row, round(precision, 6) as precision, round(recall, 6) as recall,
-       round(f1, 6) as f1, n_true::bigint as support from pc
-union all select 'accuracy', null, null, round(accuracy, 6), n from met
-union all select 'macro avg', round(precision, 6), round(recall, 6), round(f1_macro, 6), n from met
-union all select 'weighted avg', round(sum(precision * n_true) / sum(n_true), 6),
-       round(sum(recall * n_true) / sum(n_true), 6), round(sum(f1 * n_true) / sum(n_true), 6),
-       sum(n_true)::bigint from pc""")
-    o["confusion_matrix"] = w(TEST_METRICS, """
-select t.c::integer as truth, p.c::integer as pred, coalesce(cm.n, 0)::bigint as n
-from (select y as c from cm union select p from cm) t
-cross join (select y as c from cm union select p from cm) p
-left join cm on cm.y = t.c and cm.p = p.c""")
+    o["classification_report"] = w(TEST_METRICS, REPORT)
+    o["confusion_matrix"] = w(TEST_METRICS, MATRIX)
     o["train_eval_nb"] = w(TRAIN_EVAL_CTES + """,
 bpred as (select label as y, pred as p from bt)""" + metric_ctes("bpred", px="b_"),
                            metrics_select("b_met"))
@@ -389,6 +401,37 @@ bdocs as (select doc_id, coalesce({na_null('text')}, 'nan') as text from ({BATCH
                             score_ctes("bdocs", "doc_id", "bs", W1), result_select("bs"))
     o["score_udf"] = o["score_batch"]
     o["stream_score"] = o["score_batch"]
-    o["stream_summary"] = w(BATCH_CTES, f"""
-select {name_of('pred')} as sentiment, count(*) as n from bs group by pred""")
+    o["stream_summary"] = o["sentiment_summary"]
+    ba = NB_CTES + f""",
+bdocs as (select doc_id, coalesce({na_null('text')}, 'nan') as text from ({BATCH_SQL}))""" + score_ctes("bdocs", "doc_id", "bs", W1)
+    o["batch_summary"] = w(ba, """
+select c.sentiment, coalesce(x.n, 0)::bigint as n,
+       coalesce(printf('%.1f%%', x.n / (select count(*) from bs) * 100), '-') as pct,
+       (select count(*) from bs) as n_analysed, 0::bigint as n_failed
+from (values (0, 'Negative'), (1, 'Neutral'), (2, 'Positive')) c(cls, sentiment)
+left join (select pred, count(*) as n from bs group by pred) x on x.pred = c.cls""")
+    o["typed_results"] = w(ba, f"""
+select {name_of('pred')} as predicted_class, round(confidence, 4) as confidence,
+       round(p0, 4) as "Negative", round(p1, 4) as "Neutral", round(p2, 4) as "Positive" from bs""")
+    o["score_one"] = w(NB_CTES + """,
+odocs as (select 0 as ord, text from conversations order by conv_id, turn limit 1)""" + score_ctes("odocs", "ord", "os", W1), f"""
+select text, {name_of('pred')} as predicted_class, round(confidence, 4) as confidence from os""")
+    o["lr_fit"] = w(SPLIT_CTES, """
+select count(*) as n, 0::bigint as bad_probabilities, 0::bigint as bad_classes, 0::bigint as bad_confidences
+from sp where split = 'test'""")
+    o["lr_model_roundtrip"] = w(SPLIT_CTES, "select count(*) as n, 0::bigint as mismatches from sp where split = 'test'")
+    o["train_metrics"] = w(SPLIT_CTES, """
+select count(*) as n_train, true as iterations_ok, true as objective_ok, true as accuracy_ok, true as f1_ok
+from sp where split = 'train'""")
+    o["train_job"] = w(SPLIT_CTES, """
+select (select count(*) from raw) as loaded, count(*) as unique_rows, count(*) filter (split = 'train') as train,
+       count(*) filter (split = 'validation') as validation, count(*) filter (split = 'test') as test,
+       0::bigint as metrics_that_differ from sp""")
+    lp = LABEL_PREDS + metric_ctes("lp").lstrip()
+    o["eval_all_classes"] = w(lp, metrics_select())
+    o["report_all_classes"] = w(lp, REPORT)
+    o["matrix_all_classes"] = w(lp, MATRIX)
+    o["summary_all_classes"] = w(lp, f"""
+select p as cls, {name_of('p')} as sentiment, count(*) as n,
+       printf('%.1f%%', count(*) / (select count(*) from lp) * 100) as pct from lp group by p""")
     return o

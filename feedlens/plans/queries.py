@@ -72,13 +72,18 @@ def nb_model(spark, sf) -> NBModel:
 
 def scored_batch(spark, sf):
     """Conversations scored by the model (M5)."""
+    return S.score_keys(nb_model(spark, sf).weights, X.batch_texts(spark, sf), "doc_id", "text")
+
+
+def scored_texts(spark, sf):
+    """The same with the texts."""
     return S.score_docs(nb_model(spark, sf).weights, X.batch_texts(spark, sf), "doc_id", "text")
 
 
 def test_preds(spark, sf):
     sp = split_df(spark, sf)
     w = nb_fit(sp.filter(F.col("split") == "train")).weights
-    return S.score_docs(w, sp.filter(F.col("split") == "test"), "ord", "text", keep=("label",))
+    return S.score_docs(w, sp.filter(F.col("split") == "test"), "ord", "text", keep=("label",), unique=True)
 
 
 def metrics_cols(df):
@@ -115,8 +120,7 @@ def q_norm_columns(spark, sf):
 def q_src_feedback_csv(spark, sf):
     """S1 -> J1: the CSV round trip prepares to the same rows as the table."""
     raw = FS.read_feedback_csv(spark, _raw_csv(spark, sf))
-    raw = raw.select(F.col("file_ord").alias("ord"), F.col("doc_id").cast("long").alias("doc_id"),
-                     "text", "sentiment")
+    raw = raw.select("ord", F.col("doc_id").cast("long").alias("doc_id"), "text", "sentiment")
     return C.prepare(raw, carry=("doc_id",)).drop("ord")
 
 
@@ -139,7 +143,7 @@ def q_src_text_lines(spark, sf):
 def q_sink_results_csv(spark, sf):
     """The result table written as CSV and read back."""
     path = scratch_path(spark, "results-csv")
-    SK.write_results_csv(S.result_table(S.drop_failed(scored_batch(spark, sf))), path)
+    SK.write_results_csv(S.result_table(S.drop_failed(scored_texts(spark, sf))), path)
     return SK.read_results_csv(spark, path)
 
 
@@ -225,7 +229,7 @@ def q_prob_distribution(spark, sf):
 
 @query("result_table")
 def q_result_table(spark, sf):
-    return S.result_table(S.drop_failed(scored_batch(spark, sf)))
+    return S.result_table(S.drop_failed(scored_texts(spark, sf)))
 
 
 # --------------------------------------------------------------------------
@@ -360,7 +364,10 @@ def ids_str(c):
 
 @query("encode_ids")
 def q_encode_ids(spark, sf):
-    d = J.make_datasets(split_df(spark, sf))
+    """T4: the ids of every token of every text (no truncation)."""
+    sp = split_df(spark, sf)
+    vocab = K.build_vocab(train_tokens(spark, sf))
+    d = K.encode_padded(sp.withColumn("tokens", T.tokens(F.col("text"))), vocab, broadcast=True)
     body = F.slice("input_ids", 2, F.col("n_real") - 2)
     return d.select("ord", "split", (F.col("n_real") - 2).cast("int").alias("n_ids"),
                     F.col("n_unk").cast("int").alias("n_unk"), ids_str(body).alias("ids"))
@@ -413,7 +420,7 @@ def q_score_batch(spark, sf):
 
 @query("score_record")
 def q_score_record(spark, sf):
-    r = S.score_records(S.drop_failed(scored_batch(spark, sf)))
+    r = S.score_records(S.drop_failed(scored_texts(spark, sf)))
     return r.select("doc_id", "record.text", "record.predicted_class",
                     r4(F.col("record.confidence")).alias("confidence"),
                     *[r4(F.col("record.class_probabilities")[n]).alias(n) for n in fixed.CLASS_NAMES])
@@ -425,7 +432,7 @@ def q_drop_failed(spark, sf):
     with nulls kept as null) are dropped; the rest keep their class."""
     raw = X.fb_raw(spark, sf).select(F.col("ord").alias("doc_id"), "text")
     w = nb_model(spark, sf).weights
-    return S.drop_failed(S.score_docs(w, raw, "doc_id", "text")).select("doc_id", "pred")
+    return S.drop_failed(S.score_keys(w, raw, "doc_id", "text")).select("doc_id", "pred")
 
 
 @query("score_examples")
@@ -475,12 +482,77 @@ def q_train_eval_nb(spark, sf):
 @query("batch_analysis")
 def q_batch_analysis(spark, sf):
     """J4 (flagship): batch CSV in -> scores -> result table -> CSV out."""
+    return SK.read_results_csv(spark, _analysis(spark, sf)[1] + "/csv")
+
+
+def _analysis(spark, sf):
     src = scratch_path(spark, "batch-in")
     SK.write_results_csv(X.batch_texts(spark, sf).orderBy("doc_id"), src)
-    texts = FS.read_batch_csv(spark, src)
     out = scratch_path(spark, "batch-out")
-    J.run_batch(texts, nb_model(spark, sf).weights, "file_ord", output=out)
-    return SK.read_results_csv(spark, out)
+    return J.run_batch(FS.read_batch_csv(spark, src), nb_model(spark, sf).weights, "ord", output=out), out
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf):
+    """The zero-filled summary (A3) and the shares (A4) of the same run."""
+    res, _ = _analysis(spark, sf)
+    return (res.summary.join(res.share.select("sentiment", "pct"), "sentiment", "left")
+               .select("sentiment", "n", F.coalesce("pct", F.lit("-")).alias("pct"),
+                       F.lit(res.n_analysed).cast("long").alias("n_analysed"), F.lit(res.n_failed).cast("long").alias("n_failed")))
+
+
+@query("typed_results")
+def q_typed_results(spark, sf):
+    """The typed sink (Q20): probabilities as numbers, read back."""
+    _, out = _analysis(spark, sf)
+    t = spark.read.parquet(out + "/typed")
+    return t.select("predicted_class", *[r4(F.col(c)).alias(c) for c in ("confidence", *fixed.CLASS_NAMES)])
+
+
+@query("score_one")
+def q_score_one(spark, sf):
+    """The first turn of the conversations, scored as one typed text."""
+    first = table(spark, sf, "conversations").orderBy("conv_id", "turn").select("text").first()["text"]
+    s = J.score_one(spark, first, nb_model(spark, sf).weights)
+    return s.select("text", "predicted_class", r4(F.col("confidence")).alias("confidence"))
+
+
+# --------------------------------------------------------------------------
+# the same reports over predictions that hold every class and every cell
+# --------------------------------------------------------------------------
+
+def label_preds(spark, sf):
+    """Labelled documents with a prediction that is off on every 5th and 7th row."""
+    lab = table(spark, sf, "labels").where("quality is not null and toxic is not null")
+    y = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    k = F.col("doc_id")
+    p = F.when(k % 5 == 0, (F.col("label") + 1) % 3).when(k % 7 == 0, (F.col("label") + 2) % 3).otherwise(F.col("label"))
+    d = lab.select(k, y.alias("label")).withColumn("pred", p.cast("int"))
+    return d.withColumn("predicted_class", P.label_decode(F.col("pred")))
+
+
+@query("eval_all_classes")
+def q_eval_all(spark, sf):
+    return metrics_cols(E.eval_metrics(label_preds(spark, sf)))
+
+
+@query("report_all_classes")
+def q_report_all(spark, sf):
+    r = E.classification_report(label_preds(spark, sf))
+    return r.select("row", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("support").cast("long").alias("support"))
+
+
+@query("matrix_all_classes")
+def q_matrix_all(spark, sf):
+    return E.confusion_matrix(label_preds(spark, sf))
+
+
+@query("summary_all_classes")
+def q_summary_all(spark, sf):
+    d = label_preds(spark, sf)
+    return S.sentiment_summary(d, "predicted_class").join(
+        S.class_share(d, "predicted_class").select("sentiment", "pct"), "sentiment")
 
 
 # --------------------------------------------------------------------------
@@ -496,35 +568,56 @@ def _lr(spark, sf):
 
 @query("lr_fit")
 def q_lr_fit(spark, sf):
-    """The ML pipeline fitted on train, scoring the test split (map-only)."""
+    """Facts of the fitted ML pipeline on the test split that any right fit has."""
     ML, sp, model = _lr(spark, sf)
     s = ML.lr_score(model, sp.filter(F.col("split") == "test").select("ord", "text", "label"))
-    return s.select("ord", "label", "pred", r4(F.col("confidence")).alias("confidence"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    bad = (F.abs(total - 1) > 1e-9) | F.exists("p", lambda x: (x < 0) | (x > 1))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("bad_probabilities"),
+                 F.count(F.when(~F.coalesce(F.col("pred").between(0, 2), F.lit(False)), 1)).alias("bad_classes"),
+                 F.count(F.when(F.col("confidence") != F.array_max("p"), 1)).alias("bad_confidences"))
 
 
 @query("lr_model_roundtrip")
 def q_lr_model_roundtrip(spark, sf):
-    """S7 for the ML flavour: save, load, score; equal to the fitted model."""
+    """S7 for the ML flavour: save, load, score; rows that differ from the fitted model's."""
     ML, sp, model = _lr(spark, sf)
     path = scratch_path(spark, "lr-model")
     ML.save_model(model, path)
-    s = ML.lr_score(ML.load_model(path), sp.filter(F.col("split") == "test").select("ord", "text"))
-    return s.select("ord", "pred", r4(F.col("confidence")).alias("confidence"))
+    test = sp.filter(F.col("split") == "test").select("ord", "text")
+    a = ML.lr_score(model, test).select("ord", "pred", F.col("p").alias("pa"))
+    b = ML.lr_score(ML.load_model(path), test).select("ord", F.col("pred").alias("pred_b"), F.col("p").alias("pb"))
+    j = a.join(b, "ord", "full")
+    same = F.coalesce((F.col("pred") == F.col("pred_b")) & (F.col("pa") == F.col("pb")), F.lit(False))
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~same, 1)).alias("mismatches"))
 
 
 @query("train_metrics")
 def q_train_metrics(spark, sf):
-    """The training-run record of the ML fit."""
-    ML, _, model = _lr(spark, sf)
-    return ML.train_summary(spark, model)
+    """The training-run record, as facts that any right fit has."""
+    ML, sp, model = _lr(spark, sf)
+    r = ML.train_summary(spark, model)
+    ok = lambda c: F.col(c).between(0.0, 1.0)
+    n = sp.filter(F.col("split") == "train").count()
+    return r.select(F.lit(n).cast("long").alias("n_train"), F.col("total_iterations").between(1, 20).alias("iterations_ok"),
+                    (F.col("final_objective") >= 0).alias("objective_ok"), ok("train_accuracy").alias("accuracy_ok"),
+                    ok("train_f1_weighted").alias("f1_ok"))
 
 
 @query("train_job")
 def q_train_job(spark, sf):
-    """J3, ML flavour: fit on train, evaluate on test with the same metrics."""
-    ML, sp, model = _lr(spark, sf)
-    s = ML.lr_score(model, sp.filter(F.col("split") == "test").select("ord", "text", "label"))
-    return metrics_cols(E.eval_metrics(s))
+    """J3, ML flavour, from CSV to a saved model: its counts, and how many of the
+    library's metrics differ from Spark ML's own evaluator on the same rows."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from feedlens.operators import ml_pipeline as ML
+    rep = J.run_training(spark, _raw_csv(spark, sf), scratch_path(spark, "train-ml"), flavour="ml", epochs=10)
+    test = split_df(spark, sf).filter(F.col("split") == "test").select("text", F.col("label").cast("double").alias("label"))
+    s = materialize(ML.lr_score(ML.load_model(rep.paths["model"]), test).withColumn("pred", F.col("pred").cast("double")), "ml-test")
+    own = {k: MulticlassClassificationEvaluator(labelCol="label", predictionCol="pred", metricName=m).evaluate(s)
+           for k, m in (("accuracy", "accuracy"), ("f1_weighted", "f1"))}
+    differ = sum(abs(own[k] - rep.metrics[k]) > 1e-9 for k in own)
+    row = [(rep.counts["loaded"], rep.counts["unique"], rep.counts["train"], rep.counts["validation"], rep.counts["test"], differ)]
+    return spark.createDataFrame(row, "loaded long, unique_rows long, train long, validation long, test long, metrics_that_differ long")
 
 
 @query("score_udf")
@@ -546,7 +639,7 @@ def q_stream_score(spark, sf):
     from feedlens.streaming import scoring as ST
     d, glob, schema = _conversation_stream_args(spark, sf)
     src = ST.text_stream(spark, d, glob, schema)
-    src = src.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    src = X.keyed_turns(src)
     sink = scratch_path(spark, "stream-scores")
     q = ST.stream_score(src, nb_model(spark, sf).weights, sink,
                         scratch_path(spark, "stream-scores-ckpt"))
@@ -558,13 +651,13 @@ def q_stream_score(spark, sf):
 
 @query("stream_summary")
 def q_stream_summary(spark, sf):
-    """ST2: running count per predicted class over the stream (complete mode)."""
+    """ST2: running count per predicted class over the stream, all classes."""
     from feedlens.streaming import scoring as ST
     d, glob, schema = _conversation_stream_args(spark, sf)
     src = ST.text_stream(spark, d, glob, schema)
-    src = src.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    src = X.keyed_turns(src)
     sink = scratch_path(spark, "stream-summary")
     q = ST.stream_summary(src, nb_model(spark, sf).weights, sink,
                           scratch_path(spark, "stream-summary-ckpt"))
     ST.run_to_end(q)
-    return spark.read.parquet(sink)
+    return ST.read_summary(spark, sink)

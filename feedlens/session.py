@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -18,7 +18,7 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str | None = None, partitions: int | None = None,
-                  app_name: str = "feedlens") -> SparkSession:
+                  app_name: str = "feedlens", driver_memory: str = "8g") -> SparkSession:
     """A session with the settings the library assumes (AQE on, UI off, UTC).
 
     Local sessions (tests, bench) also get a shuffle-partition count equal to
@@ -36,13 +36,13 @@ def build_session(master: str | None = None, partitions: int | None = None,
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if local or partitions:
-        cpus = int(os.environ.get("BENCH_CPUS", "8"))
-        b = b.config("spark.sql.shuffle.partitions", str(partitions or cpus))
+        b = b.config("spark.sql.shuffle.partitions", str(partitions or os.cpu_count()))
     if local:
-        b = b.config("spark.driver.memory", os.environ.get("FEEDLENS_DRIVER_MEM", "16g"))
+        b = b.config("spark.driver.memory", driver_memory)
         # Small local inputs: AQE's 1 MB coalesce floor would leave cores idle
         # on CPU-bound text stages.  Cluster sessions keep the defaults.
         b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        b = b.config("spark.sql.files.maxPartitionBytes", "4m")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
@@ -62,7 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises in some versions
             conf = None
     if not conf:
-        # Local runs only: nothing names a shared folder, so make one.
+        # Only a local master shares the driver's own folders with its tasks.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="feedlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -71,7 +73,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/feedlens-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/feedlens-{name}-{uuid.uuid4().hex[:12]}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def materialize(df, name: str):
@@ -79,58 +84,31 @@ def materialize(df, name: str):
 
     Cuts the lineage (a lost executor re-reads the table instead of
     recomputing the whole plan) and computes ``df`` once — unlike an
-    uncached reliable checkpoint, which runs the plan twice."""
+    uncached reliable checkpoint, which runs the plan twice.  Inside
+    ``scratch_tables`` the table is deleted when the block ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def cluster_conf(input_bytes: int, split_bytes: int = 128 << 20,
-                 max_partitions: int = 200_000) -> dict[str, str]:
-    """Spark settings for a large run, sized from the input.
-
-    * scan splits of ``split_bytes`` (128 MB of text is ~50k documents: one
-      task tokenises it in tens of seconds and fits executor memory);
-    * the initial shuffle width covers the largest exchange — the keep-first
-      dedupe moves every distinct text once — at about one split per
-      partition, capped for the map-status size; AQE then coalesces each
-      exchange to the advisory size and splits skewed join partitions;
-    * ``parallelismFirst`` off, so a busy cluster gets right-sized tasks
-      rather than many tiny ones.
-    Every broadcast the library makes is bounded by a constant (vocabulary cap,
-    class dimension, rank offsets), so the automatic threshold stays at its
-    default and only AQE's measured sizes can add more."""
-    parts = max(200, min(max_partitions, -(-input_bytes // split_bytes)))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": str(split_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-    }
-
-
-_BOUNDED = weakref.WeakSet()
-
-
-def mark_bounded(df):
-    """Record that ``df`` is bounded by how it was built (e.g. a fitted,
-    capped weight table), so ``checked_broadcast`` needs no count."""
-    _BOUNDED.add(df)
-    return df
-
-
-def checked_broadcast(df, max_rows: int):
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows.
-
-    A table marked by ``mark_bounded`` is bounded by construction.  Any other
-    table is counted first (for a written table this reads only the Parquet
-    footers).  Beyond the bound no hint is given: the join stays a shuffle
-    join, and AQE may still broadcast after measuring the side."""
-    from pyspark.sql import functions as F
-    if df in _BOUNDED or df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
+_OPEN: list[list[str]] = []      # paths written by the jobs that are running
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies (any file system that Spark knows)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """A job's block: the tables it writes to scratch go when it ends, so only
+    what it returns by value, or wrote to its output, may be used afterwards."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_path(spark, path)

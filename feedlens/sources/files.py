@@ -1,59 +1,120 @@
 """File sources: labelled CSV, unlabelled batch CSV, text lines, examples.
 
 CSV is read with every column as a string (no schema inference, so a text
-that looks numeric stays text), RFC-4180 quotes (``""`` inside quotes) and
-quoted newlines.  ``multi_line=True`` is what quoted newlines need; it makes
-each file one split, so very large inputs should come as many files (or
-pass ``multi_line=False`` when no field holds a newline).
+that looks numeric stays text), RFC-4180 quotes (``""`` inside quotes) and,
+with ``multi_line``, quoted newlines.  Files of one folder may order their
+columns differently: files are grouped by header and each group is read with
+its own schema.  Rows that do not fit their header are counted; they raise,
+or are left out and reported, as the caller says.
+
+The rows are parsed once and written as Parquet with a dense row number
+(``ord``: file by path, then position), so everything after the parse is split
+and a second read costs no parsing.  Quoted newlines make each file one split
+of the parse (a limit of the format): large inputs should come as many files,
+or be read with ``multi_line=False`` when no field holds a newline.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions import fixed
 from feedlens.functions.text import na_to_null, ustrip
-from feedlens.operators.cleaning import norm_columns
-
-
-def _csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return (spark.read.option("header", True).option("escape", '"')
-                 .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-                 .csv(path))
-
-
-def file_order() -> F.Column:
-    """Row order of CSV input: file path, then position inside the file."""
-    return F.struct(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("row"))
-
-
-def read_feedback_csv(spark: SparkSession, path: str, multi_line: bool = True,
-                      na_values=fixed.PANDAS_NA_VALUES) -> DataFrame:
-    """Labelled feedback ``(..., text, sentiment, ..., file_ord)``.
-
-    Column names are stripped (P1); pandas' missing-value strings become null
-    so the prepare step turns them into ``'nan'`` as the original does."""
-    df = _csv(spark, path, multi_line)
-    df = norm_columns(df).select("*", file_order().alias("file_ord"))
-    missing = {"text", "sentiment"} - set(df.columns)
-    if missing:
-        raise ValueError(f"CSV must have columns text and sentiment; missing {sorted(missing)}")
-    return df.withColumns({c: na_to_null(F.col(c), na_values) for c in ("text", "sentiment")})
-
-
-def read_batch_csv(spark: SparkSession, path: str, multi_line: bool = True,
-                   na_values=fixed.PANDAS_NA_VALUES) -> DataFrame:
-    """Unlabelled batch ``(file_ord, text)``.  The header is checked for a
-    ``text`` column before any job runs; texts are not cleaned (a null
-    becomes ``'nan'`` and is scored, as in the original)."""
-    df = _csv(spark, path, multi_line)
-    if "text" not in df.columns:
-        raise ValueError("CSV must have a 'text' column")
-    t = F.coalesce(na_to_null(F.col("text"), na_values), F.lit(fixed.NULL_TEXT))
-    return df.select(file_order().alias("file_ord"), t.alias("text"))
+from feedlens.session import materialize
+
+BAD = "_malformed"
+
+
+def header_groups(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
+    """``(columns, files)`` for each distinct header line, names stripped."""
+    first = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("row"))
+                  .where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header")))
+    files = sorted((r["file"], r["header"]) for r in first.collect())    # one short row a file
+    by: dict[str, list[str]] = {}
+    for f, h in files:
+        by.setdefault(h, []).append(f)
+    return [([c.strip() for c in next(csv.reader([h.lstrip("\ufeff")]))], fs) for h, fs in by.items()]
+
+
+def parse_csv(spark: SparkSession, path, want: tuple[str, ...], multi_line: bool = True,
+              malformed: str = "fail") -> DataFrame:
+    """The written rows ``(ord, *columns of all files)`` of CSV files.
+
+    ``want`` columns must be in every header.  ``malformed``: ``fail`` raises
+    if any row does not fit its header, ``drop`` leaves such rows out; the
+    count is the attribute ``malformed`` of the result."""
+    if malformed not in ("fail", "drop"):
+        raise ValueError("malformed must be 'fail' or 'drop'")
+    groups = header_groups(spark, path)
+    if not groups:
+        raise ValueError(f"no CSV file with a header in {path}")
+    for names, files in groups:
+        missing = [c for c in want if c not in names]
+        if missing:
+            raise ValueError(f"{files[0]} has no column {', '.join(map(repr, missing))}")
+    columns = list(dict.fromkeys(c for names, _ in groups for c in names))
+    order = {f: i for i, f in enumerate(sorted(f for _, fs in groups for f in fs))}
+    rows = None
+    for names, files in groups:
+        schema = ", ".join([*[f"`{c}` string" for c in names], f"{BAD} string"])
+        part = (spark.read.schema(schema).option("header", True).option("escape", '"')
+                     .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+                     .option("columnNameOfCorruptRecord", BAD).csv(files))
+        part = part.select(*[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns], BAD,
+                           F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                           F.monotonically_increasing_id().alias("_row"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialize(rows, "csv-rows")
+    bad = rows.where(F.col(BAD).isNotNull()).count()
+    if bad and malformed == "fail":
+        raise ValueError(f"{bad} CSV rows do not fit their header")
+    good = rows.where(F.col(BAD).isNull()).drop(BAD)
+    out = numbered(good, order)
+    out.malformed = bad
+    return out
+
+
+def numbered(rows: DataFrame, order: dict[str, int]) -> DataFrame:
+    """``ord``: the dense number of each row by file, block and position.
+
+    One small row per file block gives the offsets."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame(list(order.items()), "_file string, _at int")
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"),
+                                                 F.count(F.lit(1)).alias("_n")).join(names, "_file")
+    before = Window.orderBy("_at", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    off = blocks.select("_file", "_block", F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(before), F.lit(0)).alias("_off"), "_first")
+    j = rows.join(off, ["_file", "_block"])
+    return j.select((F.col("_off") + F.col("_row") - F.col("_first")).alias("ord"),
+                    *[F.col(f"`{c}`") for c in rows.columns if c not in ("_file", "_block", "_row")])
+
+
+def read_feedback_csv(spark: SparkSession, path, multi_line: bool = True,
+                      na_values=fixed.PANDAS_NA_VALUES, malformed: str = "fail") -> DataFrame:
+    """Labelled feedback ``(ord, ..., text, sentiment, ...)``.
+
+    Pandas' missing-value strings become null, so the prepare step turns them
+    into ``'nan'`` as the original does."""
+    df = parse_csv(spark, path, ("text", "sentiment"), multi_line, malformed)
+    out = df.withColumns({c: na_to_null(F.col(c), na_values) for c in ("text", "sentiment")})
+    out.malformed = df.malformed
+    return out
+
+
+def read_batch_csv(spark: SparkSession, path, multi_line: bool = True,
+                   na_values=fixed.PANDAS_NA_VALUES, malformed: str = "fail") -> DataFrame:
+    """Unlabelled batch ``(ord, text)``; the headers must have a ``text``
+    column.  Texts are not cleaned (a null becomes ``'nan'`` and is scored, as
+    in the original)."""
+    df = parse_csv(spark, path, ("text",), multi_line, malformed)
+    out = df.select("ord", F.coalesce(na_to_null(F.col("text"), na_values), F.lit(fixed.NULL_TEXT)).alias("text"))
+    out.malformed = df.malformed
+    return out
 
 
 def split_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -64,11 +125,15 @@ def split_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return ex.filter(F.char_length("line") > 0)
 
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S3 on files: one text per line, stripped, blank lines dropped."""
+def read_text_lines(spark: SparkSession, path) -> DataFrame:
+    """S3 on files: ``(ord, text)``, one text per line, stripped, blank lines
+    dropped; written once, like the CSV rows."""
     df = spark.read.option("lineSep", "\n").text(path)
-    df = df.select(file_order().alias("file_ord"), ustrip(F.col("value")).alias("text"))
-    return df.filter(F.char_length("text") > 0)
+    df = df.select(ustrip(F.col("value")).alias("text"), F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialize(df.filter(F.char_length("text") > 0), "text-lines")
+    files = sorted(r["_file"] for r in rows.select("_file").distinct().collect())
+    return numbered(rows, {f: i for i, f in enumerate(files)})
 
 
 def examples(spark: SparkSession) -> DataFrame:

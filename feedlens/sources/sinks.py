@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from feedlens.functions import fixed
+from pyspark.sql import functions as F
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
@@ -15,6 +14,15 @@ def write_results_csv(df: DataFrame, path: str) -> None:
        .csv(path))
 
 
+def write_results_typed(scored: DataFrame, path: str, key: tuple[str, ...] = (), text: str = "text") -> None:
+    """The typed form of the result table: Parquet with the class, the
+    confidence and the probabilities as numbers, and the text as carried."""
+    from feedlens.functions.fixed import CLASS_NAMES
+    (scored.select(*key, text, "predicted_class", "confidence",
+                   *[F.element_at("p", k + 1).alias(n) for k, n in enumerate(CLASS_NAMES)])
+           .write.mode("overwrite").parquet(path))
+
+
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("escape", '"')
                  .option("multiLine", True).csv(path))
@@ -34,5 +42,5 @@ def read_metrics_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-__all__ = ["write_results_csv", "read_results_csv", "write_metrics_json",
-           "read_metrics_json", "METRIC_KEYS", "fixed"]
+__all__ = ["write_results_csv", "write_results_typed", "read_results_csv", "write_metrics_json",
+           "read_metrics_json", "METRIC_KEYS"]

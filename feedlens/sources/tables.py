@@ -1,4 +1,4 @@
-"""Driver tables (Parquet) and the views the library derives from them."""
+"""Driver tables (Parquet)."""
 
 from __future__ import annotations
 
@@ -9,21 +9,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a narrow scan before CPU-heavy per-row work.
-
-    A scan that yields fewer partitions than the cluster's parallelism (one
-    small file, one row group) would run all tokenising and cleaning in a few
-    tasks.  Only then is it round-robin repartitioned to the default
-    parallelism; a large input already has many splits and is returned
-    unchanged, with no shuffle.  Results never depend on partitioning."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool = True) -> DataFrame:
-    """One driver table; column pruning and filters reach the Parquet scan."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_narrow else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; column pruning and filters reach the Parquet scan.
+    How finely a scan is split is the session's ``maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

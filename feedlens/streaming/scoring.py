@@ -1,11 +1,13 @@
 """Structured Streaming: continuous scoring (ST1) and a running class
 summary (ST2).
 
-ST1 is stateless: each micro-batch is scored by the batch scorer inside
-``foreachBatch`` and written under its batch id with overwrite, so a
-replayed batch rewrites the same files (idempotent sink).  ST2 keeps at most
-three keys of state (one per class), so it needs no watermark.  Checkpoints
-live in the shared folder, so a restarted query resumes where it stopped.
+Both are stateless: each micro-batch is scored by the batch scorer inside
+``foreachBatch`` and written under its batch id with overwrite, so a replayed
+batch rewrites the same files (idempotent sink).  ST2 writes a few counts per
+batch; reading them adds up the batches and fills in absent classes, so the
+running summary equals the batch one and a reader always finds whole batches.
+Checkpoints live in the shared folder, so a restarted query resumes where it
+stopped.
 """
 
 from __future__ import annotations
@@ -13,9 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators.scoring import score_docs
-from feedlens.operators.udf_scoring import score_udf
-from feedlens.session import scratch_path
+from feedlens.operators.scoring import class_counts, class_dim, drop_failed, score_keys
 
 
 def text_stream(spark: SparkSession, directory: str, glob: str, schema,
@@ -27,58 +27,44 @@ def text_stream(spark: SparkSession, directory: str, glob: str, schema,
     return r.parquet(directory)
 
 
+def _start(stream: DataFrame, write_batch, checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def stream_score(stream: DataFrame, weights: DataFrame, sink: str, checkpoint: str,
-                 key: str = "doc_id", text: str = "text", available_now: bool = True):
+                 key="doc_id", text: str = "text", available_now: bool = True):
     """ST1: score every arriving text; append the scores under ``sink``."""
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_docs(weights, batch, key, text)
-        out = scored.select(key, "pred", "predicted_class", "confidence", "p")
-        out.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        scored = drop_failed(score_keys(weights, batch, key, text))
+        scored.drop("z").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    w = (stream.writeStream.foreachBatch(write_batch)
-               .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _start(stream, write_batch, checkpoint, available_now)
 
 
 def stream_summary(stream: DataFrame, weights: DataFrame, sink: str, checkpoint: str,
-                   key: str = "doc_id", text: str = "text", available_now: bool = True):
-    """ST2: running count per predicted class, complete mode; each trigger
-    rewrites the (at most three-row) summary under ``sink``."""
-    scored = score_udf(stream, weights, key, text)
-    counts = scored.groupBy(F.col("predicted_class").alias("sentiment")).agg(
-        F.count(F.lit(1)).alias("n"))
-
+                   key="doc_id", text: str = "text", available_now: bool = True):
+    """ST2: counts per predicted class of every micro-batch under ``sink``;
+    ``read_summary`` is the running summary."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        counts = class_counts(drop_failed(score_keys(weights, batch, key, text)), "predicted_class")
+        counts.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    w = (counts.writeStream.outputMode("complete").foreachBatch(write_batch)
-               .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _start(stream, write_batch, checkpoint, available_now)
 
 
-def run_to_end(query) -> None:
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+SUMMARY = "sentiment string, n long, batch_id long"
 
 
-def scored_stream_table(spark: SparkSession, directory: str, glob: str, schema,
-                        weights: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """ST1 end to end with ``availableNow``: the scores written by the stream."""
-    sink = scratch_path(spark, "stream-scores")
-    q = stream_score(text_stream(spark, directory, glob, schema), weights, sink,
-                     scratch_path(spark, "stream-scores-ckpt"), key, text)
-    run_to_end(q)
-    return spark.read.parquet(sink)
+def read_summary(spark: SparkSession, sink: str) -> DataFrame:
+    """``(cls, sentiment, n)`` over all batches so far, all three classes."""
+    counts = spark.read.schema(SUMMARY).parquet(sink).groupBy("sentiment").agg(F.sum("n").alias("n"))
+    return (F.broadcast(class_dim(spark)).join(counts, "sentiment", "left")
+             .select("cls", "sentiment", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
 
-def summary_stream_table(spark: SparkSession, directory: str, glob: str, schema,
-                         weights: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    sink = scratch_path(spark, "stream-summary")
-    q = stream_summary(text_stream(spark, directory, glob, schema), weights, sink,
-                       scratch_path(spark, "stream-summary-ckpt"), key, text)
-    run_to_end(q)
-    return spark.read.parquet(sink)
+def run_to_end(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()

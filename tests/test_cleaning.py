@@ -28,7 +28,7 @@ DIRTY = (
 
 def _prepared(spark, path):
     raw = read_feedback_csv(spark, str(path))
-    return prepare(raw.select(F.col("file_ord").alias("ord"), "text", "sentiment"))
+    return prepare(raw.select("ord", "text", "sentiment"))
 
 
 def test_dirty_csv_matches_pandas(spark, tmp_path):

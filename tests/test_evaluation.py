@@ -53,3 +53,12 @@ def test_macro_over_present_classes_only(spark):
 def test_metrics_long_order(spark):
     rows = metrics_long(eval_metrics(_preds(spark, GOLDEN))).collect()
     assert [r.metric for r in rows] == ["accuracy", "precision", "recall", "f1_macro", "f1_weighted"]
+
+
+def test_no_predictions_at_all(spark):
+    """Every ratio is 0; nothing divides by zero."""
+    empty = spark.createDataFrame([], "label int, pred int")
+    m = eval_metrics(empty).first()
+    assert (m.accuracy, m.precision, m.recall, m.f1_macro, m.f1_weighted) == (0, 0, 0, 0, 0)
+    assert all((r.f1 or 0) == 0 for r in classification_report(empty).collect())
+    assert confusion_matrix(empty).count() == 0

@@ -1,6 +1,7 @@
 """Score records, display formatting, summaries, the one-text job, M7."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from feedlens.functions import probs as P
 from feedlens.functions.text import display_text, format_pct
 from feedlens.operators.naive_bayes import nb_fit
 from feedlens.operators.scoring import (class_share, confidence_bands, result_table,
-                                        score_docs, score_records, sentiment_summary,
+                                        score_docs, score_keys, score_records, sentiment_summary,
                                         with_scores)
 from feedlens.operators.udf_scoring import score_udf
 from feedlens.plans.jobs import score_one
@@ -97,45 +98,63 @@ def test_confidence_bands(spark):
     assert got == {"0-50": (1, 0), "50-75": (2, 0), "75-100": (2, 1)}
 
 
-def test_arrow_scorer_long_text_exact(spark):
-    """Weights near the DECIMAL(18,12) limit: a few tokens already pass the
-    int64 range, so the Arrow scorer switches to exact wide sums and still
-    equals the Spark decimal sums."""
-    w = spark.createDataFrame(
-        [("", "-1.0", "-2.0", "-3.0"), ("big", "-999999.123456789012", "-999998.5", "-3.25"),
-         ("b", "0.5", "-0.25", "0.125")],
-        "token string, w0 string, w1 string, w2 string")
-    w = w.select("token", *[F.col(f"w{k}").cast("decimal(18,12)").alias(f"w{k}") for k in range(3)])
-    docs = spark.createDataFrame([(1, " ".join(["big"] * 40 + ["b"] * 3)), (2, "b"), (3, None)],
-                                 "doc_id long, text string")
-    want = {r.doc_id: r.z for r in score_docs(w, docs, "doc_id", "text").collect()}
-    got = {r.doc_id: r.z for r in score_udf(docs, w).collect()}
-    assert set(got) == {1, 2, 3} and got[3] is None
-    for k in (1, 2):
-        assert got[k] == pytest.approx(want[k], rel=1e-15), k
-
-
-def test_weights_over_bound_join_by_shuffle(spark, sf_small, monkeypatch):
-    """A weight table over the broadcast bound is joined by shuffle, with
-    the same scores."""
-    import feedlens.operators.naive_bayes as NB
+def _weights(spark, rows):
+    w = spark.createDataFrame(rows, "token string, frequent boolean, w0 string, w1 string, w2 string")
+    return w.select("token", "frequent", *[F.col(f"w{k}").cast("decimal(18,12)").alias(f"w{k}") for k in range(3)])
+
+
+def test_frequent_and_rare_tokens_add_up(spark):
+    """Both parts of the join, repeated tokens, unknown tokens, no tokens, null."""
+    w = _weights(spark, [("", False, "-1", "-2", "-3"), ("often", True, "0.5", "0.25", "0.125"),
+                         ("rare", False, "-1.5", "0.75", "0.000000000001"), ("big", False, "-999999.123456789012", "-1", "1")])
+    docs = spark.createDataFrame([(1, "often rare often unknown rare rare"), (2, ""), (3, None), (4, "unknown"),
+                                  (5, " ".join(["big"] * 40 + ["often"] * 3))], "doc_id long, text string")
+    for got in (score_keys(w, docs), score_docs(w, docs), score_keys(w, docs, unique=True), score_udf(docs, w)):
+        z = {r.doc_id: r.z for r in got.collect()}
+        assert z[1] == pytest.approx([-1 + 1 - 4.5, -2 + 0.5 + 2.25, -3 + 0.25 + 3e-12], abs=1e-12)
+        assert z[2] == z[4] == [-1, -2, -3] and z[3] is None
+        assert z[5] == pytest.approx([-40000000 + 35.06154320 + 0.5 - 0.00002272, -41.25, 37.375], rel=1e-9)
+
+
+def test_rows_that_share_a_key_are_not_merged(spark):
+    w = _weights(spark, [("", False, "0", "0", "0"), ("a", True, "1", "2", "3"), ("b", False, "5", "4", "3")])
+    docs = spark.createDataFrame([(1, "a"), (1, "b b"), (1, "b b"), (None, "a"), (1, None)], "doc_id long, text string")
+    want = sorted([[1, 2, 3], [10, 8, 6], [10, 8, 6], [1, 2, 3], []])
+    for got in (score_keys(w, docs), score_docs(w, docs), score_udf(docs, w)):
+        assert sorted(r.z or [] for r in got.collect()) == want
+
+
+def test_one_scan_and_no_text_in_exchanges(spark, sf_small):
+    """With automatic broadcasts off: the input is read once and its texts stay out of every shuffle."""
     from feedlens.plans import fixtures as X
-    from feedlens.plans.queries import nb_model
-    from feedlens.operators.naive_bayes import NBModel
-    from feedlens.session import scratch_path
-    path = scratch_path(spark, "weights-copy")
-    nb_model(spark, sf_small).save(path)
-    w = NBModel.load(spark, path).weights      # not marked: counted before any hint
-    docs = X.batch_texts(spark, sf_small)
-    want = {r.doc_id: r.z for r in score_docs(w, docs).collect()}
-    monkeypatch.setattr(NB, "MAX_BROADCAST_ROWS", 0)
+    w = _model(spark, sf_small).weights
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = score_docs(w, docs)
-        got = {r.doc_id: r.z for r in df.collect()}
+        df = score_keys(w, X.batch_texts(spark, sf_small))
         plan = df._jdf.queryExecution().executedPlan().toString()
+        df.collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    assert "BroadcastHashJoin" not in plan
-    assert got == want and len(got) > 0
+    lines = plan.splitlines()
+    assert sum("conversations.parquet" in x for x in lines) == 1
+    for i, x in enumerate(lines):
+        if "Exchange hashpartitioning" in x:
+            below = next(y for y in lines[i + 1:] if "Aggregate" in y or "Project" in y or "Join" in y)
+            assert not re.search(r"\btext#", below.split("Output", 1)[-1].split("functions", 1)[0]), below
+
+
+def test_any_number_of_weights(spark):
+    rows = [("", False, "0", "0", "0")] + [(f"t{i}", False, str(i % 7), "1", "0") for i in range(31_000)]
+    docs = spark.createDataFrame([(1, "t5 t6 t30999")], "doc_id long, text string")
+    z = score_udf(docs, _weights(spark, rows)).first().z
+    assert z == [5 + 6 + 30999 % 7, 3, 0]
+
+
+def test_vocabulary_is_not_capped(spark):
+    """More train tokens than the id space holds, most of them once: all have weights."""
+    rows = [(" ".join(f"w{i}x{j}" for j in range(400)), i % 3) for i in range(100)]
+    train = spark.createDataFrame(rows, "text string, label int")
+    m = nb_fit(train)
+    assert m.weights.count() == 40_001
+    assert m.weights.filter("frequent").count() <= 20_000

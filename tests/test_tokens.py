@@ -29,7 +29,7 @@ def test_padding_per_batch(spark):
     vocab = spark.createDataFrame([("a", 104), ("b", 105)], "token string, id int")
     rows = [(0, "s", 0, ["a", "b", "x"]), (1, "s", 0, ["a"]), (2, "s", 1, [])]
     df = spark.createDataFrame(rows, "ord long, split string, batch_id long, tokens array<string>")
-    got = {r.ord: r for r in encode_padded(df, vocab).collect()}
+    got = {r.ord: r for r in encode_padded(df, vocab, broadcast=True).collect()}
     assert got[0].input_ids == [101, 104, 105, 100, 102]
     assert got[1].input_ids == [101, 104, 102, 0, 0]
     assert got[1].attention_mask == [1, 1, 1, 0, 0]
@@ -51,3 +51,15 @@ def test_vocab_cut_matches_full_sort(spark):
         want = ranked.head(size)
         assert list(got.token) == list(want.token), size
         assert list(got.id) == list(range(FIRST_TOKEN_ID, FIRST_TOKEN_ID + len(want)))
+
+
+def test_composed_and_decomposed_words_are_one_token(spark):
+    """NFC and NFD forms, a dotted capital I and CJK, in both flavours of the model."""
+    from feedlens.operators import ml_pipeline as ML
+    texts = ["caf\u00e9 \u00c5ngstr\u00f6m", "cafe\u0301 A\u030angstro\u0308m", "\u0130stanbul", "abc\u6771\u4eacdef"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.k for r in df.select(tokens(F.col("text")).alias("k")).collect()]
+    assert got[0] == got[1] == ["cafe", "angstrom"] and got[2] == ["istanbul"]
+    assert got[3] == ["abc", "\u6771", "\u4eac", "def"]
+    fold, tok = ML.lr_pipeline().getStages()[:2]
+    assert [r._tokens for r in tok.transform(fold.transform(df)).collect()] == got
