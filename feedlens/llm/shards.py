@@ -24,7 +24,7 @@ from feedlens.llm import textnum as tn
 from feedlens.session import materialize, scratch_path
 
 SHARD_BYTES = 8 << 20      # text of one shard, but for a longer single text
-RANGE_KEYS = 2 << 20       # keys that one range holds, about
+RANGE_KEYS = 1 << 20       # keys that one range holds, about
 QUESTION = "bucket int, shard long, keys binary, counts binary"
 ANSWER = "shard long, bucket int, totals binary, distinct long, total long"
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 22           # bytes or words hashed at once
+SEGMENT = 1 << 19           # bytes hashed at once
 BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 _TABLES: dict[str, np.ndarray] = {}
 
