@@ -4,7 +4,7 @@ Features of a text: densities and counts of lexicon hits (whole words and word
 beginnings), their learned weights, hits beside a second-person word, hits
 that show only once disguises are undone, capitals, punctuation, and words
 with symbols or digits inside.  The lexicon is learned: words, and word
-beginnings of 4 and 5 letters, that are far more frequent in toxic learning
+beginnings of 4 to 8 letters, that are far more frequent in toxic learning
 texts; the ``lexicon`` strongest are kept.
 
 Learning uses a bounded sample of labelled rows: at most ``per_class`` of each
@@ -41,6 +41,7 @@ NAMES = ["hits", "hit_density", "weight", "weight_density", "strongest", "near_s
 #: fixed values: second-person words of the languages at hand, in UTF-8
 SECOND_PERSON = ("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos "
                  "ti usted ustedes tus vosotros su").split()
+PREFIXES = (4, 5, 6, 7, 8)
 NEAR = 40                 # bytes between a hit and a second-person word
 UPPER = bytes(range(65, 91))
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -66,7 +67,7 @@ def units(text: bytes) -> set[str]:
     for w in set(plain(text).split()):
         u = w.encode("latin-1").decode("utf-8", "ignore")
         out.add(f" {w} ")
-        for n in (4, 5):
+        for n in PREFIXES:
             if len(u) > n:
                 out.add(" " + u[:n].encode().decode("latin-1"))
     return out
@@ -140,7 +141,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn, per_class: int) -> tuple[D
     return materialize(rows, "toxic-sample"), sizes
 
 
-def learn_lexicon(rows: DataFrame, size: int, least: int = 5, odds: float = 3.0) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, size: int, least: int = 4, odds: float = 3.0) -> dict[str, float]:
     """Unit -> log odds of standing in a toxic text, for the ``size`` strongest units."""
     def count(batches):
         for part in tn.chunks(batches, "text", 8 << 20):
