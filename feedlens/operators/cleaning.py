@@ -67,3 +67,16 @@ def prepare(df: DataFrame, order: str = "ord",
     out = dedupe_first(out.select(order, *carry, "text", "label"), "text", order)
     return out.select(order, *carry, "text", label_decode(F.col("label")).alias("sentiment"),
                       "label")
+
+
+def stage_counts(raw: DataFrame, split: DataFrame) -> DataFrame:
+    """A5: ``(stage, n)``.  ``raw``: cleaned rows with their label, all of them
+    (one conditional pass); ``split``: the prepared rows with their split."""
+    lab = F.col("label").isNotNull()
+    count = lambda c: F.count(F.when(c, 1))
+    one = raw.agg(F.count(F.lit(1)).alias("loaded"), count(lab).alias("labelled"),
+                  count(lab & nonblank(F.col("text"))).alias("nonblank"))
+    parts = ("train", "validation", "test")
+    two = split.agg(F.count(F.lit(1)).alias("unique"), *[count(F.col("split") == s).alias(s) for s in parts])
+    return (one.unpivot([], ["loaded", "labelled", "nonblank"], "stage", "n")
+               .unionByName(two.unpivot([], ["unique", *parts], "stage", "n")))

@@ -124,41 +124,6 @@ def _chunked(df: DataFrame, run: str, order: list[str], chunks: int) -> DataFram
               .withColumn("_c", F.spark_partition_id()))
 
 
-def history_steps(df: DataFrame, run: str = "run", order=("ts", "event_id"),
-                  metric: str = "metric", chunks: int | None = None) -> DataFrame:
-    """``(run, _c, step, metric, li, ...)``: 1-based step per run in ``order``,
-    with ``li`` = step of the last strict improvement so far."""
-    order = list(order)
-    spark = df.sparkSession
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = _chunked(df.select(run, *order, metric), run, order, chunks)
-
-    # Phase 1: per-slice count and maximum -> offsets and the best metric
-    # seen before each slice (small: at most #runs + #slices rows).
-    cs = r.groupBy(run, "_c").agg(F.count(F.lit(1)).alias("_n"), F.max(metric).alias("_mx"))
-    prev = Window.partitionBy(run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    cs = cs.select(run, "_c",
-                   F.coalesce(F.sum("_n").over(prev), F.lit(0)).alias("_off"),
-                   F.max("_mx").over(prev).alias("_pmax"))
-
-    # Phase 2: inside each slice, step, best-before and improvement flags.
-    w = Window.partitionBy(run, "_c").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = (r.join(cs, [run, "_c"])
-          .withColumn("step", F.col("_off") + F.row_number().over(w))
-          .withColumn("_pb", F.greatest(F.col("_pmax"), F.max(metric).over(before)))
-          .withColumn("_imp", F.col("_pb").isNull() | (F.col(metric) > F.col("_pb")))
-          .withColumn("_li_local", F.max(F.when(F.col("_imp"), F.col("step"))).over(upto)))
-
-    # Phase 3: last improvement before each slice, carried in from earlier slices.
-    ci = x.groupBy(run, "_c").agg(F.max(F.when(F.col("_imp"), F.col("step"))).alias("_cli"))
-    ci = ci.select(run, "_c", F.max("_cli").over(prev).alias("_li_prev"))
-    return (x.join(ci, [run, "_c"])
-             .withColumn("li", F.greatest(F.col("_li_local"), F.col("_li_prev")))
-             .select(run, *order, "step", metric, "_imp", "li"))
-
-
 def early_stop_point(df: DataFrame, run: str = "run", order=("ts", "event_id"),
                      metric: str = "metric",
                      patience: int = fixed.EARLY_STOPPING_PATIENCE,

@@ -98,10 +98,18 @@ def result_table(scored: DataFrame, text: str = "text", precut: bool = False) ->
 
 
 def class_counts(df: DataFrame, col: str = "Sentiment") -> DataFrame:
-    """``(sentiment, n, first_seen)`` for the classes present."""
+    """``(sentiment, n)`` for the classes present."""
     return df.groupBy(F.col(col).alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_distribution(df: DataFrame, col: str = "sentiment", order: str = "ord") -> DataFrame:
+    """A2: ``(sentiment, n, rnk)``: rows per class, count descending, ties by
+    first appearance; the rank runs over at most three rows."""
+    g = df.groupBy(F.col(col).alias("sentiment")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
+    w = Window.orderBy(F.desc("n"), F.asc("_first"))
+    return g.select("sentiment", "n", F.row_number().over(w).cast("int").alias("rnk"))
+
+
 def sentiment_summary(df: DataFrame, col: str = "Sentiment") -> DataFrame:
     """A3: count per class, all three classes, 0 for an absent one."""
     dim = F.broadcast(class_dim(df.sparkSession))

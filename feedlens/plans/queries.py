@@ -244,12 +244,7 @@ def q_dedupe_first(spark, sf):
 
 @query("class_distribution")
 def q_class_distribution(spark, sf):
-    """A2: class counts, count descending, ties by first appearance."""
-    c = X.fb_clean(spark, sf)
-    g = c.groupBy("sentiment").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("_first"))
-    from pyspark.sql import Window
-    w = Window.orderBy(F.desc("n"), F.asc("_first"))   # at most three rows
-    return g.select("sentiment", "n", F.row_number().over(w).cast("int").alias("rnk"))
+    return S.class_distribution(X.fb_clean(spark, sf))
 
 
 @query("sentiment_summary")
@@ -264,20 +259,7 @@ def q_class_share(spark, sf):
 
 @query("stage_counts")
 def q_stage_counts(spark, sf):
-    """A5: rows per stage; the raw stages come from one conditional pass."""
-    raw = cleaned_raw(spark, sf)
-    lab = F.col("label").isNotNull()
-    one = raw.agg(F.count(F.lit(1)).alias("loaded"),
-                  F.sum(F.when(lab, 1).otherwise(0)).cast("long").alias("labelled"),
-                  F.sum(F.when(lab & T.nonblank(F.col("text")), 1).otherwise(0)).cast("long")
-                   .alias("nonblank"))
-    sp = split_df(spark, sf)
-    two = sp.agg(F.count(F.lit(1)).alias("unique"),
-                 *[F.sum(F.when(F.col("split") == s, 1).otherwise(0)).cast("long").alias(s)
-                   for s in ("train", "validation", "test")])
-    a = one.unpivot([], ["loaded", "labelled", "nonblank"], "stage", "n")
-    b = two.unpivot([], ["unique", "train", "validation", "test"], "stage", "n")
-    return a.unionByName(b)
+    return C.stage_counts(cleaned_raw(spark, sf), split_df(spark, sf))
 
 
 # --------------------------------------------------------------------------

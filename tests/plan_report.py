@@ -1,4 +1,6 @@
-"""Physical-plan summary of every registered query (final AQE plans).
+"""Physical-plan summary of every registered query (final AQE plans), and of
+every table that a query writes on its way (rows ``query > step``, plans as
+first made).
 
     python tests/plan_report.py [sf_dir] > PLANS.md
 
@@ -47,13 +49,27 @@ def main(argv):
     spark = build_session("local[8]", 8)
     print(f"# Final physical plans ({os.path.basename(sf_dir)})\n")
     print("Generated by `tests/plan_report.py`. Counts per query of the final AQE plan of the "
-          "returned DataFrame (tables written by earlier steps of the same query, such as the "
-          "split, the token counts and the fitted weights, appear as scans).\n")
+          "returned DataFrame; a row `query > step` is a table that the query writes before, "
+          "by its plan as first made (broadcasts that AQE adds are not in it).\n")
     cols = list(PATTERNS) + ["scan_cols"]
     print("| query | " + " | ".join(cols) + " |")
     print("|---" * (len(cols) + 1) + "|")
+    from pyspark.sql.readwriter import DataFrameWriter
+    written: list = []
+    write = DataFrameWriter.parquet
+
+    def recorded(self, path, *a, **k):
+        written.append((os.path.basename(path.rstrip("/")), self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *a, **k)
+
+    DataFrameWriter.parquet = recorded
     for name, fn in E.queries().items():
+        written.clear()
         df = fn(spark, sf_dir)
+        for step, plan in written:
+            s = summarize(plan)
+            step = re.sub(r"^feedlens-|-[0-9a-f]{12}$", "", step)
+            print(f"| {name} > {step} | " + " | ".join(str(s[c]) for c in cols) + " |", flush=True)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarize(plan)
