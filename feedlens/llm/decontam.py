@@ -6,7 +6,7 @@ holds at a time.  A shard gets a suffix array over its words, sorted to the
 length of the longest benchmark item (nothing looks deeper).  Every suffix of
 every item is binary-searched in every shard: the search narrows the range of
 matching suffixes word by word, which gives the longest verbatim match and all
-places of the item's windows.  A window is ``window`` consecutive item words;
+places of the item's windows (a match is followed for half a shard at most).  A window is ``window`` consecutive item words;
 an item with fewer, but not none, is one window.  A document word inside any
 occurrence of a window is hit; a document with a hit is contaminated.
 
@@ -158,9 +158,10 @@ def find(texts: list[bytes], items: Items, window: int):
         n_item = (items.end - start[np.cumsum(np.isin(np.arange(len(items.words)), start)) - 1])
         wide = np.minimum(window, n_item)
         fits = np.arange(len(items.words)) + wide <= items.end
-        step = SHARD - items.longest - 2
-        if step < SHARD // 2:
-            raise ValueError(f"an item of {items.longest} words is too long for shards of {SHARD} words")
+        # Shards overlap by the longest item, so that no match is cut; matches are
+        # followed for half a shard at most (windows are far shorter).
+        deep = min(items.longest, SHARD // 2)
+        step = SHARD - deep - 2
         for a in range(0, total, step):
             lo, hi = np.searchsorted(spot, [a, a + SHARD - 2])
             if lo == hi:
@@ -172,7 +173,7 @@ def find(texts: list[bytes], items: Items, window: int):
             back[spot[lo:hi] - spot[lo]] = np.arange(lo, hi)
             k = np.minimum(np.searchsorted(vocab, items.words), len(vocab) - 1)
             test = np.where(vocab[k] == items.words, k + 1, 0)
-            sa = suffix_array(sym, items.longest)
+            sa = suffix_array(sym, deep)
             _, _, wlo, whi = search(sym, sa, test, items.end, np.where(fits, wide, -1))
             size = whi - wlo
             suffix = np.repeat(np.arange(len(test)), size)
