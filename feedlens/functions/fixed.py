@@ -28,7 +28,6 @@ SEED = 42
 
 # Training options of the original command line.
 EPOCHS = 3
-LEARNING_RATE = 2e-5
 WEIGHT_DECAY = 0.01
 EARLY_STOPPING_PATIENCE = 2
 
