@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.llm import textnum as tn
+from feedlens.llm.common import hash_order, share_below
 
 UND = "und"
 SCALE = 1 << 20        # integer weights: exact sums
@@ -91,12 +92,16 @@ class LangModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, learn, per_lang: int) -> DataFrame:
-    """The bounded learning sample ``(doc_id, lang, text)``, whole texts."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-               .select("doc_id", "lang").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_lang)
-               .select("doc_id", "lang").distinct())
+def sample(docs: DataFrame, learn, per_lang: int, max_langs: int = 256) -> DataFrame:
+    """The bounded learning sample ``(doc_id, lang, text)``, whole texts, of the
+    ``max_langs`` most frequent languages."""
+    rows = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+                .select("doc_id", "lang"))
+    sizes = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__size"))
+                 .orderBy(F.desc("__size"), "lang").limit(max_langs))
+    thin = rows.join(F.broadcast(sizes), "lang").where(share_below(F.col("__size"), per_lang)).select("doc_id", "lang").distinct()
+    w = Window.partitionBy("lang").orderBy(hash_order("doc_id"), "doc_id")
+    few = thin.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
     return (docs.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
                 .dropDuplicates(["doc_id", "lang"]))
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.llm import textnum as tn
+from feedlens.llm.common import hash_order, share_below
 from feedlens.session import materialize
 
 NAMES = ["hits", "hit_density", "weight", "weight_density", "strongest", "near_second_person", "second_person",
@@ -135,8 +136,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn, per_class: int) -> tuple[D
                .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = y.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_class).select("doc_id", "y")
+    w = Window.partitionBy("y").orderBy(hash_order("doc_id"), "doc_id")
+    size = F.when(F.col("y") == 1, sizes.get(1, 0)).otherwise(sizes.get(0, 0))
+    few = y.where(share_below(size, per_class)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_class).select("doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     return materialize(rows, "toxic-sample"), sizes
 
