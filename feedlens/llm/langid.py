@@ -107,7 +107,7 @@ def sample(docs: DataFrame, learn, per_lang: int, max_langs: int = 256) -> DataF
 
 
 def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192, dim: int = 16,
-          epochs: int = 30, rate: float = 4.0, loss: float = 0.001, most: float = 0.4) -> LangModel | None:
+          epochs: int = 30, rate: float = 4.0, loss: float = 0.001, most: float = 0.3) -> LangModel | None:
     """Fits the model; ``learn`` selects the learning rows (default: all)."""
     learn = F.lit(True) if learn is None else learn
 

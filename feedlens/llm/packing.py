@@ -164,7 +164,9 @@ def pack(rows: DataFrame, cap: Capacity = Capacity(), lot: int = 20_000) -> Data
         return pd.DataFrame({"number": number, "sequence_id": number[first][where], "offset": offset})
 
     dealt = part.select("number", "length", F.pmod(F.xxhash64("number"), F.lit(lots)).alias("lot"))
-    placed = dealt.groupBy("lot").applyInPandas(lambda pdf: run(pdf), "number long, sequence_id long, offset long")
+    # A number of partitions of its own: the rows are few bytes but much work.
+    width = min(lots, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = dealt.repartition(width, "lot").groupBy("lot").applyInPandas(lambda pdf: run(pdf), "number long, sequence_id long, offset long")
     return part.join(placed, "number").unionByName(
         full.withColumn("sequence_id", F.col("number")).withColumn("offset", F.lit(0).cast("long")))
 
