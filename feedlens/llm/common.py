@@ -23,6 +23,16 @@ def share_below(size, n: int, column: str = "doc_id"):
     return hash_order(column) / float(1 << 53) * size < n + 6 * n ** 0.5 + 20
 
 
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which a task holds twice (JVM and Python)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def fold(column: str, mod: int):
     """crc32 of a column's text form, modulo ``mod`` (null: remainder of '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % mod

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import textnum as tn
+from feedlens.llm.common import small_batches
 from feedlens.session import materialize, scratch_path
 
-SHARD_BYTES = 8 << 20      # text of one shard, but for a longer single text
+SHARD_BYTES = 4 << 20      # text of one shard, but for a longer single text
 RANGE_KEYS = 1 << 20       # keys that one range holds, about
 QUESTION = "bucket int, shard long, keys binary, counts binary"
 ANSWER = "shard long, bucket int, totals binary, distinct long, total long"
@@ -32,6 +33,7 @@ ANSWER = "shard long, bucket int, totals binary, distinct long, total long"
 def build(docs: DataFrame, flag=None) -> DataFrame:
     """The written shard table of ``(doc_id, text)``; ``flag`` is a boolean column kept per document."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                       (F.lit(False) if flag is None else flag).alias("flag"))
 
