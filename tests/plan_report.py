@@ -2,7 +2,7 @@
 every table that a query writes on its way (rows ``query > step``, plans as
 first made).
 
-    python tests/plan_report.py [sf_dir] > PLANS.md
+    python tests/plan_report.py [sf_dir] [query ...] > PLANS.md
 
 Counts the operators that matter at scale: shuffles, broadcasts, aggregate
 kinds (HashAggregate = map-side combine on fixed-width buffers), windows,
@@ -29,7 +29,7 @@ PATTERNS = {
     "obj_agg": r"ObjectHashAggregate",
     "window": r"\bWindow \[",
     "generate": r"\bGenerate ",
-    "python": r"(MapInPandas|ArrowEvalPython|BatchEvalPython|PythonMapInArrow)",
+    "python": r"(MapInPandas|MapInArrow|FlatMap(?:Co)?GroupsIn(?:Pandas|Arrow)|ArrowEvalPython|BatchEvalPython)",
     "single_part": r"Exchange SinglePartition",
     "take_ordered": r"TakeOrderedAndProject",
 }
@@ -50,7 +50,8 @@ def main(argv):
     print(f"# Final physical plans ({os.path.basename(sf_dir)})\n")
     print("Generated by `tests/plan_report.py`. Counts per query of the final AQE plan of the "
           "returned DataFrame; a row `query > step` is a table that the query writes before, "
-          "by its plan as first made (broadcasts that AQE adds are not in it).\n")
+          "by its plan as first made (broadcasts that AQE adds are not in it)."
+          + (" Named queries only; without names the report covers all." if argv[2:] else "") + "\n")
     cols = list(PATTERNS) + ["scan_cols"]
     print("| query | " + " | ".join(cols) + " |")
     print("|---" * (len(cols) + 1) + "|")
@@ -64,6 +65,8 @@ def main(argv):
 
     DataFrameWriter.parquet = recorded
     for name, fn in E.queries().items():
+        if argv[2:] and name not in argv[2:]:
+            continue
         written.clear()
         df = fn(spark, sf_dir)
         for step, plan in written:
