@@ -150,8 +150,7 @@ def learn_lexicon(rows: DataFrame, size: int, least: int = 4, odds: float = 3.0)
             n: list[Counter] = [Counter(), Counter()]
             for y, t in zip(part.column("y").to_pylist(), lowered(part.column("text")), strict=True):
                 n[y].update(units(t))
-            keys = [u for u in n[1] if n[1][u] > 1 or not n[0][u]]
-            keys += [u for u in n[0] if n[0][u] > 1 and u not in n[1]]
+            keys = list(n[0].keys() | n[1].keys())       # every unit: only totals are held against limits
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([n[1][u] for u in keys], pa.int64()),
                                               pa.array([n[0][u] for u in keys], pa.int64())], ["unit", "bad", "good"])
 

@@ -46,3 +46,12 @@ def test_labels_that_teach_nothing(spark, odd):
 def test_disguises_are_undone():
     assert toxicity.open_up(b"you 1d1ot, you s.c.u.m") == " you idiot you scum ".replace("idiot ", "idiot  ")
     assert toxicity.units("élan vital".encode()) >= {" vital ", " vita"}
+
+
+def test_lexicon_does_not_depend_on_chunks(spark):
+    """A word that toxic and clean texts hold alike is none of the lexicon, also at one text a chunk."""
+    rows = [(i, i % 2, f"neutral {'zorgle' if i % 2 else 'garden'} x{i}") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, text string")
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(rows, 24), df.schema)     # one text a task
+    got = [toxicity.learn_lexicon(d, 50) for d in (df.coalesce(1), apart)]
+    assert got[0] == got[1] and " zorgle " in got[0] and not any("neut" in u for u in got[0])
