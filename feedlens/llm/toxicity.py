@@ -2,8 +2,10 @@
 
 Features of a text: densities and counts of lexicon hits (whole words and word
 beginnings), their learned weights, hits beside a second-person word, hits
-that show only once disguises are undone, capitals, punctuation, and words
-with symbols or digits inside.  The lexicon is learned: words, and word
+that show only once disguises are undone, capitals, punctuation, and disguised
+words: those with digits or symbols of ``DISGUISE`` and ``DROPPED`` inside or at
+an end (``DROPPED`` at an end and closing ``!`` are punctuation, unless undoing
+them shows a hit).  The lexicon is learned: words, and word
 beginnings of 4 to 8 letters, that are far more frequent in toxic learning
 texts; the ``lexicon`` strongest are kept.
 
@@ -22,6 +24,7 @@ toxic ones among them (0 without any).  Rows that repeat are scored alike.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -50,6 +53,9 @@ PLAIN = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 #: fixed values: symbols that stand for letters
 DISGUISE = bytes.maketrans(b"013457@$!|", b"oieastasil")
 DROPPED = b"*._-~'`^"
+SYMBOLS = b"0123456789@$!|" + DROPPED
+#: a run of letters and SYMBOLS with at least one of SYMBOLS; linear in the text
+ODD = re.compile(rb"(?<![a-z\x80-\xff%b])[a-z\x80-\xff]*+[%b][a-z\x80-\xff%b]*+" % ((re.escape(SYMBOLS),) * 3))
 
 
 def plain(text: bytes) -> str:
@@ -62,6 +68,25 @@ def open_up(text: bytes) -> str:
     return plain(text.translate(DISGUISE, DROPPED))
 
 
+def disguised(text: bytes, find, odd) -> tuple[int, int]:
+    """How many hits show only once disguises are undone, and how many words are disguised."""
+    hits = words = 0
+    for t in odd.findall(text):
+        core = t.strip(DROPPED)
+        bare = core.rstrip(b"!" + DROPPED)
+        letters = bare.translate(None, SYMBOLS)
+        if not letters or len(letters) == len(core):
+            continue
+        new = max(count_hits(open_up(w), find) for w in {core, bare, core[:len(bare) + 1]}) - count_hits(plain(t), find)
+        hits += max(0, new)
+        words += len(letters) < len(bare) or new > 0
+    return hits, words
+
+
+def count_hits(flat: str, find) -> int:
+    return sum(1 for _, (unit, _) in find.iter(flat) if unit)
+
+
 def units(text: bytes) -> set[str]:
     """Words and word beginnings of a text: ' word ' and ' begi'."""
     out = set()
@@ -97,8 +122,7 @@ def features(raw: bytes, text: bytes, find, odd) -> list[float]:
         (hits if unit else second).append((end, w))
     n = max(1, flat.count(" ") - 1)
     starts = {e for e, _ in hits}
-    more = sum(1 for _, (unit, _) in find.iter(open_up(text)) if unit) - len(hits) if odd.search(text) or any(
-        c in text for c in b"*_") else 0
+    more, odd_words = disguised(text, find, odd)
     near, at = 0, np.array([e for e, _ in second])
     if hits and second:
         k = np.searchsorted(at, [e for e, _ in hits])
@@ -107,7 +131,7 @@ def features(raw: bytes, text: bytes, find, odd) -> list[float]:
     weight = [w for _, w in hits]
     letters = max(1, len(raw))
     return [float(len(starts)), len(starts) / n, sum(weight), sum(weight) / n, max(weight, default=0.0), near / n * 100,
-            len(second) / n, float(max(0, more)), len(odd.findall(text)) / n,
+            len(second) / n, float(more), odd_words / n,
             (len(raw) - len(raw.translate(None, UPPER))) / letters, text.count(b"!") / n,
             (len(raw) - len(raw.translate(None, MARKS))) / letters, math.log1p(n)]
 
@@ -118,11 +142,10 @@ def with_features(docs: DataFrame, weights: dict[str, float], columns: list[str]
     src = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("__text"))
 
     def run(batches):
-        import re
-        find, odd = automaton(shared.value), re.compile(rb"[a-z][*@$!|0-9]+[a-z]")
+        find = automaton(shared.value)
         for part in tn.chunks(batches, "__text"):
             raw, low = tn.text_bytes(part.column("__text")), lowered(part.column("__text"))
-            x = np.array([features(r, t, find, odd) for r, t in zip(raw, low, strict=True)], np.float64).reshape(-1, len(NAMES))
+            x = np.array([features(r, t, find, ODD) for r, t in zip(raw, low, strict=True)], np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x[:, k].copy()) for k in range(x.shape[1])]],
                                              [*columns, *NAMES])
 

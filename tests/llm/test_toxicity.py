@@ -55,3 +55,19 @@ def test_lexicon_does_not_depend_on_chunks(spark):
     apart = spark.createDataFrame(spark.sparkContext.parallelize(rows, 24), df.schema)     # one text a task
     got = [toxicity.learn_lexicon(d, 50) for d in (df.coalesce(1), apart)]
     assert got[0] == got[1] and " zorgle " in got[0] and not any("neut" in u for u in got[0])
+
+
+def test_features_see_every_disguise():
+    find = toxicity.automaton({f" {w} ": 4.0 for w in ("shit", "ass", "idiot", "stupid", "scum", "nazi")})
+    at = [toxicity.NAMES.index(n) for n in ("hits", "disguised", "disguised_words")]
+
+    def seen(text):
+        f = toxicity.features(text, text.lower(), find, toxicity.ODD)
+        return f[at[0]], f[at[1]], f[at[2]] > 0
+
+    for w in ("$hit", "@ss", "a$$", "1diot", "5tupid", "i.d.i.o.t", "s-t-u-p-i-d", "st~upid", "sc'um", "s`c^um", "1d1ot", "s_c_u_m", "$HIT", "naz!"):
+        for text in (w, f"you {w}, really", f"({w})", f"what a {w}!!", f"'{w}'."):
+            assert seen(text.encode()) == (0, 1, True), text
+    assert seen(b"an idiot! a 5tupid *scum* here.") == (2, 1, True)      # plain hits beside it do not count against it
+    for text in ("plain words, no more!", "'quoted' -- *bold* _it_ 1990 $5 ... !!", "", "élan? oui!"):
+        assert seen(text.encode()) == (0, 0, False), text
