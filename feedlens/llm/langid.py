@@ -8,9 +8,12 @@ tables are trained by mini-batch stochastic gradient descent in numpy.
 
 Training sample: at most ``per_lang`` texts of each language, those with the
 smallest hash of doc_id among the learning rows, whole texts; a fifth of them
-is held back for calibration.  Calibration fits a temperature and a rejection
-threshold: the confidence below which only ``loss`` of the rightly named
-held-back texts fall, and never above ``most``.
+is held back for calibration.  Calibration fits a temperature and two rejection
+limits, each passed by all but ``loss`` of the held-back texts, their first
+1, 3 and 12 words, and halves of two of them: the least confidence, and how far
+a text's subwords may be less usual in the learning texts than its language's
+(their mean log share; texts of few subwords may be further off).  The second
+tells unlearned languages and letter noise, which the softmax may be sure of.
 
 Scoring covers every row and every byte: embedding and layer are multiplied
 out to one integer weight per bucket and language, so a score does not depend
@@ -38,6 +41,7 @@ from feedlens.llm.common import hash_order, share_below
 UND = "und"
 SCALE = 1 << 20        # integer weights: exact sums
 BORDER = 0x20
+BEGINNINGS = (1, 3, 12)     # words of the short texts that calibration makes
 
 _MAP = np.full(256, BORDER, np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -74,6 +78,22 @@ class LangModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: np.ndarray | None = None      # buckets, integers: log share in the learning texts
+    usual: tuple | None = None           # mean of it by language, variance of a text and of a subword, limit
+
+    def strange(self, texts: list[bytes], best: np.ndarray) -> np.ndarray:
+        """Whether the subwords of texts named ``best`` are too unusual."""
+        if self.usual is None:
+            return np.zeros(len(texts), bool)
+        total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for idx, cut in pieces(texts, len(self.known)):
+            count += np.diff(cut)
+            acc = np.zeros(len(idx) + 1, np.int64)
+            np.cumsum(self.known[idx], out=acc[1:])
+            total += acc[cut[1:]] - acc[cut[:-1]]
+        mean, wide, narrow, limit = self.usual
+        n = np.maximum(count, 1)
+        return (count > 0) & (distance(total / n / SCALE, n, mean[best], wide, narrow) > limit)
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         total = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -92,6 +112,11 @@ class LangModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def distance(share, n, mean, wide: float, narrow: float):
+    """How many deviations a text's mean log share is below its language's."""
+    return (mean - share) / np.sqrt(wide + narrow / n)
+
+
 def sample(docs: DataFrame, learn, per_lang: int, max_langs: int = 256) -> DataFrame:
     """The bounded learning sample ``(doc_id, lang, text)``, whole texts, of the
     ``max_langs`` most frequent languages."""
@@ -107,25 +132,28 @@ def sample(docs: DataFrame, learn, per_lang: int, max_langs: int = 256) -> DataF
 
 
 def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192, dim: int = 16,
-          epochs: int = 30, rate: float = 4.0, loss: float = 0.001, most: float = 0.3) -> LangModel | None:
+          epochs: int = 30, rate: float = 4.0, loss: float = 0.001) -> LangModel | None:
     """Fits the model; ``learn`` selects the learning rows (default: all)."""
     learn = F.lit(True) if learn is None else learn
 
     def count(batches):
         for part in tn.chunks(batches, "text", 1 << 20):
-            texts = tn.text_bytes(part.column("text"))
-            found = [[] for _ in texts]
-            for idx, cut in pieces(texts, buckets):
-                for d in range(len(texts)):
-                    found[d].append(idx[cut[d]:cut[d + 1]])
-            pairs = [np.unique(np.concatenate(f) if f else np.empty(0, np.int32), return_counts=True) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("lang"),
-                 pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
-                 pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))],
-                ["doc_id", "lang", "idx", "n"])
-
-    rows = sample(docs, learn, per_lang).mapInArrow(count, "doc_id long, lang string, idx array<int>, n array<float>").toArrow()
+            whole = tn.text_bytes(part.column("text"))
+            cols, names = [part.column("doc_id"), part.column("lang")], ["doc_id", "lang"]
+            for k in ("", *BEGINNINGS):
+                texts = [b" ".join(t.split(None, k)[:k]) for t in whole] if k else whole
+                found = [[] for _ in texts]
+                for idx, cut in pieces(texts, buckets):
+                    for d in range(len(texts)):
+                        found[d].append(idx[cut[d]:cut[d + 1]])
+                pairs = [np.unique(np.concatenate(f) if f else np.empty(0, np.int32), return_counts=True) for f in found]
+                cols += [pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())),
+                         pa.array([p[1].astype(np.float32) for p in pairs], pa.list_(pa.float32()))]
+                names += [f"idx{k}", f"n{k}"]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kinds = ", ".join(f"idx{k} array<int>, n{k} array<float>" for k in ("", *BEGINNINGS))
+    rows = sample(docs, learn, per_lang).mapInArrow(count, f"doc_id long, lang string, {kinds}").toArrow()
     rows = rows.filter(pc.greater(pc.list_value_length(rows.column("idx")), 0))
     if not rows.num_rows:
         return None
@@ -134,30 +162,51 @@ def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192,
     lang = np.array(rows.column("lang").to_pylist(), object)[order]
     langs = sorted(set(lang))
     y = np.array([langs.index(v) for v in lang])
-    x = np.zeros((len(order), buckets), np.float32)
-    idx, n = rows.column("idx").to_pylist(), rows.column("n").to_pylist()
-    for r, o in enumerate(order):
-        x[r, idx[o]] = n[o]
-    x /= x.sum(axis=1, keepdims=True)
+
+    def matrix(k, at):
+        """Subword counts as shares, and their number, of the rows ``at`` with any."""
+        idx, n = rows.column(f"idx{k}"), rows.column(f"n{k}")
+        x = np.zeros((len(at), buckets), np.float32)
+        for r, o in enumerate(at):
+            x[r, idx[o].as_py()] = n[o].as_py()
+        size = x.sum(axis=1)
+        return x / np.maximum(size, 1)[:, None], size
+
+    x, size = matrix("", order)
     held = np.arange(len(y)) % 5 == 4
     if held.sum() < 20 or len(langs) < 2:
         held[:] = False
     emb, lin, bias = descend(x[~held], y[~held], len(langs), dim, epochs, rate)
     logits = x @ emb @ lin + bias
     cx, cy = (logits[held], y[held]) if held.any() else (logits, y)
-    best, threshold = 1.0, 0.0
+    known = np.log(0.99 * x[~held].mean(axis=0) + 0.01 / buckets)
+    best, threshold, usual = 1.0, 0.0, None
     if len(langs) > 1:
         def nll(t):
             z = cx / t
             z = z - z.max(axis=1, keepdims=True)
             return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(cy)), cy]))
         best = min((2.0 ** (k / 4) for k in range(-16, 13)), key=nll)
-        z = np.exp(cx / best - (cx / best).max(axis=1, keepdims=True))
-        p = z / z.sum(axis=1, keepdims=True)
-        right = p.argmax(axis=1) == cy
-        low = float(np.quantile(p.max(axis=1)[right], loss)) if right.any() else 0.0
-        threshold = min(most, low)
-    return LangModel(langs, np.rint(emb @ lin * SCALE).astype(np.int64), bias, best, threshold)
+        at = held if held.any() else ~held
+        # what has to stay: held-back texts, their beginnings, and halves of two of them
+        x, size, turn = x[at], size[at], np.roll(np.arange(len(cy)), 1)
+        keep = [(x, size), ((x + x[turn]) / 2, size + size[turn])]
+        mean = np.array([np.mean((x @ known)[cy == k]) if (cy == k).any() else np.mean(x @ known) for k in range(len(langs))])
+        sure, off = [], []
+        for xs, sizes in (*keep, *(matrix(k, order[at]) for k in BEGINNINGS)):
+            z = xs @ emb @ lin + bias
+            z = np.exp((z - z.max(axis=1, keepdims=True)) / best)
+            some = sizes > 0
+            sure.append((z.max(axis=1) / z.sum(axis=1))[some])
+            off.append(np.stack([xs @ known, sizes, mean[z.argmax(axis=1)]])[:, some])
+        threshold = float(np.quantile(np.concatenate(sure), loss))
+        wide = float(np.mean((off[0][0] - off[0][2]) ** 2)) + 1e-6
+        share, n, usually = np.concatenate(off[2:], axis=1)
+        narrow = float(np.mean(np.maximum((share - usually) ** 2 - wide, 0) * n))
+        far = distance(*np.concatenate(off, axis=1), wide, narrow)
+        usual = (mean, wide, narrow, float(np.quantile(far, 1 - loss)) * (1 + 2 / len(cy) ** 0.5))
+    return LangModel(langs, np.rint(emb @ lin * SCALE).astype(np.int64), bias, best, threshold,
+                     np.rint(known * SCALE).astype(np.int64), usual)
 
 
 def descend(x, y, classes: int, dim: int, epochs: int, rate: float):
@@ -203,13 +252,15 @@ def predict(docs: DataFrame, model: LangModel | None, columns: list[str]) -> Dat
             letter = np.array([has_letter(t) for t in raw.to_pylist()], bool)
             if m is None:
                 letter[:] = False
-            pred, score = np.full(len(raw), UND, object), np.zeros(len(raw))
+            pred, score, strange = np.full(len(raw), UND, object), np.zeros(len(raw)), np.zeros(len(raw), bool)
             if letter.any():
-                p = m.probs(m.logits(tn.text_bytes(raw)))
+                texts = tn.text_bytes(raw)
+                p = m.probs(m.logits(texts))
                 best = p.argmax(axis=1)
+                strange = m.strange(texts, best)
                 pred[letter] = np.array(m.langs, object)[best[letter]]
                 score[letter] = np.round(p[np.arange(len(best)), best], 9)[letter]
-            out = ~letter | (score < (m.threshold if m else 0.0))
+            out = ~letter | strange | (score < (m.threshold if m else 0.0))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out)],
                 [*columns, "lang_pred", "score", "rejected"])

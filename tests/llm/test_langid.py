@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from feedlens.llm import langid
@@ -33,3 +35,30 @@ def test_odd_rows(spark, sf, odd, none):
     assert langid.predict(none, m, ["doc_id"]).count() == 0
     assert langid.train(none) is None
     assert {r["lang_pred"] for r in langid.predict(odd, None, ["doc_id"]).collect()} == {"und"}
+
+
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza"]
+
+
+def test_unlearned_languages_and_noise_are_rejected_and_short_texts_stay(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    m = langid.train(docs, fold("doc_id", 4) != 2)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(200)) for _ in range(20)]
+    noise += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(20)) for _ in range(20)]
+    clean = [r["text"] for r in docs.where((fold("doc_id", 4) == 2) & F.col("text").rlike("[a-zA-Z]{3}")).orderBy("doc_id").collect()]
+    short = [" ".join(t.split()[:k]) for t in clean for k in (3, 8)]
+    mixed = [" ".join(a.split()[:30] + b.split()[:30]) for a, b in zip(clean, clean[1:], strict=False)]
+
+    def share(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return langid.predict(df, m, ["doc_id"]).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+
+    assert [share(x) for x in (UNLEARNED, noise)] == [1.0, 1.0]
+    assert all(share(x) < 0.01 for x in (clean, short, mixed))
