@@ -7,9 +7,11 @@ by gradient-boosted trees over lexical features: lengths, depth, digit ratio,
 character entropy, parameter counts, and suffix statistics (how often labelled
 urls with the same last one or two host labels are blocked, smoothed).
 
-Learning uses labelled urls ``(url, block)``: at most ``sample`` of them, those
-with the smallest hash.  ``rule_labels`` makes such labels from the rules.
-Suffix statistics are kept for the ``suffixes`` most frequent suffixes.
+Learning uses labelled urls ``(url, block)``: at most ``sample`` distinct ones,
+half of it for each class, those with the smallest hash, weighted back to the
+classes' true shares.  ``rule_labels`` makes such labels from the rules.
+Statistics are kept of all suffixes: the ``suffixes`` most frequent are
+broadcast, rows with another suffix meet the rest by a shuffle join.
 
 Defined cases.  A null url, or one without ``://``, has an empty host and path
 and fits no rule.  An empty path starts with no rule's ``/``.  Without labelled
@@ -29,6 +31,7 @@ from feedlens.session import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES = ["n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "entropy", "params", "n_query",
          "fragment", "suffix1", "suffix2"]
+SALTS = 16            # a suffix past the frequent ones is dealt over so many keys
 PRIOR = 10.0          # labelled urls that the overall share stands for in a suffix's statistic
 
 
@@ -90,16 +93,27 @@ def rule_labels(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 class Model:
-    """Fitted trees with their suffix statistics, or one constant verdict."""
+    """Fitted trees with their suffix statistics, or one constant verdict.
 
-    def __init__(self, trees=None, stats=None, share: float = 0.0):
-        self.trees, self.stats, self.share = trees, stats, share
+    ``stats`` are the frequent suffixes, ``rest`` all others (None: there are none)."""
+
+    def __init__(self, trees=None, stats=None, share: float = 0.0, rest=None):
+        self.trees, self.stats, self.share, self.rest = trees, stats, share, rest
 
     def features(self, urls: DataFrame) -> DataFrame:
         d = lexical(urls)
         for k in (1, 2):
             s = F.broadcast(self.stats.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("p").alias(f"suffix{k}")))
-            d = d.join(s, f"__s{k}", "left").withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(self.share)))
+            d = d.join(s, f"__s{k}", "left")
+            if self.rest is not None:
+                # rows that have their statistic go to numbers of their own; a suffix without any is dealt over SALTS
+                salt = F.pmod(F.xxhash64("url", F.rand(5)), F.lit(SALTS))
+                d = d.withColumn("__salt", F.when(F.col(f"suffix{k}").isNull(), salt).otherwise(-1 - F.pmod(F.xxhash64("url", F.rand(6)), F.lit(1 << 20))))
+                r = (self.rest.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("p").alias("__rest"))
+                         .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
+                d = d.join(r.hint("merge"), [f"__s{k}", "__salt"], "left")
+                d = d.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", "__rest")).drop("__rest", "__salt")
+            d = d.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(self.share)))
         return VectorAssembler(inputCols=NAMES, outputCol="__x").transform(
             d.withColumns({n: F.col(n).cast("double") for n in NAMES}))
 
@@ -114,7 +128,6 @@ class Model:
 
 def train(labelled: DataFrame, sample: int = 20_000, suffixes: int = 5000, trees: int = 12, depth: int = 4) -> Model:
     """Fits the suffix statistics (over all labelled urls) and the trees (over the sample)."""
-    spark = labelled.sparkSession
     rows = labelled.where("url is not null and block in (0, 1)").select("url", "block")
     t = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).first()
     share = (t["b"] or 0) / t["n"] if t["n"] else 0.0
@@ -124,15 +137,25 @@ def train(labelled: DataFrame, sample: int = 20_000, suffixes: int = 5000, trees
     both = h.select("block", F.explode(F.array(
         F.struct(F.lit(1).alias("k"), F.substring_index("h", ".", -1).alias("s")),
         F.struct(F.lit(2).alias("k"), F.substring_index("h", ".", -2).alias("s")))).alias("e"))
-    stats = materialize(both.groupBy("e.k", "e.s").agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b"))
-                        .orderBy(F.desc("n"), "k", "s").limit(suffixes)
-                        .select("k", "s", ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("p")), "suffixes")
-    model = Model(None, stats, share)
-    few = materialize(rows.orderBy(F.xxhash64("url"), "url").limit(sample), "url-sample")
-    x = model.features(few).withColumn("label", F.col("block").cast("double"))
-    if few.select("block").distinct().count() < 2:
+    every = materialize(both.groupBy("e.k", "e.s").agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b"))
+                        .select("k", "s", "n", ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("p")), "suffix-stats")
+    stats = materialize(every.orderBy(F.desc("n"), "k", "s").limit(suffixes).select("k", "s", "p"), "suffixes")
+    rest = every.join(F.broadcast(stats.select("k", "s")), ["k", "s"], "left_anti") if every.count() > suffixes else None
+    model = Model(None, stats, share, rest)
+    once = materialize(rows.distinct(), "url-labels")      # a url with labels of both classes is in both
+    half = max(1, sample // 2)
+    few = None
+    for c in (0, 1):
+        of = once.where(F.col("block") == c).orderBy(F.xxhash64("url"), "url").limit(half)
+        few = of if few is None else few.unionByName(of)
+    few = materialize(few, "url-sample")
+    sizes = {r["block"]: r["n"] for r in once.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r["block"]: r["n"] for r in few.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(got) < 2:
         return Model(share=share)
-    model.trees = GBTClassifier(featuresCol="__x", labelCol="label", predictionCol="__pred", maxIter=trees, maxDepth=depth,
+    w = F.when(F.col("block") == 1, F.lit(sizes[1] / got[1])).otherwise(F.lit(sizes[0] / got[0]))
+    x = model.features(few).withColumn("label", F.col("block").cast("double")).withColumn("__w", w)
+    model.trees = GBTClassifier(featuresCol="__x", labelCol="label", weightCol="__w", predictionCol="__pred", maxIter=trees, maxDepth=depth,
                                 seed=11).setRawPredictionCol("__raw").setProbabilityCol("__prob").fit(x)
     return model
 

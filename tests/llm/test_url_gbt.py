@@ -69,3 +69,13 @@ def test_no_labels_and_one_class(spark):
     assert url_gbt.train(df.limit(0)).share == 0.0 and url_gbt.train(df).share == 1.0
     empty = spark.createDataFrame([], "page_id long, url string, host string")
     assert url_gbt.filter_urls(empty, URL_RULES, url_gbt.Model()).count() == 0
+
+
+def test_rare_suffixes_and_classes_are_learned(spark):
+    rows = [(f"http://w.d{i % 40}.com/p{i}", int(i % 40 < 20)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "url string, block int")
+    urls = spark.createDataFrame([(f"http://x.d{i}.com/q", i) for i in range(41)], "url string, i int")
+    all_, few = ({r["i"]: r["suffix2"] for r in url_gbt.train(df, suffixes=n, trees=2).features(urls).collect()} for n in (5000, 3))
+    assert all_ == few and len(few) == 41 and few[3] > 0.8 and few[30] < 0.2
+    hot = [("http://a.com/hot", 0)] * 3000 + [(f"http://b{i}.com/", 1) for i in range(3)] + [(f"http://c{i}.com/", 0) for i in range(300)]
+    assert url_gbt.train(spark.createDataFrame(hot, "url string, block int"), sample=20, trees=2).trees is not None
