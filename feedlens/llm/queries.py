@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from feedlens.llm import (
     ann_imi,
+    conversation,
     decontam,
     langid,
     line_dedup,
@@ -181,6 +182,93 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+# --- 13: conversation repair ------------------------------------------------
+
+#: DuckDB has no crc32: the table of the reflected polynomial (column t), and the fold over a text's ASCII codes
+CRC_SQL = """
+crc_table as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) as c from range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), "
+            "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)")
+
+
+CONVERSATION_SQL = f"""
+with recursive {CRC_SQL},
+k as (select conv_id as cid, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+      {crc_sql("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 as d from conversations, crc_table),
+r as (select cid, turn, case when d = 4 then 'user' else role end as role,
+      case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+      unnest(range(case when d = 3 then 2 else 1 end)) as copy from k where d <> 0),
+o as (select *, row_number() over (partition by cid order by turn nulls first, role, text, copy) as i from r),
+f as (select *, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as bare,
+      row_number() over (partition by cid, role, text order by i) > 1 as again,
+      lag(left(role, 1)) over (partition by cid order by i) as before from o),
+g as (select *, case when bare = '' then 'b' when again then 'd' when right(bare, 1) not in ('.', '!', '?') then 't' else '' end as fault from f),
+-- states 0 none, 1 system, 2 user, 3 assistant; inserts lead from p to q
+ins(p, q, n, said) as (values (0, 0, 0, ''), (0, 2, 1, 'u'), (0, 3, 2, 'ua'), (1, 1, 0, ''), (1, 2, 1, 'u'), (1, 3, 2, 'ua'),
+                       (2, 2, 0, ''), (2, 3, 1, 'a'), (3, 3, 0, ''), (3, 2, 1, 'u')),
+step(p, q, said, letters, cost, edit, role) as (
+  select p, s, said, concat(repeat('I', n), 'K'), 2 * n, 'K', x from ins,
+         (values (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')) v(f, s, x) where f = q
+  union all select p, case when q = 2 then 3 else 2 end, said, concat(repeat('I', n), 'R'), 2 * n + 2, 'R',
+         case when q = 2 then 'a' else 'u' end from ins
+  union all select p, p, '', 'D', 3, 'D', '' from (values (0), (1), (2), (3)) v(p)),
+dp(cid, i, state, cost, audit, lines) as (
+  select cid, 0::bigint, 0, 0::bigint, '', []::varchar[] from (select distinct cid from g)
+  union all
+  select cid, i, state, cost, audit, lines from (
+    select dp.cid, g.i, step.q as state, dp.cost + step.cost + case when fault = 't' and edit <> 'D' then 1 else 0 end as cost,
+           dp.audit || step.letters as audit,
+           list_concat(dp.lines, list_concat(list_transform(string_split(step.said, ''),
+               lambda c: case c when 'u' then 'user:' when 'a' then 'assistant:' end),
+             [case edit when 'K' then concat(g.role, ':', g.text) when 'R' then concat(case step.role when 'u' then 'user' else 'assistant' end, ':', g.text) end])) as lines
+    from dp join g on g.cid is not distinct from dp.cid and g.i = dp.i + 1 join step on step.p = dp.state
+    where (edit = 'D' or fault in ('t', '')) and (edit <> 'K' or left(g.role, 1) = step.role)
+    qualify row_number() over (partition by dp.cid, g.i, step.q order by
+      dp.cost + step.cost + case when fault = 't' and edit <> 'D' then 1 else 0 end, dp.audit || step.letters) = 1)),
+t as (select cid, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+      count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+      count(*) filter (before is not null and concat(before, left(role, 1)) not in ('su', 'ua', 'au')) as illegal from g group by cid),
+e as (select dp.cid, gaps, blank, duplicate, truncated, illegal, dp.cost + 2 * ins.n as cost, dp.audit || repeat('I', ins.n) as audit,
+      list_concat(dp.lines, list_transform(string_split(ins.said, ''), lambda c: case c when 'u' then 'user:' when 'a' then 'assistant:' end)) as lines
+      from dp join t on t.cid is not distinct from dp.cid and t.n = dp.i
+      join ins on ins.p = dp.state and (ins.q = 3 or (ins.p = 0 and ins.q = 0))
+      qualify row_number() over (partition by dp.cid order by dp.cost + 2 * ins.n, dp.audit || repeat('I', ins.n)) = 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+       coalesce(audit, '') as audit,
+       sha256(coalesce(array_to_string(list_filter(lines, lambda x: x is not null), chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join e on e.cid is not distinct from c.conv_id
+"""
+
+
+def damaged(conv: DataFrame) -> DataFrame:
+    """The faults of the contract, by a checksum of conversation and turn."""
+    def said(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    return (conv.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), kind.alias("kind"))
+            .where("kind <> 0")
+            .withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+            .select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+                    F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+                    .otherwise(F.col("text")).alias("text")))
+
+
+@query("op13_conversation_repair", CONVERSATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read(spark, sf_dir, "conversations")
+    found = conversation.transcript_digests(conversation.repair(damaged(conv))).withColumnRenamed("conv_id", "of")
+    every = conv.groupBy("conv_id").agg(F.lit(0).alias("none"))
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return out.select("conv_id", *[F.coalesce(c, "none").cast("long").alias(c) for c in conversation.TOTALS],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 # --- the pipeline -----------------------------------------------------------
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
