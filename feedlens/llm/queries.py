@@ -17,6 +17,7 @@ from feedlens.llm import (
     langid,
     line_dedup,
     lm_interp,
+    merkle,
     packing,
     simhash,
     substring_dedup,
@@ -182,7 +183,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-# --- 13: conversation repair ------------------------------------------------
+# --- 12: Merkle manifest ----------------------------------------------------
 
 #: DuckDB has no crc32: the table of the reflected polynomial (column t), and the fold over a text's ASCII codes
 CRC_SQL = """
@@ -195,6 +196,64 @@ def crc_sql(text: str) -> str:
             "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)")
 
 
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def merkle_leaf_sql(text: str) -> str:
+    said = [text if c == "text" else f"{c}::varchar" for c in MERKLE_FIELDS]
+    return "sha256(concat({}))".format(", ".join(f"case when {x} is null then '-' else concat(strlen({x}), ':', {x}) end" for x in said))
+
+
+MERKLE_SQL = f"""
+with recursive {CRC_SQL},
+lf as (select doc_id, lang, {merkle_leaf_sql('text')} as leaf,
+       case when doc_id is not null and {crc_sql('doc_id::varchar')} % 3 = 0 then
+         {merkle_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as claim from documents, crc_table),
+l as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from lf),
+node(lang, lvl, i, h, n) as (
+  select lang, 0, i, leaf, n from l
+  union all select lang, lvl + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from node
+  where n > 1 group by lang, lvl, i // 8, n),
+sub as (select lang, lvl as height, h as subroot, row_number() over (order by lang nulls first) - 1 as g, count(*) over () as langs from node where n = 1),
+up(lvl, i, h, n) as (
+  select 0, g, subroot, langs from sub
+  union all select lvl + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from up where n > 1 group by lvl, i // 8, n),
+low as (select l.lang, l.i, k as lvl,
+          concat(coalesce(string_agg(node.h, '' order by node.i) filter (node.i < l.i // pow(8, k)::bigint), ''), '|',
+                 coalesce(string_agg(node.h, '' order by node.i) filter (node.i > l.i // pow(8, k)::bigint), '')) as sib
+        from l join sub on sub.lang is not distinct from l.lang, lateral (select unnest(range(height)) as k) ks
+        join node on node.lang is not distinct from l.lang and node.lvl = k and node.i // 8 = l.i // pow(8, k + 1)::bigint
+        group by l.lang, l.i, k),
+high as (select sub.g, k as lvl,
+          concat(coalesce(string_agg(up.h, '' order by up.i) filter (up.i < sub.g // pow(8, k)::bigint), ''), '|',
+                 coalesce(string_agg(up.h, '' order by up.i) filter (up.i > sub.g // pow(8, k)::bigint), '')) as sib
+        from sub, (select distinct lvl as k from up where n > 1) ks
+        join up on up.lvl = k and up.i // 8 = sub.g // pow(8, k + 1)::bigint group by sub.g, k),
+lows as (select lang, i, list(sib order by lvl) as s from low group by lang, i),
+highs as (select g, list(sib order by lvl) as s from high group by g),
+path as (select l.doc_id, l.leaf, l.claim, sub.subroot, (select h from up where n = 1) as root,
+                list_concat(coalesce(lows.s, []), coalesce(highs.s, [])) as s
+         from l join sub on sub.lang is not distinct from l.lang
+         left join lows on lows.lang is not distinct from l.lang and lows.i = l.i left join highs on highs.g = sub.g),
+fold as (select *, list_reduce(list_prepend(coalesce(claim, leaf), s),
+                lambda a, x: sha256(concat(split_part(x, '|', 1), a, split_part(x, '|', 2)))) as folded_root from path)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(s, ''), '|', '')) as proof_sha256, folded_root,
+       folded_root = root as verified from fold
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*MERKLE_FIELDS)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf_digest([F.col(c) if c != "text" else F.translate("text", upper, upper.lower()) for c in MERKLE_FIELDS])
+    manifest = merkle.build(docs, MERKLE_FIELDS, "doc_id", "lang",
+                            F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, tampered))
+    return merkle.proofs(manifest).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+# --- 13: conversation repair ------------------------------------------------
+
 CONVERSATION_SQL = f"""
 with recursive {CRC_SQL},
 k as (select conv_id as cid, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
