@@ -14,6 +14,7 @@ from feedlens.llm import (
     ann_imi,
     conversation,
     decontam,
+    html_extract,
     langid,
     line_dedup,
     lm_interp,
@@ -183,6 +184,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+# --- 11: HTML extraction ----------------------------------------------------
+
+@query("op11_html_extraction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train(pages)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # --- 12: Merkle manifest ----------------------------------------------------
 
 #: DuckDB has no crc32: the table of the reflected polynomial (column t), and the fold over a text's ASCII codes
