@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import probs as P
 from feedlens.functions import text as T
+from feedlens.sources.models import publish, published
 
 NUM_FEATURES = 1 << 18
 
@@ -56,20 +57,22 @@ def lr_score(model: PipelineModel, docs: DataFrame) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Published whole: the model that ``path`` named before serves until then."""
+    publish(SparkSession.active(), path, lambda folder: model.write().save(folder))
 
 
 def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(published(SparkSession.active(), path))
 
 
 def train_summary(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """The training-run record of the fitted classifier (one row)."""
+    """The training-run record of the fitted classifier (one row), with the
+    objective after every iteration (the first entry is from before them)."""
     lr = model.stages[-1]
     s = lr.summary
-    hist = list(s.objectiveHistory)
-    row = (int(s.totalIterations), float(hist[-1]) if hist else None,
-           float(s.accuracy), float(s.weightedFMeasure()))
+    hist = [float(x) for x in s.objectiveHistory]
+    row = (int(s.totalIterations), hist[-1] if hist else None,
+           float(s.accuracy), float(s.weightedFMeasure()), hist)
     return spark.createDataFrame(
         [row], "total_iterations int, final_objective double, train_accuracy double, "
-               "train_f1_weighted double")
+               "train_f1_weighted double, objective_history array<double>")

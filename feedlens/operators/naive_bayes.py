@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import text as T
 from feedlens.session import materialize
+from feedlens.sources.models import publish, published
 
 PRIOR_TOKEN = ""          # never emitted by the tokenizer
 WEIGHT_TYPE = "decimal(18,12)"
@@ -82,11 +83,12 @@ class NBModel:
     weights: DataFrame
 
     def save(self, path: str) -> None:
-        self.weights.write.mode("overwrite").parquet(path)
+        """Published whole: the model that ``path`` named before serves until then."""
+        publish(self.weights.sparkSession, path, lambda folder: self.weights.write.parquet(folder))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "NBModel":
-        return NBModel(spark.read.parquet(path))
+        return NBModel(spark.read.parquet(published(spark, path)))
 
 
 def nb_fit(train: DataFrame, text: str = "text", label: str = "label", alpha: float = 1.0) -> NBModel:

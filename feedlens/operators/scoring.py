@@ -57,20 +57,32 @@ def score_docs(weights: DataFrame, docs: DataFrame, key="doc_id",
     instead of the text; on a written table that already holds it as a column
     the second read touches only that.  Use ``score_keys`` where no text is
     wanted.  ``unique`` says that no two rows share a key."""
-    ks, cols = _keys(key), weight_names()
+    ks = _keys(key)
+    return with_scores(attach(docs, class_sums(weights, docs, ks, text, unique), ks, text, keep, text_as, unique))
+
+
+def class_sums(weights: DataFrame, docs: DataFrame, ks: tuple[str, ...], text: str, unique: bool) -> DataFrame:
+    """``(*ks, _id, _ok, z)``: the class sums of each key and text, without the texts."""
+    cols = weight_names()
     s = weight_sums(weights, docs, ks, text, cols, unique)
     z = F.array(*[F.col(c).cast("double") for c in cols])
-    s = s.select(*ks, "_id", "_ok", F.when(F.col(cols[0]).isNotNull(), z).alias("z"))
+    return s.select(*ks, "_id", "_ok", F.when(F.col(cols[0]).isNotNull(), z).alias("z"))
+
+
+def attach(docs: DataFrame, s: DataFrame, ks: tuple[str, ...], text: str, keep: tuple[str, ...] = (),
+           text_as: F.Column | None = None, unique: bool = False) -> DataFrame:
+    """The rows of ``docs`` with the columns that ``s`` has beside ``*ks, _id, _ok``."""
     carried = F.col(text) if text_as is None else text_as.alias(text)
     if unique:
-        return with_scores(docs.select(*ks, carried, *keep).join(s.drop("_id", "_ok"), list(ks), "left"))
+        return docs.select(*ks, carried, *keep).join(s.drop("_id", "_ok"), list(ks), "left")
+    found = [c for c in s.columns if c not in (*ks, "_id", "_ok")]
     rows = docs.select(*ks, carried, *keep, F.xxhash64(F.coalesce(text, F.lit(""))).alias("_id"),
                        F.col(text).isNotNull().alias("_ok"))
     same = (rows["_id"] == s["_id"]) & (rows["_ok"] == s["_ok"])
     for k in ks:
         same = same & rows[k].eqNullSafe(s[k])
     joined = rows.join(s, same, "left")
-    return with_scores(joined.select(*[rows[c] for c in rows.columns if c not in ("_id", "_ok")], s["z"]))
+    return joined.select(*[rows[c] for c in rows.columns if c not in ("_id", "_ok")], *[s[c] for c in found])
 
 
 def drop_failed(scored: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from feedlens.functions import probs as P
-from feedlens.operators.scoring import score_docs
+from feedlens.operators.scoring import attach, class_sums
 
 # The task's function travels whole: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,8 +34,9 @@ def score_udf(docs: DataFrame, weights: DataFrame, key="doc_id", text: str = "te
               keep: tuple[str, ...] = (), scorer=softmax, unique: bool = False) -> DataFrame:
     """``scoring.score_docs`` with the probabilities of ``scorer``; a text that
     has no sums (null) is not passed to it and keeps null scores."""
-    base = score_docs(weights, docs, key, text, keep, unique=unique).select(
-        *([key] if isinstance(key, str) else key), text, *keep, *[F.get("z", F.lit(k)).alias(f"z{k}") for k in range(3)])
+    ks = (key,) if isinstance(key, str) else tuple(key)
+    base = class_sums(weights, docs, ks, text, unique).select(
+        *ks, "_id", "_ok", *[F.get("z", F.lit(k)).alias(f"z{k}") for k in range(3)])
     schema = StructType([*base.schema.fields, *[StructField(f"p{k}", DoubleType()) for k in range(3)]])
 
     def run(batches):
@@ -47,7 +48,7 @@ def score_udf(docs: DataFrame, weights: DataFrame, key="doc_id", text: str = "te
                 p[ok] = scorer(z[ok])
             yield pd.concat([pdf, pd.DataFrame(p, columns=["p0", "p1", "p2"], index=pdf.index)], axis=1)
 
-    out = base.mapInPandas(run, schema)
+    out = attach(docs, base.mapInPandas(run, schema), ks, text, keep, unique=unique)
     have = F.col("p0").isNotNull() & ~F.isnan("p0")
     p = F.when(have, F.array("p0", "p1", "p2"))
     return (out.withColumn("z", F.when(have, F.array("z0", "z1", "z2"))).withColumn("p", p)

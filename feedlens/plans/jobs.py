@@ -18,7 +18,7 @@ from feedlens.operators.cleaning import prepare
 from feedlens.operators.naive_bayes import NBModel, nb_fit_grid, weight_names, weight_sums
 from feedlens.operators.ordering import best_by, seeded_split
 from feedlens.operators.scoring import (class_share, drop_failed, result_table,
-                                        score_docs, sentiment_summary, with_scores)
+                                        score_docs, score_keys, sentiment_summary, with_scores)
 from feedlens.operators.tokens import MAX_LEARNED, build_vocab, encode_padded, truncate_tokens
 from feedlens.functions.text import display_text, tokens as tokens_expr
 from feedlens.session import materialize, scratch_tables
@@ -75,6 +75,7 @@ class TrainResult:
     best: DataFrame           # O4: the chosen candidate row
     candidates: DataFrame     # E9: metrics per candidate on validation
     test_preds: DataFrame     # (ord, label, pred, ...)
+    confusion: DataFrame      # E7 counts on test, written
     metrics: DataFrame        # E1-E5 on test
 
 
@@ -84,12 +85,11 @@ def candidate_metrics(split: DataFrame, grid: DataFrame, alphas=ALPHAS) -> DataF
     the per-document sums are unfolded, one row per candidate."""
     val = split.filter(F.col("split") == "validation").select("ord", "text", "label")
     cols = [c for i in range(len(alphas)) for c in weight_names(i)]
-    sums = weight_sums(grid, val, ("ord",), "text", cols, unique=True)
+    sums = weight_sums(grid, val, ("ord", "label"), "text", cols, unique=True)   # the label travels in the key
     z = F.array(*[F.struct(F.lit(i).alias("cand"), F.array(*[F.col(c).cast("double") for c in weight_names(i)]).alias("z"))
                   for i in range(len(alphas))])
-    zs = sums.select("ord", F.explode(z).alias("e")).select("ord", "e.cand", "e.z")
-    preds = with_scores(zs).join(val.select("ord", "label"), "ord")
-    m = E.eval_metrics(preds, group=("cand",))
+    zs = sums.select("label", F.explode(z).alias("e")).select("label", "e.cand", "e.z")
+    m = E.eval_metrics(with_scores(zs), group=("cand",))
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("cand") + 1)
     return m.withColumn("alpha", alpha)
 
@@ -113,12 +113,13 @@ def train_eval(split: DataFrame, alphas=ALPHAS, output: str | None = None) -> Tr
     weights = grid.select("token", "frequent", *[F.col(c).alias(w) for c, w in zip(weight_names(chosen), weight_names(), strict=True)])
     model = NBModel(materialize(weights, "weights"))
     test = split.filter(F.col("split") == "test")
-    preds = score_docs(model.weights, test, "ord", "text", keep=("label",), unique=True)
-    metrics = E.eval_metrics(preds)
+    preds = score_keys(model.weights, test, ("ord", "label"), "text", unique=True)
+    confusion = E.confusion_counts(preds)
+    metrics = E.metrics(confusion)
     if output:
         model.save(f"{output}/weights")
         write_metrics_json(metrics, f"{output}/test_metrics")
-    return TrainResult(model, best, cands, preds, metrics)
+    return TrainResult(model, best, cands, preds, confusion, metrics)
 
 
 @dataclass
@@ -126,22 +127,26 @@ class TrainingReport:
     """What ``run_training`` wrote, by value."""
     counts: dict              # rows loaded, labelled and not blank, unique, per split
     metrics: dict             # E1-E5 on test
-    paths: dict               # model, metrics, report, matrix, datasets
+    paths: dict               # model, metrics, report, matrix, training (E9/E10 record), datasets
 
 
 def run_training(spark: SparkSession, data, output: str, flavour: str = "nb", alphas=ALPHAS,
                  epochs: int = fixed.EPOCHS, batch_size: int = fixed.BATCH_SIZE, weight_decay: float = fixed.WEIGHT_DECAY,
                  max_length: int = fixed.MAX_LENGTH, seed: int = fixed.SEED, datasets: bool = False,
-                 multi_line: bool = True, malformed: str = "fail") -> TrainingReport:
-    """J3 from CSV files to a persisted model in one call.
-
-    ``flavour``: ``nb`` (naive Bayes, candidate chosen among ``alphas``) or
-    ``ml`` (the Spark ML pipeline; ``epochs`` passes of its optimiser and
-    ``weight_decay``; two candidates, with and without the decay, chosen the
-    same way).  ``batch_size`` and ``max_length`` shape the tokenised examples
-    that ``datasets`` writes.  The counts are observed while the rows pass."""
-    if flavour not in ("nb", "ml"):
-        raise ValueError("flavour must be 'nb' or 'ml'")
+                 multi_line: bool = True, malformed: str = "fail", lr: float = 8.0, steps: int = 1,
+                 patience: int = fixed.EARLY_STOPPING_PATIENCE) -> TrainingReport:
+    """J3 from CSV files to a published model in one call.
+
+    ``flavour``, the model: ``nb`` (naive Bayes, candidate chosen among
+    ``alphas``), ``ml`` (the Spark ML pipeline; ``epochs`` passes of its
+    optimiser and ``weight_decay``; two candidates, with and without the
+    decay, chosen the same way) or ``linear`` (gradient steps at learning rate
+    ``lr``, ``steps`` an epoch, evaluated after every epoch; ``patience`` ends
+    it and the best epoch is kept).  ``batch_size`` and ``max_length`` shape
+    the tokenised examples that ``datasets`` writes.  The counts are observed
+    while the rows pass; the test split is scored once."""
+    if flavour not in ("nb", "ml", "linear"):
+        raise ValueError("flavour must be 'nb', 'ml' or 'linear'")
     with scratch_tables(spark):
         loaded = Observation("loaded")
         raw = read_feedback_csv(spark, data, multi_line, malformed=malformed).select("ord", "text", "sentiment")
@@ -150,15 +155,23 @@ def run_training(spark: SparkSession, data, output: str, flavour: str = "nb", al
         split = materialize(split_job(clean, seed, batch_size=batch_size).observe(
             split_seen, F.count(F.lit(1)).alias("unique"), *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in SPLITS]), "split")
         counts = {"loaded": loaded.get["n"], **split_seen.get}
-        paths = {"model": f"{output}/model", "metrics": f"{output}/test_metrics", "report": f"{output}/report", "matrix": f"{output}/matrix"}
+        paths = {"model": f"{output}/model", "metrics": f"{output}/test_metrics", "report": f"{output}/report", "matrix": f"{output}/matrix",
+                 "training": f"{output}/training_metrics"}
         if flavour == "nb":
             res = train_eval(split, alphas)
             res.model.save(paths["model"])
-            preds = res.test_preds
+            cm, record = res.confusion, res.candidates
+        elif flavour == "ml":
+            preds, record = _train_ml(split, epochs, weight_decay, paths["model"])
+            cm = E.confusion_counts(preds)
         else:
-            preds = _train_ml(split, epochs, weight_decay, paths["model"])
-        cm = E.confusion_counts(preds)
+            from feedlens.operators import linear as L
+            fitted = L.fit(split, epochs, lr, weight_decay, steps, patience)
+            fitted.save(paths["model"])
+            cm = E.confusion_counts(L.score_linear(split.filter(F.col("split") == "test"), fitted.weights, ("label",)))
+            record = fitted.history.withColumn("best", F.col("epoch") == fitted.stop.select("best_step").scalar())
         m = E.metrics(cm)
+        record.write.mode("overwrite").json(paths["training"])
         write_metrics_json(m, paths["metrics"])
         E.report(cm).write.mode("overwrite").parquet(paths["report"])
         E.matrix(cm).write.mode("overwrite").parquet(paths["matrix"])
@@ -168,8 +181,9 @@ def run_training(spark: SparkSession, data, output: str, flavour: str = "nb", al
         return TrainingReport(counts, m.first().asDict(), paths)
 
 
-def _train_ml(split: DataFrame, epochs: int, weight_decay: float, path: str) -> DataFrame:
-    """The ML flavour of ``train_eval``: fits, chooses on validation, saves."""
+def _train_ml(split: DataFrame, epochs: int, weight_decay: float, path: str) -> tuple[DataFrame, DataFrame]:
+    """The ML flavour of ``train_eval``: fits, chooses on validation, saves;
+    predictions on test and the training-run record (E10)."""
     from feedlens.operators import ml_pipeline as ML
     part = {s: split.filter(F.col("split") == s).select("ord", "text", "label") for s in SPLITS}
     if part["train"].isEmpty():
@@ -178,7 +192,7 @@ def _train_ml(split: DataFrame, epochs: int, weight_decay: float, path: str) ->
     scores = [E.eval_metrics(ML.lr_score(m, part["validation"])).first()["f1_macro"] or 0.0 for m in models]
     best = models[max(range(len(models)), key=lambda i: (scores[i], -i))]
     ML.save_model(best, path)
-    return ML.lr_score(best, part["test"])
+    return ML.lr_score(best, part["test"]), ML.train_summary(split.sparkSession, best)
 
 
 # --------------------------------------------------------------------------

@@ -288,8 +288,81 @@ lp as (select y, case when doc_id % 5 = 0 then (y + 1) % 3 when doc_id % 7 = 0 t
 """
 
 
+LINEAR = dict(epochs=6, lr=8.0, weight_decay=0.001, patience=2)
+
+
+def linear_ctes(epochs: int, lr: float, weight_decay: float, patience: int) -> str:
+    """The hashed softmax regression, one group of CTEs an epoch: weights
+    ``lw{e}``, history ``lh`` up to the stop, and the best epoch's ``lw``."""
+    def vectors(name: str, docs: str, cols: str) -> str:
+        return f"""
+{name}_t as (select {cols}, unnest({tokens('text')}) as token from {docs} where text is not null),
+{name}_b as (select {cols}, ('0x' || substr(md5(token), 1, 4))::integer as bucket, count(*) as tf from {name}_t group by all),
+{name} as materialized (select {cols}, bucket, tf / sqrt(sum(tf * tf) over (partition by {cols})) as x from {name}_b
+         union all select {cols}, 65536, 1.0 from {docs} where text is not null)"""
+
+    def softmax(name: str, feats: str, weights: str, cols: str) -> str:
+        return f"""
+{name}_z as (select {cols}, sum(x * coalesce(w0, 0)) as z0, sum(x * coalesce(w1, 0)) as z1, sum(x * coalesce(w2, 0)) as z2
+             from {feats} left join {weights} using (bucket) group by {cols}),
+{name}_e as (select *, exp(z0 - greatest(z0, z1, z2)) as e0, exp(z1 - greatest(z0, z1, z2)) as e1, exp(z2 - greatest(z0, z1, z2)) as e2 from {name}_z),
+{name} as materialized (select {cols}, e0 / (e0 + e1 + e2) as p0, e1 / (e0 + e1 + e2) as p1, e2 / (e0 + e1 + e2) as p2,
+           case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as pred from {name}_e)"""
+
+    parts = [SPLIT_CTES.strip(), vectors("lf", "(select ord, label, split, text from sp where split <> 'test') q", "ord, label, split"),
+             """
+lt as materialized (select ord, label, bucket, x from lf where split = 'train'),
+lv as materialized (select ord, label, bucket, x from lf where split = 'validation'),
+lw0 as (select 0 as bucket, 0.0::double as w0, 0.0::double as w1, 0.0::double as w2)"""]
+    for e in range(1, epochs + 1):
+        step = ", ".join(f"coalesce(w{k}, 0) * (case when g.bucket = 65536 then 1.0 else {1.0 - lr * weight_decay!r}::double end) - {lr}::double * g{k} as w{k}"
+                         for k in range(3))
+        parts += [softmax(f"lp{e}", "lt", f"lw{e - 1}", "ord, label"), f"""
+lg{e} as (select bucket, """ + ", ".join(f"sum(x * (p{k} - case when label = {k} then 1 else 0 end)) / (select count(*) from lp{e}) as g{k}" for k in range(3))
+                  + f""" from lt join lp{e} using (ord, label) group by bucket),
+lw{e} as materialized (select g.bucket, {step} from lg{e} g left join lw{e - 1} using (bucket)),
+ll{e} as (select avg(-ln(greatest(case label when 0 then p0 when 1 then p1 else p2 end, 1e-300))) as loss from lp{e})""",
+                  softmax(f"lq{e}", "lv", f"lw{e}", "ord, label"), f"""
+lr{e} as (select label as y, pred as p from lq{e})""", metric_ctes(f"lr{e}", px=f"l{e}_").strip().lstrip(",")]
+    every = " union all ".join(f"select {e} as epoch, loss, l{e}_met.* from l{e}_met, ll{e}" for e in range(1, epochs + 1))
+    weights = " union all ".join(f"select {e} as epoch, * from lw{e}" for e in range(1, epochs + 1))
+    parts.append(f"""
+la as (select *, max(f1_macro) over (order by epoch rows between unbounded preceding and 1 preceding) as pb from ({every})),
+lb as (select *, max(case when pb is null or f1_macro > pb then epoch end) over (order by epoch) as li from la),
+lh as (select * from lb where epoch <= coalesce((select min(epoch) from lb where epoch - li >= {patience}), {epochs})),
+lbest as (select epoch from lh order by f1_macro desc, epoch limit 1),
+lw as materialized (select bucket, w0, w1, w2 from ({weights}) join lbest using (epoch))""")
+    return ",\n".join(parts)
+
+
+def external_scores() -> str:
+    """The best epoch's model on every conversation turn."""
+    base = linear_ctes(**LINEAR)
+    score = f"""
+xd as ({BATCH_SQL}),
+xt as (select doc_id, unnest({tokens('text')}) as token from xd where text is not null),
+xb as (select doc_id, ('0x' || substr(md5(token), 1, 4))::integer as bucket, count(*) as tf from xt group by all),
+xf as (select doc_id, bucket, tf / sqrt(sum(tf * tf) over (partition by doc_id)) as x from xb
+       union all select doc_id, 65536, 1.0 from xd where text is not null),
+xz as (select doc_id, sum(x * coalesce(w0, 0)) as z0, sum(x * coalesce(w1, 0)) as z1, sum(x * coalesce(w2, 0)) as z2
+       from xf left join lw using (bucket) group by doc_id),
+xe as (select *, exp(z0 - greatest(z0, z1, z2)) as e0, exp(z1 - greatest(z0, z1, z2)) as e1, exp(z2 - greatest(z0, z1, z2)) as e2 from xz),
+xp as (select doc_id, e0 / (e0 + e1 + e2) as p0, e1 / (e0 + e1 + e2) as p1, e2 / (e0 + e1 + e2) as p2,
+              case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as pred from xe),
+xs as (select *, case pred when 0 then p0 when 1 then p1 else p2 end as confidence from xp)"""
+    return w(base + "," + score, probs_select("xs", "doc_id"))
+
+
 def build() -> dict[str, str]:
     o: dict[str, str] = {}
+    o["train_history"] = w(linear_ctes(**LINEAR), "select epoch::integer as epoch, round(loss, 6) as loss, n, round(accuracy, 6) as accuracy, "
+                           "round(precision, 6) as precision, round(recall, 6) as recall, round(f1_macro, 6) as f1_macro, "
+                           "round(f1_weighted, 6) as f1_weighted, epoch = (select epoch from lbest) as best from lh")
+    o["fit_stop_point"] = w(linear_ctes(**LINEAR), "select count(*)::bigint as n_steps, (select epoch from lbest)::bigint as best_step, "
+                            "round(max(f1_macro), 6) as best_metric, "
+                            f"(select min(epoch) from lh where epoch - li >= {LINEAR['patience']})::bigint as stop_step from lh")
+    o["linear_fit"] = w(linear_ctes(**LINEAR), "select bucket, round(w0, 6) as w0, round(w1, 6) as w1, round(w2, 6) as w2 from lw")
+    o["score_external"] = external_scores()
     o["prepare_feedback"] = w(CLEAN_CTES, "select ord, text, sentiment, label from clean")
     o["clean_text"] = w(CLEAN_CTES, "select ord, text, sentiment from cr")
     o["label_encode"] = w(CLEAN_CTES, "select ord, sentiment, label from lab")

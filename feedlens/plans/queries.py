@@ -83,7 +83,7 @@ def scored_texts(spark, sf):
 def test_preds(spark, sf):
     sp = split_df(spark, sf)
     w = nb_fit(sp.filter(F.col("split") == "train")).weights
-    return S.score_docs(w, sp.filter(F.col("split") == "test"), "ord", "text", keep=("label",), unique=True)
+    return S.score_keys(w, sp.filter(F.col("split") == "test"), ("ord", "label"), "text", unique=True)
 
 
 def metrics_cols(df):
@@ -576,14 +576,20 @@ def q_lr_model_roundtrip(spark, sf):
 
 @query("train_metrics")
 def q_train_metrics(spark, sf):
-    """The training-run record, as facts that any right fit has."""
+    """The training-run record.  Accuracy and F1 must equal those of the confusion
+    matrix of the model's predictions on train; the objective must have an entry for
+    every iteration and never rise."""
     ML, sp, model = _lr(spark, sf)
+    train = sp.filter(F.col("split") == "train").select("ord", "text", "label")
     r = ML.train_summary(spark, model)
-    ok = lambda c: F.col(c).between(0.0, 1.0)
-    n = sp.filter(F.col("split") == "train").count()
-    return r.select(F.lit(n).cast("long").alias("n_train"), F.col("total_iterations").between(1, 20).alias("iterations_ok"),
-                    (F.col("final_objective") >= 0).alias("objective_ok"), ok("train_accuracy").alias("accuracy_ok"),
-                    ok("train_f1_weighted").alias("f1_ok"))
+    own = E.eval_metrics(ML.lr_score(model, train))      # one row, from the written confusion counts
+    same = lambda a, b: F.abs(F.col(a) - own.select(b).scalar()) < 1e-9
+    h = F.col("objective_history")
+    falls = F.forall(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.get(h, i) <= F.get(h, i - 1) + 1e-9)
+    return r.select(
+        own.select("n").scalar().cast("long").alias("n_train"), F.col("total_iterations").between(1, 20).alias("iterations_ok"),
+        ((F.col("final_objective") >= 0) & (F.size(h) == F.col("total_iterations") + 1) & falls).alias("objective_ok"),
+        same("train_accuracy", "accuracy").alias("accuracy_ok"), same("train_f1_weighted", "f1_weighted").alias("f1_ok"))
 
 
 @query("train_job")
@@ -610,6 +616,46 @@ def q_score_udf(spark, sf):
     return probs_cols(S.drop_failed(score_udf(X.batch_texts(spark, sf), w, "doc_id", "text")))
 
 
+#: options of the fit with an evaluation history
+LINEAR = dict(epochs=6, lr=8.0, weight_decay=0.001, patience=2)
+
+
+def linear_model(spark, sf):
+    """The hashed softmax regression, fitted by gradient steps on the train split."""
+    from feedlens.operators import linear as L
+    return L.fit(split_df(spark, sf), **LINEAR)
+
+
+@query("train_history")
+def q_train_history(spark, sf):
+    """E9 during the fit: validation metrics of every epoch until the patience rule ends it."""
+    m = linear_model(spark, sf)
+    best = m.stop.select("best_step").scalar()
+    return m.history.select("epoch", r6(F.col("loss")).alias("loss"), "n", *[r6(F.col(c)).alias(c) for c in SK.METRIC_KEYS],
+                            (F.col("epoch") == best).alias("best"))
+
+
+@query("fit_stop_point")
+def q_fit_stop_point(spark, sf):
+    """O5 on the history of a real fit."""
+    return linear_model(spark, sf).stop.withColumn("best_metric", r6(F.col("best_metric")))
+
+
+@query("linear_fit")
+def q_linear_fit(spark, sf):
+    """M1: the weights of the best epoch."""
+    return linear_model(spark, sf).weights.select("bucket", *[r6(F.col(c)).alias(c) for c in ("w0", "w1", "w2")])
+
+
+@query("score_external")
+def q_score_external(spark, sf):
+    """M7: the fitted model as an outside object, loaded from its file by each worker
+    process, on the texts themselves."""
+    from feedlens.operators import external as X7
+    name = X7.ship_table(linear_model(spark, sf).weights, scratch_path(spark, "external-model"))
+    return probs_cols(S.drop_failed(X7.score_external(X.batch_texts(spark, sf), X7.hashed_model(name), "doc_id", "text")))
+
+
 def _conversation_stream_args(spark, sf):
     schema = table(spark, sf, "conversations").schema
     return sf.rstrip("/"), "conversations.parquet", schema
