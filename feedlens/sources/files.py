@@ -2,21 +2,22 @@
 
 CSV is read with every column as a string (no schema inference, so a text
 that looks numeric stays text), RFC-4180 quotes (``""`` inside quotes) and,
-with ``multi_line``, quoted newlines.  Files of one folder may order their
-columns differently: files are grouped by header and each group is read with
-its own schema.  Rows that do not fit their header are counted; they raise,
-or are left out and reported, as the caller says.
+with ``multi_line``, quoted newlines.  Files are cut into records block by
+block (``csv_blocks``), so a large file is parsed by many tasks whatever its
+quotes hold, and headers come from the same pass.  Files of one folder may
+order their columns differently: files are grouped by header and each group
+has its own schema.  Rows that do not fit their header are counted; they
+raise, or are left out and reported, as the caller says.
 
 The rows are parsed once and written as Parquet with a dense row number
 (``ord``: file by path, then position), so everything after the parse is split
-and a second read costs no parsing.  Quoted newlines make each file one split
-of the parse (a limit of the format): large inputs should come as many files,
-or be read with ``multi_line=False`` when no field holds a newline.
+and a second read costs no parsing.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,21 +25,21 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions.text import na_to_null, ustrip
 from feedlens.session import materialize
+from feedlens.sources import csv_blocks
 
 BAD = "_malformed"
 
 
-def header_groups(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
-    """``(columns, files)`` for each distinct header line, names stripped."""
-    first = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
-                                          F.col("_metadata.file_block_start").alias("block"),
-                                          F.monotonically_increasing_id().alias("row"))
-                  .where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header")))
-    files = sorted((r["file"], r["header"]) for r in first.collect())    # one short row a file
+def header_groups(table: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """``(columns, files)`` for each distinct header, names stripped (P1), from
+    the first records that ``csv_blocks.blocks`` found."""
+    files = sorted((r["file"], r["header"]) for r in table.where("block = 0").select("file", "header").collect())   # one short row a file
     by: dict[str, list[str]] = {}
     for f, h in files:
+        if h is None:
+            raise ValueError(f"{f} has no header, or one longer than a block")
         by.setdefault(h, []).append(f)
-    return [([c.strip() for c in next(csv.reader([h.lstrip("\ufeff")]))], fs) for h, fs in by.items()]
+    return [([c.strip() for c in next(csv.reader(io.StringIO(h.rstrip("\r"), newline="")))], fs) for h, fs in by.items()]
 
 
 def parse_csv(spark: SparkSession, path, want: tuple[str, ...], multi_line: bool = True,
@@ -50,7 +51,8 @@ def parse_csv(spark: SparkSession, path, want: tuple[str, ...], multi_line: bool
     count is the attribute ``malformed`` of the result."""
     if malformed not in ("fail", "drop"):
         raise ValueError("malformed must be 'fail' or 'drop'")
-    groups = header_groups(spark, path)
+    found = materialize(csv_blocks.blocks(csv_blocks.lines_of(spark, path), multi_line), "csv-blocks")
+    groups = header_groups(found)
     if not groups:
         raise ValueError(f"no CSV file with a header in {path}")
     for names, files in groups:
@@ -59,15 +61,13 @@ def parse_csv(spark: SparkSession, path, want: tuple[str, ...], multi_line: bool
             raise ValueError(f"{files[0]} has no column {', '.join(map(repr, missing))}")
     columns = list(dict.fromkeys(c for names, _ in groups for c in names))
     order = {f: i for i, f in enumerate(sorted(f for _, fs in groups for f in fs))}
-    rows = None
+    rows, started = None, csv_blocks.starts(found)
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
     for names, files in groups:
         schema = ", ".join([*[f"`{c}` string" for c in names], f"{BAD} string"])
-        part = (spark.read.schema(schema).option("header", True).option("escape", '"')
-                     .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-                     .option("columnNameOfCorruptRecord", BAD).csv(files))
-        part = part.select(*[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns], BAD,
-                           F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                           F.monotonically_increasing_id().alias("_row"))
+        part = csv_blocks.records(spark, files, started, multi_line).withColumn("_r", F.from_csv("record", schema, options))
+        part = part.select(*[F.col("_r").getField(c).alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns],
+                           F.col("_r").getField(BAD).alias(BAD), F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("row").alias("_row"))
         rows = part if rows is None else rows.unionByName(part)
     rows = materialize(rows, "csv-rows")
     bad = rows.where(F.col(BAD).isNotNull()).count()
@@ -82,14 +82,15 @@ def parse_csv(spark: SparkSession, path, want: tuple[str, ...], multi_line: bool
 def numbered(rows: DataFrame, order: dict[str, int]) -> DataFrame:
     """``ord``: the dense number of each row by file, block and position.
 
-    One small row per file block gives the offsets."""
+    One small row per file block gives the offsets; they are smaller than the
+    files by the size of a block and are sent to every task, so no row moves."""
     spark = rows.sparkSession
     names = spark.createDataFrame(list(order.items()), "_file string, _at int")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"),
                                                  F.count(F.lit(1)).alias("_n")).join(names, "_file")
     before = Window.orderBy("_at", "_block").rowsBetween(Window.unboundedPreceding, -1)
     off = blocks.select("_file", "_block", F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(before), F.lit(0)).alias("_off"), "_first")
-    j = rows.join(off, ["_file", "_block"])
+    j = rows.join(F.broadcast(off), ["_file", "_block"])
     return j.select((F.col("_off") + F.col("_row") - F.col("_first")).alias("ord"),
                     *[F.col(f"`{c}`") for c in rows.columns if c not in ("_file", "_block", "_row")])
 
