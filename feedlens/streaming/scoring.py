@@ -1,13 +1,15 @@
 """Structured Streaming: continuous scoring (ST1) and a running class
 summary (ST2).
 
-Both are stateless: each micro-batch is scored by the batch scorer inside
-``foreachBatch`` and written under its batch id with overwrite, so a replayed
-batch rewrites the same files (idempotent sink).  ST2 writes a few counts per
-batch; reading them adds up the batches and fills in absent classes, so the
-running summary equals the batch one and a reader always finds whole batches.
-Checkpoints live in the shared folder, so a restarted query resumes where it
-stopped.
+Each micro-batch is scored by the batch scorer inside ``foreachBatch``.  ST1
+writes the scores under the batch id with overwrite, so a replayed batch
+rewrites the same files (idempotent sink).  ST2 is stateful: the counts of each
+scored batch appear beside the checkpoint as a folder that is renamed into
+place whole and once, and a second query sums them in the state store
+(complete mode) and publishes every new total under a manifest.  A look at the
+running summary reads one small file, however many batches have gone by, and a
+reader always finds a whole summary.  Checkpoints live in the shared folder, so
+a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators.scoring import class_counts, class_dim, drop_failed, score_keys
+from feedlens.sources.models import publish, published
 
 
 def text_stream(spark: SparkSession, directory: str, glob: str, schema,
@@ -43,23 +46,75 @@ def stream_score(stream: DataFrame, weights: DataFrame, sink: str, checkpoint: s
     return _start(stream, write_batch, checkpoint, available_now)
 
 
+COUNTS = "sentiment string, n long"
+
+
+def appear(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Writes ``df`` so that ``path`` appears whole, at once; if it is there already
+    (the batch is replayed), it stays as it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parent, name = path.rsplit("/", 1)
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{parent}/_beside/{name}")
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        df.write.mode("overwrite").parquet(beside.toString())
+        if not fs.rename(beside, target):
+            raise OSError(f"{beside} could not be renamed to {target}")
+
+
+class SummaryQuery:
+    """The two queries of ST2: the first scores, the second adds up.
+
+    With ``available_now`` the second starts when the first has ended;
+    otherwise both run until ``stop``."""
+
+    def __init__(self, first, second, available_now: bool):
+        self._running, self._second, self._wait = [first], second, available_now
+        if not available_now:
+            self._running.append(second())
+
+    def awaitTermination(self) -> None:
+        for q in self._running:
+            q.awaitTermination()
+        if self._wait and len(self._running) == 1 and self._running[0].exception() is None:
+            self._running.append(self._second())
+            self._running[-1].awaitTermination()
+
+    def exception(self):
+        return next((e for q in self._running if (e := q.exception()) is not None), None)
+
+    def stop(self) -> None:
+        for q in self._running:
+            q.stop()
+
+
 def stream_summary(stream: DataFrame, weights: DataFrame, sink: str, checkpoint: str,
-                   key="doc_id", text: str = "text", available_now: bool = True):
-    """ST2: counts per predicted class of every micro-batch under ``sink``;
-    ``read_summary`` is the running summary."""
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = class_counts(drop_failed(score_keys(weights, batch, key, text)), "predicted_class")
-        counts.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+                   key="doc_id", text: str = "text", available_now: bool = True) -> SummaryQuery:
+    """ST2: the count per predicted class of everything that has arrived, published
+    under ``sink``; ``read_summary`` reads it."""
+    spark, counts = stream.sparkSession, f"{checkpoint}/counts"
 
-    return _start(stream, write_batch, checkpoint, available_now)
+    def write_counts(batch: DataFrame, batch_id: int) -> None:
+        scored = drop_failed(score_keys(weights, batch, key, text))
+        appear(spark, class_counts(scored, "predicted_class").coalesce(1), f"{counts}/batch_id={batch_id}")
+
+    def write_totals(totals: DataFrame, batch_id: int) -> None:
+        publish(spark, sink, lambda folder: totals.coalesce(1).write.parquet(folder))
 
+    def second():
+        made = spark.createDataFrame([], COUNTS)      # so that there is a folder to watch
+        appear(spark, made, f"{counts}/batch_id=-1")
+        totals = spark.readStream.schema(COUNTS).parquet(counts).groupBy("sentiment").agg(F.sum("n").alias("n"))
+        w = totals.writeStream.outputMode("complete").foreachBatch(write_totals).option("checkpointLocation", f"{checkpoint}/totals")
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
-SUMMARY = "sentiment string, n long, batch_id long"
+    return SummaryQuery(_start(stream, write_counts, f"{checkpoint}/scores", available_now), second, available_now)
 
 
 def read_summary(spark: SparkSession, sink: str) -> DataFrame:
     """``(cls, sentiment, n)`` over all batches so far, all three classes."""
-    counts = spark.read.schema(SUMMARY).parquet(sink).groupBy("sentiment").agg(F.sum("n").alias("n"))
+    folder = published(spark, sink)
+    counts = spark.createDataFrame([], COUNTS) if folder == sink else spark.read.schema(COUNTS).parquet(folder)
     return (F.broadcast(class_dim(spark)).join(counts, "sentiment", "left")
              .select("cls", "sentiment", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 

@@ -146,6 +146,38 @@ def test_streams_over_several_batches_and_replays(spark, sf_small, tmp_path):
     assert spark.read.parquet(scores).count() == 6
 
 
+def test_summary_state_over_restarts(spark, tmp_path):
+    """Files that come between runs; a replayed batch; the cost of a look."""
+    import os
+    import shutil
+
+    from feedlens.operators.scoring import drop_failed, score_keys, sentiment_summary
+    from feedlens.streaming import scoring as ST
+    w = nb_fit(spark.createDataFrame([("good fine", 2), ("bad poor", 0), ("so so", 1)], "text string, label int")).weights
+    src, sink, ckpt = str(tmp_path / "src"), str(tmp_path / "sum"), str(tmp_path / "c")
+    os.makedirs(src)
+    assert sorted(r["n"] for r in ST.read_summary(spark, sink).collect()) == [0, 0, 0]
+    rows = []
+    for run in range(3):
+        rows += [(run * 10 + i, t) for i, t in enumerate(["good", "bad", None, "so", "good fine"][run:])]
+        spark.createDataFrame(rows[-(5 - run):], "doc_id long, text string").coalesce(2).write.parquet(f"{src}/run{run}")
+        for f in os.listdir(f"{src}/run{run}"):
+            if f.endswith(".parquet"):
+                os.rename(f"{src}/run{run}/{f}", f"{src}/{run}-{f}")
+        shutil.rmtree(f"{src}/run{run}")
+        if run == 2:      # the last batch was scored, but the query ended before it was marked as done
+            last = max(os.listdir(f"{ckpt}/scores/commits"), key=lambda f: int(f) if f.isdigit() else -1)
+            for f in (last, f".{last}.crc"):
+                if os.path.exists(f"{ckpt}/scores/commits/{f}"):
+                    os.remove(f"{ckpt}/scores/commits/{f}")
+        ST.run_to_end(ST.stream_summary(ST.text_stream(spark, src, "*.parquet", "doc_id long, text string", 1), w, sink, ckpt))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        want = sorted(map(tuple, sentiment_summary(drop_failed(score_keys(w, docs)), "predicted_class").collect()))
+        assert sorted(map(tuple, ST.read_summary(spark, sink).collect())) == want
+    assert len([f for f in os.listdir(sink) if f.startswith("v-")]) <= 2      # a look reads one of these
+    assert os.path.exists(f"{ckpt}/totals/state")
+
+
 def test_no_shared_folder_on_a_cluster_raises(spark, monkeypatch):
     import feedlens.session as SE
 
