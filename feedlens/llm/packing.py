@@ -51,7 +51,7 @@ class Capacity:
     tokens: int = 2048
     pieces: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
     def sizes(self, length: np.ndarray) -> np.ndarray:
@@ -163,7 +163,8 @@ def pack(rows: DataFrame, cap: Capacity = Capacity(), lot: int = 20_000) -> Data
         _, first = np.unique(where, return_index=True)
         return pd.DataFrame({"number": number, "sequence_id": number[first][where], "offset": offset})
 
-    dealt = part.select("number", "length", F.pmod(F.xxhash64("number"), F.lit(lots)).alias("lot"))
+    # an explicit number of partitions, so that lots are not gathered in one task
+    dealt = part.select("number", "length", F.pmod(F.xxhash64("number"), F.lit(lots)).alias("lot")).repartition(min(lots, 20_000), "lot")
     placed = dealt.groupBy("lot").applyInPandas(lambda pdf: run(pdf), "number long, sequence_id long, offset long")
     return part.join(placed, "number").unionByName(
         full.withColumn("sequence_id", F.col("number")).withColumn("offset", F.lit(0).cast("long")))
