@@ -33,7 +33,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm import textnum as tn
@@ -42,6 +42,7 @@ from feedlens.session import materialize
 
 NAMES = ["hits", "hit_density", "weight", "weight_density", "strongest", "near_second_person", "second_person",
          "disguised", "disguised_words", "capitals", "exclamations", "punctuation", "log_words"]
+INNER = [f"__f_{n}" for n in NAMES]      # columns of their own beside the caller's
 #: fixed values: second-person words of the languages at hand, in UTF-8
 SECOND_PERSON = ("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos "
                  "ti usted ustedes tus vosotros su").split()
@@ -147,10 +148,10 @@ def with_features(docs: DataFrame, weights: dict[str, float], columns: list[str]
             raw, low = tn.text_bytes(part.column("__text")), lowered(part.column("__text"))
             x = np.array([features(r, t, find, ODD) for r, t in zip(raw, low, strict=True)], np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x[:, k].copy()) for k in range(x.shape[1])]],
-                                             [*columns, *NAMES])
+                                             [*columns, *INNER])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[:-1])
-    return src.mapInArrow(run, ", ".join([kinds, *[f"{n} double" for n in NAMES]]))
+    return src.mapInArrow(run, ", ".join([kinds, *[f"{n} double" for n in INNER]]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -159,9 +160,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn, per_class: int) -> tuple[D
                .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    w = Window.partitionBy("y").orderBy(hash_order("doc_id"), "doc_id")
-    size = F.when(F.col("y") == 1, sizes.get(1, 0)).otherwise(sizes.get(0, 0))
-    few = y.where(share_below(size, per_class)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_class).select("doc_id", "y")
+    few = [y.where((F.col("y") == c) & share_below(F.lit(sizes.get(c, 0)), per_class)).orderBy(hash_order("doc_id"), "doc_id").limit(per_class)
+           for c in (0, 1)]
+    few = few[0].unionByName(few[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
     return materialize(rows, "toxic-sample"), sizes
 
@@ -194,7 +195,7 @@ class Model:
         self.lexicon, self.trees, self.curve, self.constant = lexicon or {}, trees, curve, constant
 
     def margins(self, x: DataFrame) -> DataFrame:
-        v = VectorAssembler(inputCols=NAMES, outputCol="__x").transform(x)
+        v = VectorAssembler(inputCols=INNER, outputCol="__x").transform(x)
         out = self.trees.transform(v)
         return out.withColumn("__margin", vector_to_array("__raw")[1])
 
@@ -222,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_class: int = 4000, lexi
     fit, rest = x.where(~held), x.where(held)
     if fit.select("y").distinct().count() < 2 or rest.select("y").distinct().count() < 2:
         fit, rest = x, x
-    v = VectorAssembler(inputCols=NAMES, outputCol="__x").transform(fit)
+    v = VectorAssembler(inputCols=INNER, outputCol="__x").transform(fit)
     gbt = GBTClassifier(featuresCol="__x", labelCol="label", weightCol="__w", predictionCol="__pred", maxIter=trees,
                         maxDepth=depth, seed=11).setRawPredictionCol("__raw").setProbabilityCol("__prob").fit(v)
     model = Model(words, gbt)

@@ -71,3 +71,14 @@ def test_features_see_every_disguise():
     assert seen(b"an idiot! a 5tupid *scum* here.") == (2, 1, True)      # plain hits beside it do not count against it
     for text in ("plain words, no more!", "'quoted' -- *bold* _it_ 1990 $5 ... !!", "", "élan? oui!"):
         assert seen(text.encode()) == (0, 0, False), text
+
+
+def test_columns_of_every_feature_name_are_carried(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, F.lit(True), trees=3)
+    mine = docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in toxicity.NAMES})
+    out = {r["doc_id"]: r for r in model.score(mine, ["doc_id", *toxicity.NAMES]).collect()}
+    plain = {r["doc_id"]: r["score"] for r in model.score(docs, ["doc_id"]).collect()}
+    assert {d: r["score"] for d, r in out.items()} == plain
+    assert all(r[n] == f"{n} of {d}" for d, r in out.items() for n in toxicity.NAMES)
