@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from feedlens.llm import textnum as tn
 from feedlens.llm.common import hash_order, share_below
+from feedlens.session import materialize
 
 UND = "und"
 SCALE = 1 << 20        # integer weights: exact sums
@@ -117,21 +118,50 @@ def distance(share, n, mean, wide: float, narrow: float):
     return (mean - share) / np.sqrt(wide + narrow / n)
 
 
-def sample(docs: DataFrame, learn, per_lang: int, max_langs: int = 256) -> DataFrame:
-    """The bounded learning sample ``(doc_id, lang, text)``, whole texts, of the
-    ``max_langs`` most frequent languages."""
+def sample(docs: DataFrame, learn, per_lang: int, total: int = 20_000) -> DataFrame:
+    """The bounded learning sample ``(doc_id, lang, text)``, whole texts: of every
+    language ``per_lang`` documents chosen by hash, or as many fewer as keep the
+    whole sample within ``total`` (but one at least)."""
     rows = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
                 .select("doc_id", "lang"))
-    sizes = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__size"))
-                 .orderBy(F.desc("__size"), "lang").limit(max_langs))
-    thin = rows.join(F.broadcast(sizes), "lang").where(share_below(F.col("__size"), per_lang)).select("doc_id", "lang").distinct()
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__size")), "language-sizes")
+    each = max(1, min(per_lang, total // max(sizes.count(), 1)))
+    # one row a language, as the model itself has one column a language
+    thin = rows.join(F.broadcast(sizes), "lang").where(share_below(F.col("__size"), each)).select("doc_id", "lang").distinct()
     w = Window.partitionBy("lang").orderBy(hash_order("doc_id"), "doc_id")
-    few = thin.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
+    few = thin.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= each).select("doc_id", "lang")
     return (docs.select("doc_id", "lang", "text").join(F.broadcast(few), ["doc_id", "lang"])
                 .dropDuplicates(["doc_id", "lang"]))
 
 
-def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192, dim: int = 16,
+class Shares:
+    """Rows of subword counts as shares, kept sparse; dense only a few rows at a time."""
+
+    def __init__(self, idx: pa.ListArray, n: pa.ListArray, buckets: int):
+        self.ends, self.idx, self.buckets = np.asarray(idx.offsets), np.asarray(idx.flatten()), buckets
+        self.ends = self.ends - self.ends[0]
+        count = np.asarray(n.flatten())
+        row = np.repeat(np.arange(len(idx)), np.diff(self.ends))
+        self.size = np.bincount(row, weights=count, minlength=len(idx)).astype(np.float32)
+        self.share = (count / np.maximum(self.size, 1)[row]).astype(np.float32)
+
+    def dense(self, at) -> np.ndarray:
+        x = np.zeros((len(at), self.buckets), np.float32)
+        for r, o in enumerate(at):
+            lo, hi = self.ends[o], self.ends[o + 1]
+            x[r, self.idx[lo:hi]] = self.share[lo:hi]
+        return x
+
+    def dot(self, m: np.ndarray) -> np.ndarray:
+        rows = range(len(self.size))
+        parts = [self.dense(rows[lo:lo + 256]) @ m for lo in range(0, len(rows), 256)]
+        return np.concatenate(parts) if parts else np.zeros((0, *m.shape[1:]), np.float32)
+
+    def mean(self, at: np.ndarray) -> np.ndarray:
+        return sum((self.dense(at[lo:lo + 256]).sum(axis=0) for lo in range(0, len(at), 256)), np.zeros(self.buckets, np.float32)) / max(len(at), 1)
+
+
+def train(docs: DataFrame, learn=None, per_lang: int = 400, total: int = 20_000, buckets: int = 8192, dim: int = 16,
           epochs: int = 30, rate: float = 4.0, loss: float = 0.001) -> LangModel | None:
     """Fits the model; ``learn`` selects the learning rows (default: all)."""
     learn = F.lit(True) if learn is None else learn
@@ -153,33 +183,35 @@ def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192,
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = ", ".join(f"idx{k} array<int>, n{k} array<float>" for k in ("", *BEGINNINGS))
-    rows = sample(docs, learn, per_lang).mapInArrow(count, f"doc_id long, lang string, {kinds}").toArrow()
+    rows = sample(docs, learn, per_lang, total).mapInArrow(count, f"doc_id long, lang string, {kinds}").toArrow()
     rows = rows.filter(pc.greater(pc.list_value_length(rows.column("idx")), 0))
     if not rows.num_rows:
         return None
     ids = rows.column("doc_id").to_numpy()
     order = np.lexsort((ids, (ids.astype(np.uint64) * np.uint64(tn.BASE)) >> np.uint64(20)))
-    lang = np.array(rows.column("lang").to_pylist(), object)[order]
+    rows = rows.take(pa.array(order)).combine_chunks()
+    lang = np.array(rows.column("lang").to_pylist(), object)
     langs = sorted(set(lang))
-    y = np.array([langs.index(v) for v in lang])
+    number = {v: k for k, v in enumerate(langs)}
+    y = np.array([number[v] for v in lang])
 
-    def matrix(k, at):
-        """Subword counts as shares, and their number, of the rows ``at`` with any."""
-        idx, n = rows.column(f"idx{k}"), rows.column(f"n{k}")
-        x = np.zeros((len(at), buckets), np.float32)
-        for r, o in enumerate(at):
-            x[r, idx[o].as_py()] = n[o].as_py()
-        size = x.sum(axis=1)
-        return x / np.maximum(size, 1)[:, None], size
+    def shares(k, at=None):
+        """Subword shares of the rows (``at``)."""
+        idx, n = (rows.column(f"{c}{k}").combine_chunks() for c in ("idx", "n"))
+        if at is not None:
+            idx, n = idx.take(pa.array(at)), n.take(pa.array(at))
+        return Shares(idx, n, buckets)
 
-    x, size = matrix("", order)
+    x = shares("")
     held = np.arange(len(y)) % 5 == 4
     if held.sum() < 20 or len(langs) < 2:
         held[:] = False
-    emb, lin, bias = descend(x[~held], y[~held], len(langs), dim, epochs, rate)
-    logits = x @ emb @ lin + bias
-    cx, cy = (logits[held], y[held]) if held.any() else (logits, y)
-    known = np.log(0.99 * x[~held].mean(axis=0) + 0.01 / buckets)
+    fit = np.flatnonzero(~held)
+    emb, lin, bias = descend(x, fit, y, len(langs), dim, epochs, rate)
+    known = np.log(0.99 * x.mean(fit) + 0.01 / buckets)
+    at = np.flatnonzero(held) if held.any() else fit
+    back = shares("", at)
+    cx, cy = back.dot(emb @ lin) + bias, y[at]
     best, threshold, usual = 1.0, 0.0, None
     if len(langs) > 1:
         def nll(t):
@@ -187,18 +219,20 @@ def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192,
             z = z - z.max(axis=1, keepdims=True)
             return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(cy)), cy]))
         best = min((2.0 ** (k / 4) for k in range(-16, 13)), key=nll)
-        at = held if held.any() else ~held
         # what has to stay: held-back texts, their beginnings, and halves of two of them
-        x, size, turn = x[at], size[at], np.roll(np.arange(len(cy)), 1)
-        keep = [(x, size), ((x + x[turn]) / 2, size + size[turn])]
-        mean = np.array([np.mean((x @ known)[cy == k]) if (cy == k).any() else np.mean(x @ known) for k in range(len(langs))])
+        turn = np.roll(np.arange(len(cy)), 1)
+        near, size = back.dot(known), back.size
+        keep = [(cx, near, size), ((cx + cx[turn]) / 2, (near + near[turn]) / 2, size + size[turn])]
+        for k in BEGINNINGS:
+            part = shares(k, at)
+            keep.append((part.dot(emb @ lin) + bias, part.dot(known), part.size))
+        mean = np.array([near[cy == k].mean() if (cy == k).any() else near.mean() for k in range(len(langs))])
         sure, off = [], []
-        for xs, sizes in (*keep, *(matrix(k, order[at]) for k in BEGINNINGS)):
-            z = xs @ emb @ lin + bias
+        for z, share, sizes in keep:
             z = np.exp((z - z.max(axis=1, keepdims=True)) / best)
             some = sizes > 0
             sure.append((z.max(axis=1) / z.sum(axis=1))[some])
-            off.append(np.stack([xs @ known, sizes, mean[z.argmax(axis=1)]])[:, some])
+            off.append(np.stack([share, sizes, mean[z.argmax(axis=1)]])[:, some])
         threshold = float(np.quantile(np.concatenate(sure), loss))
         wide = float(np.mean((off[0][0] - off[0][2]) ** 2)) + 1e-6
         share, n, usually = np.concatenate(off[2:], axis=1)
@@ -209,18 +243,19 @@ def train(docs: DataFrame, learn=None, per_lang: int = 400, buckets: int = 8192,
                      np.rint(known * SCALE).astype(np.int64), usual)
 
 
-def descend(x, y, classes: int, dim: int, epochs: int, rate: float):
-    """Mini-batch SGD on the embedding, the linear layer and its bias."""
+def descend(x: Shares, rows: np.ndarray, y, classes: int, dim: int, epochs: int, rate: float):
+    """Mini-batch SGD on the embedding, the linear layer and its bias, over ``rows``."""
     rng = np.random.default_rng(7)
-    emb = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (x.buckets, dim)).astype(np.float32)
     lin = rng.normal(0, 0.1, (dim, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(y))
+        order = rows[rng.permutation(len(rows))]
         for lo in range(0, len(order), 16):
             at = order[lo:lo + 16]
-            h = x[at] @ emb
+            batch = x.dense(at)
+            h = batch @ emb
             z = h @ lin + bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
             g = z / z.sum(axis=1, keepdims=True)
@@ -229,8 +264,8 @@ def descend(x, y, classes: int, dim: int, epochs: int, rate: float):
             down = g @ lin.T
             lin -= step * 0.1 * (h.T @ g)
             bias -= step * 0.01 * g.sum(axis=0)
-            touched = np.flatnonzero(x[at].any(axis=0))
-            emb[touched] -= step * 10 * (x[at][:, touched].T @ down)
+            touched = np.flatnonzero(batch.any(axis=0))
+            emb[touched] -= step * 10 * (batch[:, touched].T @ down)
     return emb, lin, bias
 
 

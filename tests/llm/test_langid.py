@@ -62,3 +62,16 @@ def test_unlearned_languages_and_noise_are_rejected_and_short_texts_stay(spark):
 
     assert [share(x) for x in (UNLEARNED, noise)] == [1.0, 1.0]
     assert all(share(x) < 0.01 for x in (clean, short, mixed))
+
+
+def test_every_language_is_learned(spark):
+    """300 languages, of 3 words of their own each, in unequal numbers: no cap drops one."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzàéîöüñçßøåłžčšđğıəþðŋ"
+    words = [["".join(rng.choices(letters, k=7)) for _ in range(3)] for _ in range(300)]
+    rows = [(k * 1000 + i, f"l{k:03d}", " ".join(rng.choices(words[k], k=12))) for k in range(300) for i in range(14 + k % 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    m = langid.train(docs, F.col("doc_id") % 1000 > 1, total=3000, epochs=40)
+    assert m.langs == [f"l{k:03d}" for k in range(300)]
+    out = langid.predict(docs.where("doc_id % 1000 <= 1"), m, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.97 * len(out)
