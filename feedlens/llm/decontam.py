@@ -3,11 +3,14 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  The
 training texts are read once, in shards of about a million words that one task
 holds at a time.  A shard gets a suffix array over its words, sorted to the
-length of the longest benchmark item (nothing looks deeper).  Every suffix of
-every item is binary-searched in every shard: the search narrows the range of
-matching suffixes word by word, which gives the longest verbatim match and all
-places of the item's windows (a match is followed for half a shard at most).  A window is ``window`` consecutive item words;
-an item with fewer, but not none, is one window.  A document word inside any
+length of a window.  Every suffix of every item is binary-searched in every
+shard: the search narrows the range of matching suffixes word by word, which
+gives all places of the item's windows.  Hits come from the ranges as they
+are.  Verbatim matches are followed to their whole length, by binary search
+over hashes of stretches, from the places where text and item differ in the
+word before, so repeated words cost no more than others.  A window is
+``window`` consecutive item words; an item with fewer, but not none, is one
+window.  A document word inside any
 occurrence of a window is hit; a document with a hit is contaminated.
 
 The benchmark reaches the tasks in blocks of about ``block_bytes`` of text,
@@ -35,6 +38,7 @@ from feedlens.llm import textnum as tn
 from feedlens.session import materialize
 
 SHARD = 1 << 20        # words of a shard; word ids fit 21 bits
+NO_WORD = np.array([0x5D1A_0000_0000_0001, 0x5D1A_0000_0000_0002], np.uint64)    # before a text's, an item's first word
 
 
 @dataclass
@@ -44,14 +48,13 @@ class Items:
     words: np.ndarray      # uint64
     item: np.ndarray       # of each word
     end: np.ndarray        # of each word: one past its item's last word
-    longest: int
 
 
 def tokenise(ids: list[str], texts: list[bytes]) -> Items:
     data, s, e, first = tn.doc_words(texts, tn.ALNUM, tn.LOWER)
     n = np.diff(first)
     return Items(ids, tn.hash_spans(data, s, e), np.repeat(np.arange(len(ids)), n),
-                 np.repeat(first[1:], n), int(n.max(initial=0)))
+                 np.repeat(first[1:], n))
 
 
 def suffix_array(sym: np.ndarray, depth: int) -> np.ndarray:
@@ -127,18 +130,48 @@ def search(sym: np.ndarray, sa: np.ndarray, test: np.ndarray, end: np.ndarray, w
     return length, place, wlo, whi
 
 
-def match_lengths(sym, test, end, suffix, pos):
-    """Length of the common prefix of each (test suffix, shard position) pair."""
-    got = np.zeros(len(suffix), np.int64)
-    act = np.arange(len(suffix))
-    while len(act):
-        t, p = suffix[act] + got[act], pos[act] + got[act]
-        ok = (t < end[suffix[act]]) & (p < len(sym))
-        act, t, p = act[ok], t[ok], p[ok]
-        ok = (test[t] == sym[p]) & (test[t] > 0)
-        act = act[ok]
-        got[act] += 1
-    return got
+def prefixes(h: np.ndarray) -> np.ndarray:
+    """Sums that give the hash of any stretch of words (``same``)."""
+    acc = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * tn.tables(len(h) + 1)[0][:len(h)], out=acc[1:])
+    return acc
+
+
+def match_lengths(docs: np.ndarray, items: np.ndarray, at, suffix, limit) -> np.ndarray:
+    """Length of the common prefix of each (document word, item word) pair, at most
+    ``limit``: a binary search over hashes of stretches."""
+    inv = tn.tables(max(len(docs), len(items)))[1]
+    lo, hi = np.zeros(len(at), np.int64), limit.copy()
+    while (lo < hi).any():
+        mid = (lo + hi + 1) >> 1
+        same = (docs[at + mid] - docs[at]) * inv[at] == (items[suffix + mid] - items[suffix]) * inv[suffix]
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    return lo
+
+
+def repeat_ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All integers of the ranges ``lo .. lo + size``, end to end."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+
+
+def left_ends(wlo, whi, prev, before, back, sa):
+    """``(suffix, document word)`` pairs whose windows match and whose previous words
+    differ: where the longest matches begin.
+
+    Suffixes with one range and one previous word are looked at together, so a
+    word repeated in item and text costs its places once, not once a suffix."""
+    t = np.flatnonzero(whi > wlo)
+    kinds, of = np.unique(np.stack([wlo[t], whi[t], prev[t].view(np.int64)], 1), axis=0, return_inverse=True)
+    of = of.ravel()
+    size = kinds[:, 1] - kinds[:, 0] if len(kinds) else np.zeros(0, np.int64)
+    kind = np.repeat(np.arange(len(kinds)), size)
+    at = back[sa[repeat_ranges(kinds[:, 0], size)]] if len(kinds) else np.zeros(0, np.int64)
+    fresh = before[at] != kinds[kind, 2].view(np.uint64) if len(kinds) else np.zeros(0, bool)
+    kind, at = kind[fresh], at[fresh]
+    t = t[np.argsort(of, kind="stable")]
+    n = np.bincount(of, minlength=len(kinds))
+    first = np.cumsum(n) - n
+    return t[repeat_ranges(first[kind], n[kind])], np.repeat(at, n[kind])
 
 
 def find(texts: list[bytes], items: Items, window: int):
@@ -155,13 +188,16 @@ def find(texts: list[bytes], items: Items, window: int):
         spot = np.arange(len(words)) + doc
         total = len(words) + len(texts)
         start = np.flatnonzero(np.concatenate([[True], items.item[1:] != items.item[:-1]]))
-        n_item = (items.end - start[np.cumsum(np.isin(np.arange(len(items.words)), start)) - 1])
-        wide = np.minimum(window, n_item)
+        mine = start[np.cumsum(np.isin(np.arange(len(items.words)), start)) - 1]     # each word's item's first word
+        wide = np.minimum(window, items.end - mine)
         fits = np.arange(len(items.words)) + wide <= items.end
-        # Shards overlap by the longest item, so that no match is cut; matches are
-        # followed for half a shard at most (windows are far shorter).
-        deep = min(items.longest, SHARD // 2)
-        step = SHARD - deep - 2
+        # The words before; the first ones have marks that equal nothing.
+        before = np.concatenate([[np.uint64(0)], words[:-1]])
+        before[first[:-1][n_words > 0]] = NO_WORD[0]
+        prev = np.concatenate([[np.uint64(0)], items.words[:-1]])
+        prev[start] = NO_WORD[1]
+        sums = None
+        step = SHARD - window - 2          # shards overlap by a window; matches are followed in the texts
         for a in range(0, total, step):
             lo, hi = np.searchsorted(spot, [a, a + SHARD - 2])
             if lo == hi:
@@ -173,23 +209,28 @@ def find(texts: list[bytes], items: Items, window: int):
             back[spot[lo:hi] - spot[lo]] = np.arange(lo, hi)
             k = np.minimum(np.searchsorted(vocab, items.words), len(vocab) - 1)
             test = np.where(vocab[k] == items.words, k + 1, 0)
-            sa = suffix_array(sym, deep)
-            _, _, wlo, whi = search(sym, sa, test, items.end, np.where(fits, wide, -1))
-            size = whi - wlo
-            suffix = np.repeat(np.arange(len(test)), size)
-            pos = sa[np.arange(len(suffix)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(wlo, size)]
-            at = back[pos]
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + wide[suffix], -1)
-            hit |= np.cumsum(edge[:-1]) > 0
-            length = match_lengths(sym, test, items.end, suffix, pos)
-            d, it = doc[at], items.item[suffix]
-            first_word = start[np.searchsorted(start, suffix, side="right") - 1]
-            o = np.lexsort((at, -length, it, d))
-            keep = o[np.concatenate([[True], (d[o][1:] != d[o][:-1]) | (it[o][1:] != it[o][:-1])])] if len(o) else o
-            found += zip(d[keep].tolist(), (at[keep] - first[d[keep]]).tolist(), it[keep].tolist(),
-                         (suffix[keep] - first_word[keep]).tolist(), length[keep].tolist(), strict=True)
+            sa = suffix_array(sym, window)
+            reach = np.minimum(items.end, np.arange(len(test)) + wide)
+            _, _, wlo, whi = search(sym, sa, test, reach, np.where(fits, wide, -1))
+            for size in np.unique(wide[whi > wlo]):
+                some = np.flatnonzero((whi > wlo) & (wide == size))
+                cover = np.zeros(len(sa) + 1, np.int32)
+                np.add.at(cover, wlo[some], 1)
+                np.add.at(cover, whi[some], -1)
+                at = back[sa[np.flatnonzero(np.cumsum(cover[:-1]) > 0)]]
+                edge = np.zeros(len(words) + 1, np.int32)
+                edge[at] += 1
+                np.add.at(edge, at + size, -1)
+                hit |= np.cumsum(edge[:-1]) > 0
+            suffix, at = left_ends(wlo, whi, prev, before, back, sa)
+            if len(at):
+                sums = sums or (prefixes(words), prefixes(items.words))
+                d, it = doc[at], items.item[suffix]
+                length = match_lengths(*sums, at, suffix, np.minimum(items.end[suffix] - suffix, first[d + 1] - at))
+                o = np.lexsort((at, -length, it, d))
+                keep = o[np.concatenate([[True], (d[o][1:] != d[o][:-1]) | (it[o][1:] != it[o][:-1])])]
+                found += zip(d[keep].tolist(), (at[keep] - first[d[keep]]).tolist(), it[keep].tolist(),
+                             (suffix - mine[suffix])[keep].tolist(), length[keep].tolist(), strict=True)
             if a + SHARD >= total:
                 break
     return n_words, hit, first, found

@@ -93,3 +93,37 @@ def test_empty_sides(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(odd, b) == brute(rows, [(1, "no id here")])
     assert decontam.decontaminate(odd, b).columns == odd.columns
+
+
+def test_a_repeated_word_costs_no_more_than_others():
+    """1 MB of one word against items of that word."""
+    import time
+    it = decontam.tokenise(["a", "b"], [b"0 " * 5000, b"x " + b"0 " * 60 + b"y"])
+    t = time.time()
+    n, hit, _, found = decontam.find([b"0 " * 500_000, b"z " + b"0 " * 70 + b"y"], it, 10)
+    assert time.time() - t < 20
+    assert hit.sum() == 500_000 + 71
+    assert {(d, i, k) for d, _, i, _, k in found} == {(0, 0, 5000), (0, 1, 60), (1, 0, 70), (1, 1, 61)}
+
+
+def test_longest_matches(monkeypatch):
+    """Against every pair of places, also where a match is longer than a shard."""
+    rng = np.random.default_rng(4)
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(decontam, "SHARD", size)
+        for _ in range(30):
+            items = [rng.integers(0, 3, rng.integers(3, 90)) for _ in range(3)]
+            docs = [np.concatenate([rng.integers(0, 3, 20), items[rng.integers(3)], rng.integers(0, 3, 9)]) for _ in range(3)] + [rng.integers(0, 1, 60)]
+            said = lambda x: " ".join(map(str, x)).encode()
+            found = decontam.find([said(d) for d in docs], decontam.tokenise(["0", "1", "2"], [said(i) for i in items]), 5)[3]
+            got = {}
+            for d, at, i, item_at, n in found:
+                got[d, i] = max(got.get((d, i), 0), n)
+                assert np.array_equal(docs[d][at:at + n], items[i][item_at:item_at + n])
+            for d, doc in enumerate(docs):
+                for i, item in enumerate(items):
+                    best, row = 0, np.zeros(len(item) + 1, int)
+                    for w in doc:
+                        row = np.concatenate([[0], np.where(item == w, row[:-1] + 1, 0)])
+                        best = max(best, row.max())
+                    assert got.get((d, i), 0) == (best if best >= min(5, len(item)) else 0)
