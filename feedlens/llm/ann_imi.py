@@ -112,7 +112,7 @@ def probes(q: np.ndarray, model: dict, top: int, target: float) -> list[tuple[in
     n = model["count"]
     want = min(top, n.sum())
     lo, hi = float((mean - 9 * spread).min()), float((mean + 9 * spread).max())
-    for _ in range(30):                       # the score that `want` vectors are expected to reach
+    for _ in range(14):                       # the score that `want` vectors are expected to reach
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (n * tail((mid - mean) / spread)).sum() > want else (lo, mid)
     found = n * tail((lo - mean) / spread)
@@ -120,10 +120,12 @@ def probes(q: np.ndarray, model: dict, top: int, target: float) -> list[tuple[in
 
 
 def search(rows: DataFrame, queries, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           target: float = 0.98, cell_rows: int = 256, sample: int = 20_000, block: int = BLOCK) -> DataFrame:
+           target: float = 0.965, cell_rows: int = 2, sample: int = 20_000, block: int = BLOCK,
+           stats: dict | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found of every row that ``queries`` selects.
 
-    ``queries``: a boolean column over ``vec_id``."""
+    ``queries``: a boolean column over ``vec_id``.  ``stats`` is given the ``share`` of
+    all pairs of a query and a vector that the rerank multiplies."""
     spark = rows.sparkSession
     base = materialize(usable(rows, id_col, vec_col), "vectors")
     total = base.count()
@@ -175,8 +177,13 @@ def search(rows: DataFrame, queries, top: int = 20, id_col: str = "vec_id", vec_
                      pa.array([o[2] for o in out], pa.list_(pa.int32())), pa.array([o[3] for o in out], pa.list_(pa.float64()))],
                     ["query_id", "c1", "c2s", "q"])
 
+    # a number of partitions of its own, so that the walks are not gathered in one task
     asked = base.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(total / 100_000)), "vec_id")
     probe = materialize(asked.mapInArrow(route, "query_id long, c1 int, c2s array<int>, q array<double>"), "probes")
+    if stats is not None:
+        seen = probe.select("c1", F.explode("c2s").alias("c2")).groupBy("c1", "c2").count().toPandas()     # k*k rows at most
+        stats["share"] = float((count[seen["c1"], seen["c2"]] * seen["count"]).sum() / max(1, total * probe.select("query_id").distinct().count()))
     visits = probe.groupBy("c1").count().toPandas()           # k rows
     here = np.zeros(k1)
     here[visits["c1"]] = visits["count"]
@@ -193,14 +200,23 @@ def search(rows: DataFrame, queries, top: int = 20, id_col: str = "vec_id", vec_
         qids = qt.column("query_id").to_numpy()
         out: list[tuple] = []
         if len(ids) and len(qids):
-            v, q = matrix(vt.column("v")), matrix(qt.column("q"))
+            order = np.argsort(c2, kind="stable")             # a second centroid's vectors are a slice
+            ids, c2 = ids[order], c2[order]
+            v, q = matrix(vt.column("v"))[order], matrix(qt.column("q"))
             lists = qt.column("c2s").to_pylist()
+            held, first = np.unique(c2, return_index=True)
+            last = np.append(first[1:], len(c2))
             for lo in range(0, len(q), 256):
-                s = q[lo:lo + 256] @ v.T
-                visit = np.zeros((len(s), k), bool)
+                asking = q[lo:lo + 256]
+                visit = np.zeros((len(asking), k), bool)
                 for r, js in enumerate(lists[lo:lo + 256]):
                     visit[r, js] = True
-                s[~visit[:, c2] | (ids[None, :] == qids[lo:lo + 256, None])] = -np.inf
+                s = np.full((len(asking), len(v)), -np.inf)
+                for j, a, b in zip(held, first, last, strict=True):      # only visited cells are multiplied
+                    r = np.flatnonzero(visit[:, j])
+                    if len(r):
+                        s[r, a:b] = asking[r] @ v[a:b].T
+                s[ids[None, :] == qids[lo:lo + 256, None]] = -np.inf
                 some = min(top + 4, s.shape[1])               # rounding may swap near ties
                 near = np.argpartition(-s, some - 1, axis=1)[:, :some]
                 for r in range(len(s)):

@@ -87,3 +87,17 @@ def test_odd_vectors(spark):
     assert empty.count() == 0 and empty.columns == ["query_id", "rank", "vec_id", "score"]
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert found(ann_imi.search(one, F.col("vec_id") % 20 == 0)) == {0: [(1, 2.0)]}
+
+
+def test_share_of_the_pairs_that_are_multiplied(spark):
+    """The walk, not the size of the table, says what is multiplied."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    stats = {}
+    ann_imi.search(rows, F.col("vec_id") % 20 == 0, stats=stats)
+    assert stats["share"] < 0.75                          # vectors without structure
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(60, 16)) * 5, 100, axis=0) + rng.normal(size=(6000, 16)) * 0.05
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = found(ann_imi.search(df, F.col("vec_id") % 40 == 0, stats=stats))
+    assert recall(got, brute(ids, x, 20, 40)) >= 0.9 and stats["share"] < 0.15
