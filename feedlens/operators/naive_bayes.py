@@ -12,15 +12,17 @@ tokenizer can never produce; it is added once per document after the sums.
 
 Scoring joins tokens to weights in two parts with one meaning.  Tokens that
 hold at least 1/``MAX_FREQUENT`` of all train tokens — at most MAX_FREQUENT of
-them, whatever the corpus — are looked up by broadcast; what is left is rare,
-so no shuffled key is hot.
+them, whatever the corpus — are looked up by broadcast.  What is left is rare in
+train; the MAX_HEAVY tokens of it that most scored texts hold, found by a
+sketch over the scored side, are looked up by broadcast too, so no shuffled key
+is hot on either side.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.functions import fixed
@@ -33,6 +35,7 @@ WEIGHT_TYPE = "decimal(18,12)"
 SUM_TYPE = "decimal(34,12)"   # leaves room to add without losing a digit
 N_CLASSES = len(fixed.CLASS_NAMES)
 MAX_FREQUENT = 20_000     # frequent tokens there can be
+MAX_HEAVY = 1000          # tokens of the scored texts that are split off
 
 
 def weight_names(candidate: int | None = None) -> list[str]:
@@ -108,13 +111,26 @@ def nb_fit_grid(train: DataFrame, alphas: list[float], text: str = "text", label
     return materialize(weight_table(counts, alphas), "nb-grid")
 
 
+def heavy_tokens(part: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The written rows of ``part`` and the tokens ``_k`` that stand in most of them.
+
+    A token that is rare in train may stand in every text that is scored (another
+    language, a new boilerplate word).  A mergeable frequency sketch counts the
+    rows of each token while they are written; what it finds only says which
+    rows meet their weights by broadcast, so results do not depend on it."""
+    seen = Observation("tokens")
+    top = F.expr(f"approx_top_k(case when substr(_k, 1, 1) <> '\\u0000' then _k end, {MAX_HEAVY}, {50 * MAX_HEAVY})")
+    rows = materialize(part.observe(seen, top.alias("top")), "token-rows")
+    return rows, [t["item"] for t in seen.get["top"] or [] if t["item"] is not None]
+
+
 def weight_sums(weights: DataFrame, docs: DataFrame, key: tuple[str, ...], text: str,
                 cols: list[str], unique: bool = False) -> DataFrame:
     """``(*key, _id, _ok, _copies, *cols)``: exact sums of weights per document.
 
     One scan of ``docs``; only keys, tokens and sums are shuffled, never texts.
     A document's frequent tokens are summed beside the scan and leave it as
-    one row; a rare token leaves it as ``(key, token, tf)``.  Documents that
+    one row; a rare token leaves it as ``(key, token, tf)``; these rows are written.  Documents that
     share a key but not a text are told apart by ``_id``, a hash of the text
     (``unique``: the caller knows that keys are); ``_copies`` counts rows that
     share both, and the sums are those of one of them.  ``_ok`` is false for
@@ -136,7 +152,11 @@ def weight_sums(weights: DataFrame, docs: DataFrame, key: tuple[str, ...], text:
     part = j.groupBy(*doc, "_k").agg(
         F.sum(F.when(F.col("token").isNull(), 1).otherwise(0)).alias("_c"), F.count(F.lit(1)).alias("_tf"),
         *[F.sum(c).alias(c) for c in cols])
-    met = part.join(rare, part["_k"] == rare["_t"], "left")
+    part, heavy = heavy_tokens(part)
+    split = F.col("_k").isin(heavy) if heavy else F.lit(False)
+    met = part.where(~split).join(rare, F.col("_k") == F.col("_t"), "left")
+    if heavy:                # at most MAX_HEAVY rows of weights
+        met = met.unionByName(part.where(split).join(F.broadcast(rare.where(F.col("_t").isin(heavy))), F.col("_k") == F.col("_t"), "left"))
     zero = F.lit(0).cast(SUM_TYPE)
     wide = lambda c: F.coalesce(c.cast(SUM_TYPE), zero)
     total = met.groupBy(*doc).agg(F.sum("_c").alias("_copies"), *[

@@ -96,12 +96,14 @@ def score_records(scored: DataFrame, text: str = "text") -> DataFrame:
     return scored.select("*", P.score_record(F.col(text), F.col("p")).alias("record"))
 
 
-def result_table(scored: DataFrame, text: str = "text", precut: bool = False) -> DataFrame:
+def result_table(scored: DataFrame, text: str = "text", precut: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """M8: display form — six string columns, text cut to 100 characters
-    (``precut=True`` when ``text`` already holds the display form)."""
+    (``precut=True`` when ``text`` already holds the display form), after the
+    columns ``keep``."""
     p = F.col("p")
     shown = F.col(text) if precut else display_text(F.col(text))
     return scored.select(
+        *keep,
         shown.alias("Text"),
         F.col("predicted_class").alias("Sentiment"),
         format_pct(F.col("confidence")).alias("Confidence"),

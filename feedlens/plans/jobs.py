@@ -230,7 +230,7 @@ def run_batch(texts: DataFrame, weights: DataFrame, key: str = "ord",
     scored = materialize(drop_failed(scored), "batch-scores")
     table = result_table(scored, precut=True)
     if output:
-        write_results_csv(table, f"{output}/csv")
+        write_results_csv(result_table(scored, precut=True, keep=(key,)), f"{output}/csv", order=key)
         write_results_typed(scored, f"{output}/typed", (key,))
     return BatchResult(scored, table, sentiment_summary(scored, "predicted_class"),
                        class_share(scored, "predicted_class"), seen.get["ok"], seen.get["failed"])

@@ -433,7 +433,7 @@ select doc_id, text, {name_of('pred')} as predicted_class, round(confidence, 4)
 select doc_id, {pct('confidence')} as confidence_pct, {pct('p0')} as "Negative",
        {pct('p1')} as "Neutral", {pct('p2')} as "Positive" from bs""")
     o["result_table"] = w(BATCH_CTES, result_select("bs"))
-    o["sink_results_csv"] = o["result_table"]
+    o["sink_results_csv"] = w(BATCH_CTES, result_select("bs").replace(" from bs", ", row_number() over (order by doc_id) - 1 as ord from bs"))
     o["prob_distribution"] = w(BATCH_CTES, f"""
 select doc_id, cls, {name_of('cls')} as sentiment, round(pr * 100, 2) as pct,
        printf('%.1f%%', pr * 100) as bar_label

@@ -141,10 +141,11 @@ def q_src_text_lines(spark, sf):
 
 @query("sink_results_csv")
 def q_sink_results_csv(spark, sf):
-    """The result table written as CSV and read back."""
+    """The result table written as CSV in the order of the keys and read back,
+    ``ord`` being the place in the file."""
     path = scratch_path(spark, "results-csv")
-    SK.write_results_csv(S.result_table(S.drop_failed(scored_texts(spark, sf))), path)
-    return SK.read_results_csv(spark, path)
+    SK.write_results_csv(S.result_table(S.drop_failed(scored_texts(spark, sf)), keep=("doc_id",)), path, order="doc_id")
+    return FS.parse_csv(spark, path, ("Text",))
 
 
 @query("sink_metrics_json")

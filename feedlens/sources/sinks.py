@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_results_csv(df: DataFrame, path: str) -> None:
-    """Header, RFC-4180 quotes, values written as they are (no trimming)."""
+def write_results_csv(df: DataFrame, path: str, order: str | None = None) -> None:
+    """Header, RFC-4180 quotes, values written as they are (no trimming).
+
+    ``order``: a column, not written, whose order the rows take over all parts:
+    they are range-partitioned by it and sorted in each part, so the parts by
+    name hold the rows in the order of the input, however many there are."""
+    if order:
+        df = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).drop(order)
     (df.write.mode("overwrite").option("header", True).option("escape", '"')
        .option("quoteAll", True)
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -125,17 +125,22 @@ def test_rows_that_share_a_key_are_not_merged(spark):
 
 
 def test_one_scan_and_no_text_in_exchanges(spark, sf_small):
-    """With automatic broadcasts off: the input is read once and its texts stay out of every shuffle."""
+    """With automatic broadcasts off: the input is read once (by the step that writes the
+    token rows, or by the rest) and its texts stay out of every shuffle."""
+    from feedlens.operators import naive_bayes as NB
     from feedlens.plans import fixtures as X
     w = _model(spark, sf_small).weights
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found, steps = NB.heavy_tokens, []
+    NB.heavy_tokens = lambda part: (steps.append(part._jdf.queryExecution().executedPlan().toString()), found(part))[1]
     try:
         df = score_keys(w, X.batch_texts(spark, sf_small))
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = steps[0] + df._jdf.queryExecution().executedPlan().toString()
         df.collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        NB.heavy_tokens = found
     lines = plan.splitlines()
     assert sum("conversations.parquet" in x for x in lines) == 1
     for i, x in enumerate(lines):
@@ -158,3 +163,55 @@ def test_vocabulary_is_not_capped(spark):
     m = nb_fit(train)
     assert m.weights.count() == 40_001
     assert m.weights.filter("frequent").count() <= 20_000
+
+
+def test_tokens_of_every_scored_text_leave_the_shuffle(spark):
+    """One token of every scored text is not in train, one is rare there: both are split
+    off, the join by token keeps none of them, and the scores are the same."""
+    from feedlens.operators import naive_bayes as NB
+    train = spark.createDataFrame([(f"word{i} good", i % 3) for i in range(60)] + [("banner text", 1)], "text string, label int")
+    w = nb_fit(train).weights.withColumn("frequent", F.col("token") == "good")
+    docs = spark.createDataFrame([(i, f"unseen banner word{i % 60} other{i}") for i in range(3000)], "doc_id long, text string").repartition(9)
+    seen = []
+    found = NB.heavy_tokens
+
+    def spy(part):
+        rows, heavy = found(part)
+        seen.append((rows, heavy))
+        return rows, heavy
+
+    NB.heavy_tokens = spy
+    try:
+        got = {r["doc_id"]: r["z"] for r in score_keys(w, docs).collect()}
+    finally:
+        NB.heavy_tokens = found
+    rows, heavy = seen[0]
+    assert {"unseen", "banner"} <= set(heavy) and len(heavy) <= NB.MAX_HEAVY and not any(t.startswith("\0") for t in heavy)
+    assert rows.where(~F.col("_k").isin(heavy)).groupBy("_k").count().agg(F.max("count")).first()[0] <= 50
+    small = NB.MAX_HEAVY
+    NB.MAX_HEAVY = 1
+    try:
+        assert {r["doc_id"]: r["z"] for r in score_keys(w, docs).collect()} == got
+    finally:
+        NB.MAX_HEAVY = small
+
+
+def test_result_parts_keep_the_input_order(spark, tmp_path):
+    import csv
+    import glob
+
+    from feedlens.sources.sinks import write_results_csv
+    df = spark.range(5000).select(F.col("id").alias("ord"), F.concat(F.lit('line "q"\n'), F.col("id")).alias("Text")).repartition(7)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        write_results_csv(df, str(tmp_path / "out"), order="ord")
+    finally:
+        spark.conf.set(key, "true")
+    rows, parts = [], sorted(glob.glob(str(tmp_path / "out" / "part-*")))
+    for p in parts:
+        with open(p, newline="") as f:
+            part = list(csv.reader(f, escapechar=None))
+        assert part[0] == ["Text"]
+        rows += part[1:]
+    assert len(parts) > 1 and [r[0] for r in rows] == [f'line "q"\n{i}' for i in range(5000)]
