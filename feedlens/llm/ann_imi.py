@@ -4,8 +4,9 @@ Index.  Each vector is cut into two halves, and each half is quantised to one
 of ``k`` centroids, so a vector lies in one of k*k cells (first centroid,
 second centroid).  Centroids are fitted by k-means on a bounded sample
 (``sample`` vectors, those with the smallest hash of their id); every vector
-is indexed.  ``k`` follows the number of vectors so that a cell holds about
-``cell_rows`` of them.
+is indexed.  ``k`` follows the number of vectors: cells of two of them up to
+``fine`` centroids, beyond that as many as leave ``cell_rows`` in a cell, for a
+walk of more cells than that costs more than the products it saves.
 
 Search.  A query sorts the centroids of either half by inner product and walks
 the pairs by their sum, largest first, with a heap (the multi-sequence walk).
@@ -120,7 +121,7 @@ def probes(q: np.ndarray, model: dict, top: int, target: float) -> list[tuple[in
 
 
 def search(rows: DataFrame, queries, top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-           target: float = 0.965, cell_rows: int = 2, sample: int = 20_000, block: int = BLOCK,
+           target: float = 0.965, cell_rows: int = 256, fine: int = 32, sample: int = 20_000, block: int = BLOCK,
            stats: dict | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found of every row that ``queries`` selects.
 
@@ -134,7 +135,8 @@ def search(rows: DataFrame, queries, top: int = 20, id_col: str = "vec_id", vec_
         return spark.createDataFrame([], schema)
     few = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     x = matrix(few.column("v"))
-    k = int(min(max(1, math.ceil(math.sqrt(total / cell_rows))), 512, max(1, len(x) // 8)))
+    k = math.ceil(max(min(fine, math.sqrt(total / 2)), math.sqrt(total / cell_rows)))
+    k = int(min(max(1, k), 512, max(1, len(x) // 8)))
     half = x.shape[1] // 2
     model = {"half": half, "c1": kmeans(x[:, :half], k if half else 1), "c2": kmeans(x[:, half:], k)}
     k1 = len(model["c1"])
