@@ -4,19 +4,24 @@ DataFrame and SQL functions and Spark ML only.  A rule is ``host/path``: it
 fits its host and all subdomains if the url's path starts with the rule's
 path; the longest rule that fits decides.  Urls that no rule fits are judged
 by gradient-boosted trees over lexical features: lengths, depth, digit ratio,
-character entropy, parameter counts, and suffix statistics (how often labelled
-urls with the same last one or two host labels are blocked, smoothed).
+character entropy, parameter counts, and suffix statistics: how often labelled
+urls of the same registered domain (last two host labels) are blocked, and the
+mean of that over the domains of the same last label, both smoothed.
 
 Learning uses labelled urls ``(url, block)``: at most ``sample`` distinct ones,
 half of it for each class, those with the smallest hash, weighted back to the
 classes' true shares.  ``rule_labels`` makes such labels from the rules.
-Statistics are kept of all suffixes: the ``suffixes`` most frequent are
-broadcast, rows with another suffix meet the rest by a shuffle join.
+The trees learn from suffix statistics without the url's own domain (by folds
+of registered domains), so a suffix weighs only as much as it says of domains
+not seen before; a label that a rule hangs on one domain teaches nothing of its
+suffix.  Statistics are kept of all suffixes: the ``suffixes`` most frequent
+are broadcast, rows with another suffix meet the rest by a shuffle join.
 
 Defined cases.  A null url, or one without ``://``, has an empty host and path
 and fits no rule.  An empty path starts with no rule's ``/``.  Without labelled
 urls of both classes the only class seen decides, ``allow`` without any.  Rows
-are judged one by one; other columns are carried.
+are judged one by one; other columns are carried as they are (but ``host, path,
+rule, verdict, block_score``, which are the answer's).
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES = ["n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "entropy", "params", "n_query",
          "fragment", "suffix1", "suffix2"]
 SALTS = 16            # a suffix past the frequent ones is dealt over so many keys
+FOLDS = 5             # parts of the registered domains
 PRIOR = 10.0          # labelled urls that the overall share stands for in a suffix's statistic
 
 
@@ -100,30 +106,53 @@ class Model:
     def __init__(self, trees=None, stats=None, share: float = 0.0, rest=None):
         self.trees, self.stats, self.share, self.rest = trees, stats, share, rest
 
-    def features(self, urls: DataFrame) -> DataFrame:
+    def features(self, urls: DataFrame, row: str = "url") -> DataFrame:
+        """Features of urls to judge; ``row``: the column whose hash deals out rows of one suffix."""
         d = lexical(urls)
         for k in (1, 2):
             s = F.broadcast(self.stats.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("p").alias(f"suffix{k}")))
             d = d.join(s, f"__s{k}", "left")
             if self.rest is not None:
                 # rows that have their statistic go to numbers of their own; a suffix without any is dealt over SALTS
-                salt = F.pmod(F.xxhash64("url", F.rand(5)), F.lit(SALTS))
-                d = d.withColumn("__salt", F.when(F.col(f"suffix{k}").isNull(), salt).otherwise(-1 - F.pmod(F.xxhash64("url", F.rand(6)), F.lit(1 << 20))))
+                dealt = F.xxhash64(row)
+                d = d.withColumn("__salt", F.when(F.col(f"suffix{k}").isNull(), F.pmod(dealt, F.lit(SALTS))).otherwise(-1 - F.pmod(dealt, F.lit(1 << 20))))
                 r = (self.rest.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("p").alias("__rest"))
                          .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
                 d = d.join(r.hint("merge"), [f"__s{k}", "__salt"], "left")
                 d = d.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", "__rest")).drop("__rest", "__salt")
             d = d.withColumn(f"suffix{k}", F.coalesce(f"suffix{k}", F.lit(self.share)))
-        return VectorAssembler(inputCols=NAMES, outputCol="__x").transform(
-            d.withColumns({n: F.col(n).cast("double") for n in NAMES}))
+        return assembled(d)
 
     def judge(self, urls: DataFrame) -> DataFrame:
         """``urls`` with ``block_score`` (0 to 1), the trees' probability of block."""
-        cols = [F.col(f"`{c}`") for c in urls.columns]
         if self.trees is None:
             return urls.withColumn("block_score", F.lit(float(self.share)))
         from pyspark.ml.functions import vector_to_array
-        return self.trees.transform(self.features(urls)).select(*cols, vector_to_array("__prob")[1].alias("block_score"))
+        rows = urls.select(F.col("url"), F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("__row"))    # their names meet none of ours
+        return self.trees.transform(self.features(rows, "__row")).select("__row.*", vector_to_array("__prob")[1].alias("block_score"))
+
+
+def assembled(d: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=NAMES, outputCol="__x").transform(d.withColumns({n: F.col(n).cast("double") for n in NAMES}))
+
+
+def fold_of(domain):
+    """The fold of a registered domain: all its urls are in one."""
+    return F.pmod(F.xxhash64(domain, F.lit("fold")), F.lit(FOLDS))
+
+
+def unseen_features(urls: DataFrame, folds: DataFrame, share: float) -> DataFrame:
+    """Features to learn from: the suffix statistics of a url leave out all domains of
+    its own domain's fold, so they say what a new domain of that suffix would have."""
+    d = lexical(urls).withColumn("__f", fold_of(F.col("__s2")))
+    total = folds.groupBy("k", "s").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    for k in (1, 2):
+        t = total.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("n").alias("__n"), F.col("b").alias("__b"))
+        own = folds.where(F.col("k") == k).select(F.col("s").alias(f"__s{k}"), F.col("fold").alias("__f"), F.col("n").alias("__nf"), F.col("b").alias("__bf"))
+        left = lambda a, b: F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0))
+        d = d.join(t, f"__s{k}", "left").join(own, [f"__s{k}", "__f"], "left").withColumn(
+            f"suffix{k}", (left("__b", "__bf") + PRIOR * share) / (left("__n", "__nf") + PRIOR)).drop("__n", "__b", "__nf", "__bf")
+    return assembled(d)
 
 
 def train(labelled: DataFrame, sample: int = 20_000, suffixes: int = 5000, trees: int = 12, depth: int = 4) -> Model:
@@ -134,10 +163,13 @@ def train(labelled: DataFrame, sample: int = 20_000, suffixes: int = 5000, trees
     if share in (0.0, 1.0):
         return Model(share=share)
     h = rows.select(host(F.col("url")).alias("h"), "block")
-    both = h.select("block", F.explode(F.array(
-        F.struct(F.lit(1).alias("k"), F.substring_index("h", ".", -1).alias("s")),
-        F.struct(F.lit(2).alias("k"), F.substring_index("h", ".", -2).alias("s")))).alias("e"))
-    every = materialize(both.groupBy("e.k", "e.s").agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b"))
+    domains = (h.groupBy(F.substring_index("h", ".", -1).alias("s1"), F.substring_index("h", ".", -2).alias("s2"))
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("block").cast("double").alias("b")).withColumn("fold", fold_of(F.col("s2"))))
+    # a domain's statistic counts its urls; a last label's counts domains, each once
+    one = domains.groupBy(F.lit(1).alias("k"), F.col("s1").alias("s"), "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") / F.col("n")).alias("b"))
+    two = domains.groupBy(F.lit(2).alias("k"), F.col("s2").alias("s"), "fold").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    folds = materialize(one.unionByName(two), "suffix-folds")
+    every = materialize(folds.groupBy("k", "s").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
                         .select("k", "s", "n", ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("p")), "suffix-stats")
     stats = materialize(every.orderBy(F.desc("n"), "k", "s").limit(suffixes).select("k", "s", "p"), "suffixes")
     rest = every.join(F.broadcast(stats.select("k", "s")), ["k", "s"], "left_anti") if every.count() > suffixes else None
@@ -154,7 +186,7 @@ def train(labelled: DataFrame, sample: int = 20_000, suffixes: int = 5000, trees
     if len(got) < 2:
         return Model(share=share)
     w = F.when(F.col("block") == 1, F.lit(sizes[1] / got[1])).otherwise(F.lit(sizes[0] / got[0]))
-    x = model.features(few).withColumn("label", F.col("block").cast("double")).withColumn("__w", w)
+    x = unseen_features(few, folds, share).withColumn("label", F.col("block").cast("double")).withColumn("__w", w)
     model.trees = GBTClassifier(featuresCol="__x", labelCol="label", weightCol="__w", predictionCol="__pred", maxIter=trees, maxDepth=depth,
                                 seed=11).setRawPredictionCol("__raw").setProbabilityCol("__prob").fit(x)
     return model

@@ -79,3 +79,38 @@ def test_rare_suffixes_and_classes_are_learned(spark):
     assert all_ == few and len(few) == 41 and few[3] > 0.8 and few[30] < 0.2
     hot = [("http://a.com/hot", 0)] * 3000 + [(f"http://b{i}.com/", 1) for i in range(3)] + [(f"http://c{i}.com/", 0) for i in range(300)]
     assert url_gbt.train(spark.createDataFrame(hot, "url string, block int"), sample=20, trees=2).trees is not None
+
+
+def test_a_rule_on_one_domain_teaches_nothing_of_its_suffix(spark):
+    """Urls of the tables: verdicts of the trees are mixed within a suffix, and another suffix alone turns few."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    for rules in (URL_RULES, URL_RULES[:3], [*URL_RULES[:2], URL_RULES[3]]):       # all, and with a rule left out
+        m = url_gbt.train(url_gbt.rule_labels(pages, rules))
+        if m.trees is None:
+            continue
+        assert dict(zip(url_gbt.NAMES, m.trees.featureImportances.toArray(), strict=True))["suffix1"] < 0.2
+    m = url_gbt.train(url_gbt.rule_labels(pages, URL_RULES))
+    seen = m.judge(pages.withColumn("other", F.regexp_replace("url", r"\.com\b", ".org"))).where(F.col("url").contains(".com"))
+    shares = seen.agg(F.avg((F.col("block_score") >= 0.5).cast("int"))).first()[0]
+    assert 0.1 < shares < 0.9
+    turned = m.judge(seen.select(F.col("other").alias("url"), F.col("block_score").alias("first")))
+    assert turned.where((F.col("block_score") >= 0.5) != (F.col("first") >= 0.5)).count() <= 0.1 * turned.count()
+
+
+def test_a_new_domain_of_a_telling_suffix(spark):
+    rows = [(f"http://w.s{i % 50}.{'bad' if i % 50 < 25 else 'good'}/p{i}", int(i % 50 < 25)) for i in range(1000)]
+    m = url_gbt.train(spark.createDataFrame(rows, "url string, block int"))
+    got = [r["block_score"] >= 0.5 for r in m.judge(spark.createDataFrame(
+        [("http://w.new.bad/p7",), ("http://w.new.good/p7",)], "url string")).collect()]
+    assert got == [True, False]
+
+
+def test_columns_of_every_feature_name_are_carried(spark):
+    rows = [(f"http://a{i}.{'biz' if i % 3 == 0 else 'edu'}/p{i}", int(i % 3 == 0)) for i in range(90)]
+    m = url_gbt.train(spark.createDataFrame(rows, "url string, block int"), suffixes=1)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    mine = pages.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("page_id").cast("string")) for n in [*url_gbt.NAMES, "h", "s", "p", "k", "n"]})
+    out = url_gbt.filter_urls(mine, URL_RULES, m).collect()
+    plain = {r["page_id"]: r["block_score"] for r in url_gbt.filter_urls(pages, URL_RULES, m).collect()}
+    assert {r["page_id"]: r["block_score"] for r in out} == plain
+    assert all(r[n] == f"{n} of {r['page_id']}" for r in out for n in url_gbt.NAMES)
