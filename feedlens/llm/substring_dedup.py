@@ -9,9 +9,9 @@ windows of ``length`` words hold equal ``start``-word windows at every offset,
 so one of them stands for the whole window: the one with the smallest hash
 (the same in both).  Only these are counted corpus-wide.  A window of the next
 level, twice as long, is looked at only where the one below is repeated, and
-so on up to ``length``; a level without repeats leaves nothing to extend.
-Counting uses the exchange of ``shards``: distinct 64-bit window hashes per
-shard go out, one bit per hash comes back.
+so on up to ``length`` (5, 10, 20, 35 words); a level without repeats ends it.
+Counting is a sum by key: the distinct 64-bit window hashes of a shard go out,
+the repeated ones come back, so what moves grows with the number of hashes.
 
 Defined cases.  Null or empty text: no words.  Rows are judged one by one, so
 a row that is repeated, whatever its doc_id, is a copy and loses its windows;
@@ -83,15 +83,19 @@ class Windows:
         return keys, back, count > 1
 
 
-def survivors(w: Windows, cells: list, sizes: list[int], n_ranges: int):
+def among(keys: np.ndarray, repeated: list | None) -> np.ndarray:
+    return np.isin(keys.view(np.int64), np.array(repeated or [], np.int64))
+
+
+def survivors(w: Windows, cells: list, sizes: list[int]):
     """Window starts that are repeated at every level answered so far."""
     at = None
-    for cell, size in zip(cells, [w.start, *sizes], strict=False):
+    for cell, size in zip(cells, sizes, strict=False):
         if at is None:
-            at = w.candidates(S.answer_bits(cell, S.asked(w.keys, n_ranges)))
-        else:
+            at = w.candidates(among(w.keys, cell))
+        elif len(at):
             keys, back, _ = w.level(at, size)
-            at = at[S.answer_bits(cell, S.asked(keys, n_ranges))[back]] if len(at) else at
+            at = at[among(keys, cell)[back]]
     return at
 
 
@@ -110,14 +114,13 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, length: int = 35, start: int | None = None, with_text: bool = False) -> DataFrame:
     """One row per document: word counts, removed spans (in words) and the SHA-256 of the
     words left, joined by one space; ``with_text`` adds them as ``kept``."""
-    start = start or (length + 1) // 2
-    sizes = doubled(start, length) or [length]
+    start = min(start or 5, length)
+    sizes = [start, *doubled(start, length)]
     table = S.build(docs)
-    n = S.ranges(table, 0.02)
     names: list[str] = []
     answers: dict[str, DataFrame] = {}
-    for k in range(len(sizes) + 1):
-        def ask(batches, level=k, names=tuple(names)):
+    for k, size in enumerate(sizes):
+        def ask(batches, level=k, size=size, names=tuple(names)):
             for batch in batches:
                 cells = [batch.column(c).to_pylist() for c in names]
                 for i, (shard, _, _, texts) in enumerate(S.rows_of(batch)):
@@ -125,13 +128,14 @@ def remove_repeats(docs: DataFrame, length: int = 35, start: int | None = None,
                     if level == 0:
                         keys, twice = w.keys, w.twice
                     else:
-                        at = survivors(w, [c[i] for c in cells], sizes, n)
-                        keys, _, twice = w.level(at, sizes[level - 1])
-                    yield S.question(shard, keys, twice.astype(np.int64) + 1, n)
+                        keys, _, twice = w.level(survivors(w, [c[i] for c in cells], sizes), size)
+                    yield S.key_rows(shard, keys, twice.astype(np.int32) + 1)
 
-        src = S.with_answers(table, **answers)
-        answers[f"level{k}"] = S.exchange(src.mapInArrow(ask, S.QUESTION), True, f"repeats-{k}")
+        found = S.repeated_keys(S.with_keys(table, **answers).mapInArrow(ask, S.KEYS), f"repeats-{size}")
+        answers[f"level{k}"] = found
         names.append(f"level{k}")
+        if found.isEmpty():            # no candidate survives: longer windows need no look
+            break
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
 
@@ -140,7 +144,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, start: int | None = None,
             cells = [batch.column(c).to_pylist() for c in names]
             for i, (_, ids, _, texts) in enumerate(S.rows_of(batch)):
                 w = Windows(texts, start, length)
-                at = survivors(w, [c[i] for c in cells], sizes, n)
+                at = survivors(w, [c[i] for c in cells], sizes)
                 edge = np.zeros(len(w.words) + 1, np.int32)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + length, -1)
@@ -148,7 +152,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, start: int | None = None,
                 yield result(w, ids, gone, span, with_text)
 
     schema = RESULT + ", spans array<struct<start: int, words: int>>" + ", kept string" * with_text
-    return S.with_answers(table, **answers).mapInArrow(finish, schema)
+    return S.with_keys(table, **answers).mapInArrow(finish, schema)
 
 
 def result(w: Windows, ids: list, gone: np.ndarray, span, with_text: bool) -> pa.RecordBatch:
