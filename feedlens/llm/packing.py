@@ -33,7 +33,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -89,7 +88,7 @@ def pieces(docs: DataFrame, size: int = 2048, vocabulary: str | None = None, wit
 
     def run(batches):
         enc, count = encoder(path), TaskContext.get().partitionId() << 36
-        for part in tn.chunks(batches, "text"):
+        for part in tn.chunks(batches, "text", 1 << 20):
             rows, blobs = [], []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), END).astype("<u4")
@@ -155,17 +154,17 @@ def pack(rows: DataFrame, cap: Capacity = Capacity(), lot: int = 20_000) -> Data
     part = rows.where(F.col("length") < cap.tokens)
     lots = max(1, -(-part.count() // lot))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["number"].to_numpy(), -pdf["length"].to_numpy()))
-        pdf = pdf.iloc[order]
-        where, offset = best_fit(pdf["length"].to_numpy(), cap)
-        number = pdf["number"].to_numpy()
+    def run(t: pa.Table) -> pa.Table:
+        length, number = t.column("length").to_numpy(), t.column("number").to_numpy()
+        order = np.lexsort((number, -length))
+        length, number = length[order], number[order]
+        where, offset = best_fit(length, cap)
         _, first = np.unique(where, return_index=True)
-        return pd.DataFrame({"number": number, "sequence_id": number[first][where], "offset": offset})
+        return pa.table({"number": number, "sequence_id": number[first][where], "offset": offset})
 
     # an explicit number of partitions, so that lots are not gathered in one task
     dealt = part.select("number", "length", F.pmod(F.xxhash64("number"), F.lit(lots)).alias("lot")).repartition(min(lots, 20_000), "lot")
-    placed = dealt.groupBy("lot").applyInPandas(lambda pdf: run(pdf), "number long, sequence_id long, offset long")
+    placed = dealt.groupBy("lot").applyInArrow(lambda t: run(t), "number long, sequence_id long, offset long")
     return part.join(placed, "number").unionByName(
         full.withColumn("sequence_id", F.col("number")).withColumn("offset", F.lit(0).cast("long")))
 
