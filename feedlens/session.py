@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -74,8 +75,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for a written table."""
     base = shared_dir(spark).rstrip("/")
     path = f"{base}/feedlens-{name}-{uuid.uuid4().hex[:12]}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open_blocks():
+        _open_blocks()[-1].append(path)
     return path
 
 
@@ -92,7 +93,13 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-_OPEN: list[list[str]] = []      # paths written by the jobs that are running
+_JOBS = threading.local()      # paths written by the jobs that this thread runs
+
+
+def _open_blocks() -> list[list[str]]:
+    if not hasattr(_JOBS, "blocks"):
+        _JOBS.blocks = []
+    return _JOBS.blocks
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -106,9 +113,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def scratch_tables(spark: SparkSession):
     """A job's block: the tables it writes to scratch go when it ends, so only
     what it returns by value, or wrote to its output, may be used afterwards."""
-    _OPEN.append([])
+    _open_blocks().append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _open_blocks().pop():
             delete_path(spark, path)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators.scoring import class_counts, class_dim, drop_failed, score_keys
+from feedlens.session import scratch_tables
 from feedlens.sources.models import publish, published
 
 
@@ -40,8 +41,9 @@ def stream_score(stream: DataFrame, weights: DataFrame, sink: str, checkpoint: s
                  key="doc_id", text: str = "text", available_now: bool = True):
     """ST1: score every arriving text; append the scores under ``sink``."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = drop_failed(score_keys(weights, batch, key, text))
-        scored.drop("z").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        with scratch_tables(batch.sparkSession):        # what a batch writes on the way goes with it
+            scored = drop_failed(score_keys(weights, batch, key, text))
+            scored.drop("z").write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return _start(stream, write_batch, checkpoint, available_now)
 
@@ -95,8 +97,9 @@ def stream_summary(stream: DataFrame, weights: DataFrame, sink: str, checkpoint:
     spark, counts = stream.sparkSession, f"{checkpoint}/counts"
 
     def write_counts(batch: DataFrame, batch_id: int) -> None:
-        scored = drop_failed(score_keys(weights, batch, key, text))
-        appear(spark, class_counts(scored, "predicted_class").coalesce(1), f"{counts}/batch_id={batch_id}")
+        with scratch_tables(spark):
+            scored = drop_failed(score_keys(weights, batch, key, text))
+            appear(spark, class_counts(scored, "predicted_class").coalesce(1), f"{counts}/batch_id={batch_id}")
 
     def write_totals(totals: DataFrame, batch_id: int) -> None:
         publish(spark, sink, lambda folder: totals.coalesce(1).write.parquet(folder))
