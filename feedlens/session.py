@@ -93,13 +93,11 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-_JOBS = threading.local()      # paths written by the jobs that this thread runs
+_JOBS: dict[int, list[list[str]]] = {}      # paths written by the jobs that each thread runs
 
 
 def _open_blocks() -> list[list[str]]:
-    if not hasattr(_JOBS, "blocks"):
-        _JOBS.blocks = []
-    return _JOBS.blocks
+    return _JOBS.setdefault(threading.get_ident(), [])
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
