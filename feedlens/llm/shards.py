@@ -146,33 +146,6 @@ def exchange(questions: DataFrame, bits: bool, name: str) -> DataFrame:
     return materialize(questions.groupBy("bucket").applyInArrow(lambda t: add(t), ANSWER), name)
 
 
-KEYS = "shard long, key long, n int"
-
-
-def key_rows(shard: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A shard's distinct keys and how often it holds each, one row a key."""
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int64)), pa.array(keys.view(np.int64)),
-                                       pa.array(n.astype(np.int32))], ["shard", "key", "n"])
-
-
-def repeated_keys(rows: DataFrame, name: str) -> DataFrame:
-    """``(shard, keys)``: of each shard's ``KEYS``, those whose number over all shards is above 1.
-
-    One row a key goes out and only repeated ones come back, so what moves grows
-    with the keys, however many shards there are; sums combine before the
-    exchange, and a key that all shards hold is one row a shard."""
-    rows = materialize(rows, name)
-    again = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    return materialize(rows.select("shard", "key").join(again, "key").groupBy("shard").agg(F.collect_list("key").alias("keys")), f"{name}-back")
-
-
-def with_keys(table: DataFrame, **answers: DataFrame) -> DataFrame:
-    """The shard table with one column of repeated keys for each name."""
-    for name, a in answers.items():
-        table = table.join(a.withColumnRenamed("keys", name), "shard", "left")
-    return table
-
-
 def with_answers(table: DataFrame, **answers: DataFrame) -> DataFrame:
     """The shard table with one column of answers, ``list of (bucket, totals)``, for each name."""
     for name, a in answers.items():
