@@ -24,11 +24,19 @@ from feedlens.sources.models import publish, published
 
 def text_stream(spark: SparkSession, directory: str, glob: str, schema,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files arriving in ``directory`` (matching ``glob``) as a stream."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Parquet files arriving in ``directory`` (matching ``glob``) as a stream.
+
+    Where ``glob`` matches folders, as a table that Spark wrote is one, the
+    files in them are read, whatever their names."""
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(directory)
+    named = f"{directory.rstrip('/')}/{glob}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    if any(f.isDirectory() for f in found):
+        return r.parquet(named)
+    return r.option("pathGlobFilter", glob).parquet(directory)
 
 
 def _start(stream: DataFrame, write_batch, checkpoint: str, available_now: bool):

@@ -146,6 +146,21 @@ def test_streams_over_several_batches_and_replays(spark, sf_small, tmp_path):
     assert spark.read.parquet(scores).count() == 6
 
 
+def test_streams_of_a_table_that_is_a_folder(spark, tmp_path):
+    """A literal name or a pattern, beside files and folders of other tables."""
+    from feedlens.streaming import scoring as ST
+    w = nb_fit(spark.createDataFrame([("good fine", 2), ("bad poor", 0), ("so so", 1)], "text string, label int")).weights
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good", "bad", None, "so", "good fine"])], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "talks.parquet"))
+    docs.write.parquet(str(tmp_path / "others.data"))
+    for i, name in enumerate(("talks.parquet", "*.parquet")):
+        stream = ST.text_stream(spark, str(tmp_path), name, docs.schema)
+        ST.run_to_end(ST.stream_score(stream, w, f"{tmp_path}/scores{i}", f"{tmp_path}/c{i}"))
+        assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/scores{i}").collect()) == [0, 1, 3, 4]
+    ST.run_to_end(ST.stream_summary(stream, w, f"{tmp_path}/sum", f"{tmp_path}/cs"))
+    assert sorted(r["n"] for r in ST.read_summary(spark, f"{tmp_path}/sum").collect()) == [1, 1, 2]
+
+
 def test_summary_state_over_restarts(spark, tmp_path):
     """Files that come between runs; a replayed batch; the cost of a look."""
     import os
