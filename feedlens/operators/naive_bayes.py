@@ -35,6 +35,7 @@ WEIGHT_TYPE = "decimal(18,12)"
 SUM_TYPE = "decimal(34,12)"   # leaves room to add without losing a digit
 N_CLASSES = len(fixed.CLASS_NAMES)
 MAX_FREQUENT = 20_000     # frequent tokens there can be
+LOW_BITS = 20             # of a weight, summed by themselves
 MAX_HEAVY = 1000          # tokens of the scored texts that are split off
 
 
@@ -54,7 +55,9 @@ def class_token_counts(train: DataFrame, text: str = "text", label: str = "label
     row holds the number of train documents per class (the prior counts) —
     one pass over the training data yields everything the fit needs."""
     toks = F.concat(F.array(F.lit(PRIOR_TOKEN)), T.tokens(F.col(text)))
-    ex = train.select(F.col(label).alias("_y"), F.explode(toks).alias("token"))
+    # Outer: a filter on the arrays' size would tokenise every text twice.
+    ex = (train.where(F.col(text).isNotNull()).select(F.col(label).alias("_y"), toks.alias("_toks"))
+               .select("_y", F.explode_outer("_toks").alias("token")))
     return ex.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.when(F.col("_y") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(N_CLASSES)])
@@ -119,7 +122,7 @@ def heavy_tokens(part: DataFrame) -> tuple[DataFrame, list[str]]:
     rows of each token while they are written; what it finds only says which
     rows meet their weights by broadcast, so results do not depend on it."""
     seen = Observation("tokens")
-    top = F.expr(f"approx_top_k(case when substr(_k, 1, 1) <> '\\u0000' then _k end, {MAX_HEAVY}, {50 * MAX_HEAVY})")
+    top = F.expr(f"approx_top_k(_k, {MAX_HEAVY}, {50 * MAX_HEAVY})")
     rows = materialize(part.observe(seen, top.alias("top")), "token-rows")
     return rows, [t["item"] for t in seen.get["top"] or [] if t["item"] is not None]
 
@@ -129,39 +132,47 @@ def weight_sums(weights: DataFrame, docs: DataFrame, key: tuple[str, ...], text:
     """``(*key, _id, _ok, _copies, *cols)``: exact sums of weights per document.
 
     One scan of ``docs``; only keys, tokens and sums are shuffled, never texts.
-    A document's frequent tokens are summed beside the scan and leave it as
-    one row; a rare token leaves it as ``(key, token, tf)``; these rows are written.  Documents that
+    The scan writes a row an occurrence: a frequent token by its weights, a rare
+    one by name, and one row of the document's own.  Frequent ones are summed
+    where they lie; rare ones meet their weights by token first.  Documents that
     share a key but not a text are told apart by ``_id``, a hash of the text
     (``unique``: the caller knows that keys are); ``_copies`` counts rows that
     share both, and the sums are those of one of them.  ``_ok`` is false for
     a null text, whose sums are null."""
     flag = F.col("frequent") if "frequent" in weights.columns else F.lit(False)
     words = weights.filter(F.col("token") != PRIOR_TOKEN).withColumn("_f", flag)
+    # Whole numbers of 10^-12, summed in two parts: exact, and many times faster than wide decimals.
+    words = words.withColumns({c: (F.col(c) * F.lit(10 ** 12)).cast("long") for c in cols})
     # At most MAX_FREQUENT rows: each holds 1/MAX_FREQUENT of the train tokens.
     frequent = F.broadcast(words.filter("_f").select("token", *cols))
     rare = words.filter(~F.col("_f")).select(F.col("token").alias("_t"), *[F.col(c).alias(f"_r_{c}") for c in cols])
     doc = [*key, "_id", "_ok"]
     mark = F.lit(None).cast("string")
     toks = F.coalesce(F.concat(F.array(mark), T.tokens(F.col(text))), F.array(mark))
+    # The hash and the tokens first, once a text: beside ``explode`` they would be computed once
+    # a token.  Outer, though no array is empty: a filter on its size would tokenise a text twice.
     e = docs.select(*key, (F.lit(0) if unique else F.xxhash64(F.coalesce(text, F.lit("")))).alias("_id"),
-                    F.col(text).isNotNull().alias("_ok"), F.explode(toks).alias("token"))
+                    F.col(text).isNotNull().alias("_ok"), toks.alias("_toks")).select(*doc, F.explode_outer("_toks").alias("token"))
     j = e.join(frequent, "token", "left")
-    # The row of a document's own sums has a join key that no token is.
-    own = F.concat(F.lit("\u0000"), F.xxhash64(*doc).cast("string"))
-    j = j.withColumn("_k", F.when(F.col("token").isNotNull() & F.col(cols[0]).isNull(), F.col("token")).otherwise(own))
-    part = j.groupBy(*doc, "_k").agg(
-        F.sum(F.when(F.col("token").isNull(), 1).otherwise(0)).alias("_c"), F.count(F.lit(1)).alias("_tf"),
-        *[F.sum(c).alias(c) for c in cols])
-    part, heavy = heavy_tokens(part)
+    rows, heavy = heavy_tokens(j.select(
+        *doc, F.when(F.col("token").isNull(), 1).alias("_c"),
+        F.when(F.col("token").isNotNull() & F.col(cols[0]).isNull(), F.col("token")).alias("_k"), *cols))
+    part = rows.where(F.col("_k").isNotNull()).select(*doc, "_k")
     split = F.col("_k").isin(heavy) if heavy else F.lit(False)
-    met = part.where(~split).join(rare, F.col("_k") == F.col("_t"), "left")
+    met = part.where(~split).join(rare, F.col("_k") == F.col("_t"))      # a token without weights adds nothing
     if heavy:                # at most MAX_HEAVY rows of weights
-        met = met.unionByName(part.where(split).join(F.broadcast(rare.where(F.col("_t").isin(heavy))), F.col("_k") == F.col("_t"), "left"))
-    zero = F.lit(0).cast(SUM_TYPE)
-    wide = lambda c: F.coalesce(c.cast(SUM_TYPE), zero)
-    total = met.groupBy(*doc).agg(F.sum("_c").alias("_copies"), *[
-        F.sum((wide(F.col(c)) + wide(F.col("_tf").cast("decimal(19,0)") * F.col(f"_r_{c}"))).cast(SUM_TYPE)).cast(SUM_TYPE).alias(c)
-        for c in cols])
+        met = met.unionByName(part.where(split).join(F.broadcast(rare.where(F.col("_t").isin(heavy))), F.col("_k") == F.col("_t")))
+    met = met.select(*doc, F.lit(None).cast("int").alias("_c"), *[F.col(f"_r_{c}").alias(c) for c in cols])
+    high, low = F.lit(1 << LOW_BITS).cast("decimal(7,0)"), F.lit((1 << LOW_BITS) - 1)
+    unit = F.lit("0.000000000001").cast("decimal(12,12)")
+    none = F.lit(0).cast("long")
+    whole = lambda c: (F.coalesce(F.col(f"_h_{c}"), none).cast("decimal(19,0)") * high
+                       + F.coalesce(F.col(f"_l_{c}"), none).cast("decimal(19,0)")).cast("decimal(25,0)")
+    total = rows.where(F.col("_k").isNull()).select(*doc, "_c", *cols).unionByName(met).groupBy(*doc).agg(
+        F.sum("_c").alias("_copies"),
+        *[F.sum(F.shiftright(c, LOW_BITS)).alias(f"_h_{c}") for c in cols],
+        *[F.sum(F.col(c).bitwiseAND(low)).alias(f"_l_{c}") for c in cols])
+    total = total.select(*doc, "_copies", *[(whole(c) * unit).cast(SUM_TYPE).alias(c) for c in cols])
     prior = weights.filter(F.col("token") == PRIOR_TOKEN).select(F.struct(*cols)).scalar()
     one = [F.when(F.col("_copies") == 1, F.col(c)).otherwise((F.col(c) / F.col("_copies")).cast(SUM_TYPE)) for c in cols]
     return total.select(*doc, "_copies", *[

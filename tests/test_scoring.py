@@ -215,3 +215,32 @@ def test_result_parts_keep_the_input_order(spark, tmp_path):
         assert part[0] == ["Text"]
         rows += part[1:]
     assert len(parts) > 1 and [r[0] for r in rows] == [f'line "q"\n{i}' for i in range(5000)]
+
+
+def test_a_text_is_tokenised_and_hashed_once(spark):
+    """What the scan writes is made before ``explode``, without a filter on the tokens and
+    without a shuffle; the sums are exact to the last digit."""
+    from decimal import Decimal
+
+    from feedlens.operators import naive_bayes as NB
+    w = _weights(spark, [("", False, "-1.000000000001", "0", "0"), ("a", True, "-9.123456789012", "0.000000000001", "3"), ("b", False, "-0.999999999999", "-12.5", "0")])
+    docs = spark.createDataFrame([(1, "a b " * 1000 + "zz"), (2, ""), (3, None)], "doc_id long, text string")
+    found, steps = NB.heavy_tokens, []
+    NB.heavy_tokens = lambda part: (steps.append(part._jdf.queryExecution().executedPlan().toString()), found(part))[1]
+    try:
+        got = {r[0]: list(r)[4:] for r in NB.weight_sums(w, docs, ("doc_id",), "text", NB.weight_names()).collect()}
+    finally:
+        NB.heavy_tokens = found
+    assert "Exchange hashpartitioning" not in steps[0]
+    assert not any(x in line for line in steps[0].splitlines() if re.search(r"\b(Filter|Generate)\b", line) for x in ("regexp", "xxhash64"))
+    assert got == {1: [Decimal("-10124.456789011001"), Decimal("-12499.999999999000"), Decimal(3000)],
+                   2: [Decimal("-1.000000000001"), Decimal(0), Decimal(0)], 3: [None, None, None]}
+
+
+def test_ascii_tokens_are_those_of_the_full_pattern(spark):
+    from feedlens.functions import text as T
+    chars = "".join(map(chr, range(128)))
+    texts = [chars, "It's 4.5% <b>OK_then</b> a+b=c", "", None, "  café naïve", "abc中文x", "� !", *[f"A{c}{c}z9" for c in chars]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    full = F.regexp_extract_all(T.normalise(F.col("text")), F.lit(T.token_pattern()), F.lit(0))
+    assert df.where(~T.tokens(F.col("text")).eqNullSafe(full)).count() == 0
