@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import fixed
 from feedlens.functions import probs as P
 from feedlens.functions import text as T
+from feedlens.session import materialize
 from feedlens.sources.models import publish, published
 
 NUM_FEATURES = 1 << 18
@@ -40,8 +41,19 @@ def lr_pipeline(max_iter: int = 20, reg_param: float = fixed.WEIGHT_DECAY,
     return Pipeline(stages=[fold, tok, tf, idf, lr])
 
 
-def lr_fit(train: DataFrame, **kw) -> PipelineModel:
-    return lr_pipeline(**kw).fit(train)
+def lr_fits(train: DataFrame, reg_params: list[float], label: str = "label", **kw) -> list[PipelineModel]:
+    """One model for each decay.  The texts are tokenised and counted once: the
+    counts are written, and the weights of terms and every fit read them."""
+    *_, tf, idf, _ = first = lr_pipeline(label=label, **kw).getStages()
+    texts = PipelineModel(first[:-2])
+    counts = materialize(texts.transform(train).select(label, tf.getOutputCol()), "lr-counts")
+    terms = idf.fit(counts)
+    found = terms.transform(counts)
+    return [PipelineModel([*first[:-2], terms, lr_pipeline(label=label, reg_param=r, **kw).getStages()[-1].fit(found)]) for r in reg_params]
+
+
+def lr_fit(train: DataFrame, reg_param: float = fixed.WEIGHT_DECAY, **kw) -> PipelineModel:
+    return lr_fits(train, [reg_param], **kw)[0]
 
 
 def lr_score(model: PipelineModel, docs: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def _train_ml(split: DataFrame, epochs: int, weight_decay: float, path: str) ->
     part = {s: split.filter(F.col("split") == s).select("ord", "text", "label") for s in SPLITS}
     if part["train"].isEmpty():
         raise ValueError("no training rows: nothing to fit")
-    models = [ML.lr_fit(part["train"], max_iter=epochs, reg_param=r) for r in (weight_decay, 0.0)]
+    models = ML.lr_fits(part["train"], [weight_decay, 0.0], max_iter=epochs)
     scores = [E.eval_metrics(ML.lr_score(m, part["validation"])).first()["f1_macro"] or 0.0 for m in models]
     best = models[max(range(len(models)), key=lambda i: (scores[i], -i))]
     ML.save_model(best, path)

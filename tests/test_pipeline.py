@@ -127,6 +127,23 @@ def test_training_and_analysis_from_files(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_candidates_of_the_ml_flavour_tokenise_once(spark):
+    """Both fits read the written counts, and are what a pipeline's own fit gives."""
+    import numpy as np
+    from feedlens.operators import ml_pipeline as ML
+    rows = [(f"sample {i} {w}", c) for i in range(20) for c, w in enumerate(("awful", "plain", "lovely"))]
+    docs = spark.createDataFrame(rows, "text string, label int")
+    reads = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: (reads.add(1), t)[1], "string").asNondeterministic()
+    models = ML.lr_fits(docs.select(counted("text").alias("text"), "label"), [0.01, 0.0], max_iter=5, num_features=1 << 10)
+    assert reads.value == len(rows)
+    for m, r in zip(models, (0.01, 0.0), strict=True):
+        own = ML.lr_pipeline(5, r, 1 << 10).fit(docs)
+        assert [type(s) for s in m.stages] == [type(s) for s in own.stages]
+        assert np.allclose(m.stages[-1].coefficientMatrix.toArray(), own.stages[-1].coefficientMatrix.toArray(), atol=1e-6)
+        assert ML.train_summary(spark, m).first()[0] == own.stages[-1].summary.totalIterations
+
+
 def test_streams_over_several_batches_and_replays(spark, sf_small, tmp_path):
     from feedlens.operators.scoring import drop_failed, score_keys, sentiment_summary
     from feedlens.streaming import scoring as ST
