@@ -40,6 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 16
 BIAS = BUCKETS            # the constant's row
 LOSS = -1                 # a task's loss travels as a row of its own
+PIECE = 1 << 16           # numbers of a batch worked on at a time, or one text's
 N_CLASSES = len(fixed.CLASS_NAMES)
 
 
@@ -69,13 +70,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def pieces(batch: pa.RecordBatch, lists: int):
+    """The batch in slices of whole rows whose lists (column number ``lists``) hold
+    at most ``PIECE`` numbers, or of one row: the arrays made of a slice do not
+    grow with the batch, which has as many long texts as Arrow rows."""
+    ends = np.asarray(batch.column(lists).offsets)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def features(docs: DataFrame, carry: tuple[str, ...], text: str = "text") -> DataFrame:
     """``(*carry, bucket array, value array)``, one row a text that is not null; no shuffle."""
     base = docs.where(F.col(text).isNotNull()).select(*carry, buckets(F.col(text)).alias("_b"))
     schema = base.drop("_b").schema.add("bucket", S.ArrayType(S.IntegerType())).add("value", S.ArrayType(S.DoubleType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, b.num_columns - 1)):
             lists = batch.column(batch.num_columns - 1)
             offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row, bucket, value = vectors(offsets, np.asarray(lists.flatten()))
@@ -101,9 +114,7 @@ def gradient(rows: DataFrame, w: np.ndarray) -> DataFrame:
     def run(batches):
         w = sent.value
         g, loss, n = np.zeros_like(w), 0.0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in pieces(b, 1)):
             row, bucket, value = _unpacked(batch)
             y = batch.column("label").to_numpy()
             p = softmax(logits(w, batch.num_rows, row, bucket, value))
@@ -130,7 +141,7 @@ def score_features(rows: DataFrame, w: np.ndarray, carry: tuple[str, ...]) -> Da
     schema = base.drop("bucket", "value").schema.add("p", S.ArrayType(S.DoubleType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, b.num_columns - 1)):
             p = softmax(logits(sent.value, batch.num_rows, *_unpacked(batch)))
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists], names=[*carry, "p"])

@@ -85,6 +85,30 @@ def test_fit_equals_plain_python(spark, split, steps):
     assert all(np.allclose(w.get(b, (0, 0, 0)), v, atol=1e-9) for b, v in weights.items())
 
 
+def test_a_batch_is_worked_on_in_pieces(spark, split, monkeypatch):
+    """A batch of many long texts does not become arrays as long as the batch."""
+    def bounded(offsets, flat, made=L.vectors):
+        assert len(flat) <= 1 << 16 or len(offsets) == 2
+        return made(offsets, flat)
+
+    def short(batch, made=L._unpacked):
+        row, bucket, value = made(batch)
+        assert len(row) <= 1 << 16 or batch.num_rows == 1
+        return row, bucket, value
+
+    monkeypatch.setattr(L, "vectors", bounded)
+    monkeypatch.setattr(L, "_unpacked", short)
+    word = "if(id % 2 = 0, '', concat_ws(' ', transform(sequence(1, if(id = 7, 70000, 3000)), i -> concat('t', i * (id + 1)))))"
+    docs = spark.range(60).selectExpr("id", f"{word} as text").coalesce(1)
+    got = {r["id"]: r for r in L.features(docs, ("id",)).collect()}
+    assert len(got) == 60 and not got[0]["bucket"] and abs(sum(v * v for v in got[7]["value"]) - 1) < 1e-9
+    rows = L.features(docs, ("id",)).selectExpr("int(id % 3) as label", "bucket", "value").coalesce(1)
+    w = np.zeros((L.BUCKETS + 1, 3))
+    loss = L.gradient(rows, w).where(F.col("bucket") == L.LOSS).first()
+    assert loss["g1"] == 60 and loss["g0"] == pytest.approx(60 * np.log(3))
+    assert L.score_features(rows, w, ("label",)).count() == 60
+
+
 def test_patience_ends_the_fit_and_the_best_epoch_stays(split):
     m = L.fit(split, epochs=9, lr=20.0, weight_decay=0.0005)          # overshoots at once
     stop = m.stop.first()
